@@ -127,17 +127,18 @@ def polygon_from_box(b: Box) -> Column:
     return F.array(*(F.struct(x.cast("double").alias("x"), y.cast("double").alias("y")) for x, y in corners))
 
 
-def in_polygon(polygon: Column, x: Column, y: Column) -> Column:
-    """Even-odd ray test of (x, y) against ARRAY<STRUCT<x,y>>; fewer than three corners is outside.
+def polygon_edges(polygon: Column) -> Column:
+    """Edges of ARRAY<STRUCT<x,y>> as structs (p = corner, q = the corner before it)."""
+    before = F.concat(F.slice(polygon, -1, 1), F.slice(polygon, 1, F.greatest(F.size(polygon) - 1, F.lit(1))))
+    return F.zip_with(polygon, before, lambda here, back: F.struct(here.alias("p"), back.alias("q")))
+
 
-    Each edge runs from the previous corner to the current one. The slope divisor is signed and
-    floored at 1e-12, so a downward edge divides by that floor, as recorded zones expect.
+def in_edges(edges: Column, x: Column, y: Column) -> Column:
+    """Even-odd ray test; fewer than three edges is outside.
+
+    The slope divisor is signed and floored at 1e-12, so a downward edge divides by that floor, as
+    recorded zones expect.
     """
-    edges = F.zip_with(
-        polygon,
-        F.concat(F.slice(polygon, -1, 1), F.slice(polygon, 1, F.greatest(F.size(polygon) - 1, F.lit(1)))),
-        lambda here, back: F.struct(here.alias("p"), back.alias("q")),
-    )
 
     def crossed(edge: Column) -> Column:
         p, q = edge["p"], edge["q"]
@@ -145,7 +146,11 @@ def in_polygon(polygon: Column, x: Column, y: Column) -> Column:
         return ((p["y"] > y) != (q["y"] > y)) & (x < cut)
 
     odd = F.aggregate(edges, F.lit(False), lambda inside, e: inside != F.coalesce(crossed(e), F.lit(False)))
-    return F.when(F.size(polygon) >= 3, odd).otherwise(F.lit(False))
+    return F.when(F.size(edges) >= 3, odd).otherwise(F.lit(False))
+
+
+def in_polygon(polygon: Column, x: Column, y: Column) -> Column:
+    return in_edges(polygon_edges(polygon), x, y)
 
 
 def pad_and_clip(b: Box, ratio: float, frame_w: int, frame_h: int) -> Box:

@@ -77,10 +77,16 @@ def in_zones(det: DataFrame, zones: DataFrame, frame_w: float, frame_h: float) -
 
     A box looks up two scopes, its camera and "*", so the join stays an equi-join. The zone side is
     broadcast only once its row count is known to be small; otherwise Catalyst shuffles both sides.
+    No edge is crossed outside a polygon's own y range, so that range is tested first.
     """
     scoped = zones.withColumn("scope", F.coalesce(F.col("camera_id").cast("string"), F.lit("*"))).drop("camera_id")
+    ys = F.transform("polygon", lambda corner: corner["y"])
+    scoped = scoped.select("*", geom.polygon_edges(F.col("polygon")).alias("edges"), F.array_min(ys).alias("y_low"),
+                           F.array_max(ys).alias("y_high")).drop("polygon")
     if zones.limit(ZONE_BROADCAST_ROWS + 1).count() <= ZONE_BROADCAST_ROWS:
         scoped = F.broadcast(scoped)
     asked = det.withColumn("scope", F.explode(F.array(F.col("camera_id").cast("string"), F.lit("*"))))
     c = geom.centroid(geom.box())
-    return asked.join(scoped, "scope").where(geom.in_polygon(F.col("polygon"), c.x / frame_w, c.y / frame_h)).drop("scope")
+    level = c.y / frame_h
+    hits = asked.join(scoped, "scope").where(level.between(F.col("y_low"), F.col("y_high")))
+    return hits.where(geom.in_edges(F.col("edges"), c.x / frame_w, level)).drop("scope", "edges", "y_low", "y_high")

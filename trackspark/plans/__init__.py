@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ["scalars", "frames"]
+FAMILIES = ["scalars", "frames", "sequences"]
 
 
 def load() -> None:

@@ -17,6 +17,8 @@ _DET_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantit
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A given table; its zone-less times are UTC, so the session must be too."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
@@ -128,7 +130,11 @@ PAIRS_SQL = """pairs AS (
     o.source AS o_source, o.class_name AS o_class
   FROM pose p JOIN det o ON p.video_id = o.video_id AND p.frame = o.frame AND NOT o.is_person)"""
 
-_EVENT_HOUR = F.floor(F.unix_micros("ts") / 3_600_000_000)
+def micros(ts: str = "ts"):
+    return F.unix_micros(F.col(ts).cast("timestamp"))
+
+
+_EVENT_HOUR = F.floor(micros() / 3_600_000_000)
 
 
 def tick(spark: SparkSession, sf: str) -> DataFrame:
@@ -151,7 +157,7 @@ def gt_pred(spark: SparkSession, sf: str) -> DataFrame:
     ev = table(spark, sf, "events").where(F.col("event_type").isin("purchase", "error"))
     return ev.select(
         F.col("user_id").alias("clip_id"), F.when(F.col("event_type") == "purchase", "gt").otherwise("pred").alias("kind"),
-        "event_id", "ts", (F.unix_micros("ts") / 1e6).alias("sec"))
+        "event_id", "ts", (micros() / 1e6).alias("sec"))
 
 
 GT_PRED_SQL = """gt_pred AS (
