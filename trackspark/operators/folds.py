@@ -44,9 +44,47 @@ def fold_sorted(df: DataFrame, keys: Sequence[str], order: Sequence[str], start:
     return prepared.mapInPandas(run, schema)
 
 
-def _next_at(ts: np.ndarray, interval: float) -> np.ndarray:
-    """Index of the first row at least `interval` after each row."""
-    return np.searchsorted(ts, ts + interval, side="left")
+def map_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], work: Callable[[pd.DataFrame], pd.DataFrame],
+             schema: str) -> DataFrame:
+    """Sort by key and order, and hand `work` whole key groups, many per call.
+
+    A group is buffered until it is complete, so keys must have bounded groups (a chunk, an island).
+    Handing over many groups at once spares the per-group cost of a grouped pandas call.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for pdf in batches:
+            last = tuple(pdf[k].iloc[-1] for k in keys) if len(pdf) else None
+            if last is None:
+                continue
+            tail = np.ones(len(pdf), dtype=bool)
+            for k, value in zip(keys, last):
+                tail &= (pdf[k] == value).to_numpy()
+            begin = len(pdf) - int(tail[::-1].argmin()) if not tail.all() else 0
+            if begin or (held and tuple(held[-1][k].iloc[-1] for k in keys) != last):
+                whole = pd.concat([*held, pdf.iloc[:begin]]) if held else pdf.iloc[:begin]
+                held = []
+                if len(whole):
+                    yield work(whole.reset_index(drop=True))
+            held.append(pdf.iloc[begin:])
+        if held:
+            yield work(pd.concat(held).reset_index(drop=True))
+
+    prepared = df.repartition(*(F.col(k) for k in keys)).sortWithinPartitions(*keys, *order)
+    return prepared.mapInPandas(run, schema)
+
+
+def _bounds(pdf: pd.DataFrame, keys: Sequence[str]) -> list[tuple[int, int]]:
+    """Start and end row of each key group in key-sorted rows."""
+    n = len(pdf)
+    edge = np.zeros(n, dtype=bool)
+    edge[0] = True
+    for k in keys:
+        v = pdf[k].to_numpy()
+        edge[1:] |= v[1:] != v[:-1]
+    starts = np.flatnonzero(edge)
+    return list(zip(starts.tolist(), [*starts[1:].tolist(), n]))
 
 
 def greedy_spacing(df: DataFrame, keys: Sequence[str], ts: str, tie: str, interval: float, chunk: float,
@@ -55,26 +93,30 @@ def greedy_spacing(df: DataFrame, keys: Sequence[str], ts: str, tie: str, interv
 
     The choice depends on everything before it, yet a chunk only needs the time of the last kept
     row. Pass 1 tabulates, per chunk, where each possible first kept row leads; pass 2 walks those
-    small tables per key; pass 3 replays each chunk from its now known entry. No task holds more
+    small tables per key; pass 3 replays each chunk from its now known entry. No task buffers more
     than one chunk of rows. `chunk` must be at least `interval`.
     """
     if chunk < interval:
         raise ValueError("chunk must be at least interval")
     rows = df.withColumn("_c", F.floor(F.col(ts) / chunk).cast("bigint"))
+    group = [*keys, "_c"]
     key_types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keys).schema)
 
     def tabulate(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = np.unique(pdf[ts].to_numpy())
-        nxt, leave = _next_at(t, interval), t.copy()
-        for i in range(len(t) - 1, -1, -1):
-            if nxt[i] < len(t):
-                leave[i] = leave[nxt[i]]
-        first = t < t[0] + interval
-        head = {k: pdf[k].iloc[0] for k in [*keys, "_c"]}
-        return pd.DataFrame({**head, "enter": t[first], "leave": leave[first]})
-
-    table = rows.select(*keys, "_c", ts).groupBy(*keys, "_c").applyInPandas(
-        tabulate, f"{key_types}, _c bigint, enter double, leave double")
+        times, picks, leaves = pdf[ts].to_numpy(), [], []
+        for lo, hi in _bounds(pdf, group):
+            t = times[lo:hi]
+            nxt, leave = np.searchsorted(t, t + interval, side="left"), t.copy()
+            for i in range(len(t) - 1, -1, -1):
+                if nxt[i] < len(t):
+                    leave[i] = leave[nxt[i]]
+            first = np.flatnonzero(t < t[0] + interval)
+            picks.append(lo + first)
+            leaves.append(leave[first])
+        at = np.concatenate(picks)
+        return pdf.iloc[at][group].assign(enter=times[at], leave=np.concatenate(leaves))
+
+    table = map_runs(rows.select(*group, ts).distinct(), group, [ts], tabulate, f"{key_types}, _c bigint, enter double, leave double")
 
     def start() -> dict:
         return {"chunk": None, "last": None, "before": None, "done": True}
@@ -92,19 +134,19 @@ def greedy_spacing(df: DataFrame, keys: Sequence[str], ts: str, tie: str, interv
     entries = fold_sorted(table, keys, ["_c", "enter"], start, step, lambda s: (), f"{key_types}, _c bigint, before double")
 
     def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([ts, tie], kind="stable")
-        last = pdf["before"].iloc[0]
-        t, kept, i = pdf[ts].to_numpy(), np.zeros(len(pdf), dtype=bool), 0
-        if not np.isnan(last):
-            i = int(np.searchsorted(t, last + interval, side="left"))
-        while i < len(t):
-            kept[i] = True
-            i = int(np.searchsorted(t, t[i] + interval, side="left"))
-        return pdf.drop(columns=["before"]).assign(**{name: kept})
+        times, before, kept = pdf[ts].to_numpy(), pdf["_before"].to_numpy(), np.zeros(len(pdf), dtype=bool)
+        for lo, hi in _bounds(pdf, group):
+            t = times[lo:hi]
+            i = 0 if np.isnan(before[lo]) else int(np.searchsorted(t, before[lo] + interval, side="left"))
+            while i < len(t):
+                kept[lo + i] = True
+                i = int(np.searchsorted(t, t[i] + interval, side="left"))
+        return pdf.drop(columns=["_before"]).assign(**{name: kept})
 
     out_schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + f", {name} boolean"
-    joined = rows.join(entries.withColumn("before", F.coalesce("before", F.lit(float("nan")))), [*keys, "_c"])
-    return joined.groupBy(*keys, "_c").applyInPandas(replay, out_schema).drop("_c")
+    known = entries.select(*group, F.coalesce("before", F.lit(float("nan"))).alias("_before"))
+    joined = rows.join(known, group).select(*rows.columns, "_before")
+    return map_runs(joined, group, [ts, tie], replay, out_schema).drop("_c")
 
 
 def islands(df: DataFrame, keys: Sequence[str], ordinal: str, starts: Column, name: str = "island") -> DataFrame:
