@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ["scalars", "frames", "sequences"]
+FAMILIES = ["scalars", "frames", "sequences", "metrics"]
 
 
 def load() -> None:
