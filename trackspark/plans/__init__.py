@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ["scalars", "frames", "sequences", "metrics"]
+FAMILIES = ["scalars", "frames", "sequences", "metrics", "audits"]
 
 
 def load() -> None:
