@@ -34,16 +34,39 @@ def fold_sorted(df: DataFrame, keys: Sequence[str], order: Sequence[str], start:
                     key, state = row[:n_keys], start()
                 out.extend(key + r for r in step(state, row[n_keys:]))
             if out:
-                yield pd.DataFrame(out, columns=names)
+                yield pd.DataFrame(out, columns=names, dtype=object)
         if key is not None:
             last = [key + r for r in finish(state)]
             if last:
-                yield pd.DataFrame(last, columns=names)
+                yield pd.DataFrame(last, columns=names, dtype=object)
 
     prepared = df.select(*ordered).repartition(*(F.col(k) for k in keys)).sortWithinPartitions(*keys, *order)
     return prepared.mapInPandas(run, schema)
 
 
+def fold_frames(df: DataFrame, keys: Sequence[str], frame: str, order: Sequence[str], start: Callable[[], object],
+                tick: Callable[[object, object, list[tuple]], Iterable[tuple]], finish: Callable[[object], Iterable[tuple]],
+                schema: str) -> DataFrame:
+    """`fold_sorted` handing over all rows of one frame at once; `frame` must be the first non-key column."""
+
+    def begin() -> list:
+        return [start(), None, []]
+
+    def step(box: list, row: tuple):
+        out: Iterable[tuple] = ()
+        if box[2] and row[0] != box[1]:
+            out = tick(box[0], box[1], box[2])
+            box[2] = []
+        box[1] = row[0]
+        box[2].append(row)
+        return out
+
+    def end(box: list):
+        return [*(tick(box[0], box[1], box[2]) if box[2] else ()), *finish(box[0])]
+
+    return fold_sorted(df, keys, [frame, *order], begin, step, end, schema)
+
+
 def map_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], work: Callable[[pd.DataFrame], pd.DataFrame],
              schema: str) -> DataFrame:
     """Sort by key and order, and hand `work` whole key groups, many per call.

@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ["scalars", "frames", "sequences", "metrics", "audits"]
+FAMILIES = ["scalars", "frames", "sequences", "metrics", "audits", "review", "machine"]
 
 
 def load() -> None:
