@@ -2,20 +2,59 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackspark.operators import pairfsm
 from trackspark.plans import scenes, views
 from trackspark.plans.registry import query
 
-SCENE_SQL = "WITH scn AS (SELECT c_custkey AS video_id, CAST(c_custkey % 7 AS INTEGER) AS scene FROM customer)\n"
+
+def scene_sql(n: int) -> str:
+    return f"WITH scn AS (SELECT c_custkey AS video_id, CAST(c_custkey % {n} AS INTEGER) AS scene FROM customer)\n"
+
+
+def verdicts(spark: SparkSession, sf: str, family: Sequence) -> DataFrame:
+    """Per video: confirmed and rejected events, the confirmed actors, whether anything was released, the rejection."""
+    boxes, ticks, cast = scenes.play(spark, sf, family)
+    events = pairfsm.pair_events(scenes.machine_rows(boxes, ticks, cast), scenes.CONFIGS)
+    ok = F.col("confirmed")
+    per = events.groupBy("video_id").agg(
+        F.count_if(ok).alias("confirmed"), F.count_if(~ok).alias("rejected"), F.array_join(F.array_sort(F.collect_set(F.when(ok, F.col("person_track").cast("string")))), ",").alias("actors"),
+        F.bool_or(F.col("release_frame").isNotNull()).alias("released"), F.max(F.when(~ok, F.col("reason"))).alias("reason"), F.bool_or("fallback_used").alias("fallback_used"),
+        F.bool_or("walkaway").alias("walkaway"))
+    out = cast.select("video_id", "scene").join(per, "video_id", "left")
+    return out.na.fill(0, ["confirmed", "rejected"]).na.fill("", ["actors"]).na.fill(False, ["released", "fallback_used", "walkaway"])
 
 
-@query("t06_scripted_scenes", oracle=SCENE_SQL + """SELECT video_id, scene, CAST(CASE WHEN scene IN (0, 1, 5) THEN 1 ELSE 0 END AS BIGINT) AS confirmed, CAST(CASE WHEN scene IN (2, 4, 6) THEN 1 ELSE 0 END AS BIGINT) AS rejected,
-  CASE scene WHEN 2 THEN 'NO_RELEASE_TRANSITION' WHEN 4 THEN 'BIN_ZONE_DEPOSIT' WHEN 6 THEN 'PICKED_BACK_UP' WHEN 3 THEN NULL ELSE 'VIOLATION_CONFIRMED' END AS reason, coalesce(scene = 5, false) AS fallback_used FROM scn""")
+@query("t06_scripted_scenes", oracle=scene_sql(7) + """SELECT video_id, scene, CAST(CASE WHEN scene IN (0, 1, 5) THEN 1 ELSE 0 END AS BIGINT) AS confirmed, CAST(CASE WHEN scene IN (2, 4, 6) THEN 1 ELSE 0 END AS BIGINT) AS rejected,
+  CASE scene WHEN 2 THEN 'NO_RELEASE_TRANSITION' WHEN 4 THEN 'BIN_ZONE_DEPOSIT' WHEN 6 THEN 'PICKED_BACK_UP' END AS reason, scene = 5 AS fallback_used FROM scn""")
 def t06(spark, sf):
-    t = scenes.ticks(spark, sf)
-    events = pairfsm.pair_events(scenes.machine_rows(t), scenes.CONFIGS)
-    per = events.groupBy("video_id").agg(F.count_if("confirmed").alias("confirmed"), F.count_if(~F.col("confirmed")).alias("rejected"), F.max("reason").alias("reason"), F.bool_or("fallback_used").alias("fallback_used"))
-    out = t.select("video_id", "scene").distinct().join(per, "video_id", "left")
-    return out.select("video_id", "scene", F.coalesce("confirmed", F.lit(0)).alias("confirmed"), F.coalesce("rejected", F.lit(0)).alias("rejected"), "reason", F.coalesce("fallback_used", F.lit(False)).alias("fallback_used"))
+    return verdicts(spark, sf, scenes.CORE).select("video_id", "scene", "confirmed", "rejected", "reason", "fallback_used")
+
+
+@query("t07_release_patterns", oracle=scene_sql(4) + "SELECT video_id, scene, CAST(CASE WHEN scene < 3 THEN 1 ELSE 0 END AS BIGINT) AS confirmed FROM scn")
+def t07(spark, sf):
+    return verdicts(spark, sf, scenes.RELEASES).select("video_id", "scene", "confirmed")
+
+
+@query("t08_wrist_gate", oracle=scene_sql(4) + "SELECT video_id, scene, scene < 3 AS released FROM scn")
+def t08(spark, sf):
+    return verdicts(spark, sf, scenes.HANDS).select("video_id", "scene", "released")
+
+
+@query("t09_continuity", oracle=scene_sql(4) + "SELECT video_id, scene, CAST(CASE WHEN scene < 2 THEN 1 ELSE 0 END AS BIGINT) AS confirmed FROM scn")
+def t09(spark, sf):
+    return verdicts(spark, sf, scenes.CONTINUITY).select("video_id", "scene", "confirmed")
+
+
+@query("t10_idle_and_end_of_stream", oracle=scene_sql(3) + "SELECT video_id, scene, CAST(CASE WHEN scene < 2 THEN 1 ELSE 0 END AS BIGINT) AS confirmed, scene = 1 AS walkaway FROM scn")
+def t10(spark, sf):
+    return verdicts(spark, sf, scenes.ENDINGS).select("video_id", "scene", "confirmed", "walkaway")
+
+
+@query("t06_actors_in_a_crowd", oracle=scene_sql(5) + "SELECT video_id, scene, CAST(CASE WHEN scene = 0 THEN 2 ELSE 1 END AS BIGINT) AS confirmed, CASE scene WHEN 0 THEN '1,2' WHEN 3 THEN '2' ELSE '1' END AS actors FROM scn")
+def t06_crowd(spark, sf):
+    return verdicts(spark, sf, scenes.CROWD).select("video_id", "scene", "confirmed", "actors")

@@ -1,7 +1,13 @@
-"""Scripted scenes: one video per customer, whose scene follows from the customer key."""
+"""Scripted scenes: every customer is one video that plays the scene its key selects.
+
+A scene is a list of ticks, each with person and object boxes. The script rows of a family are a
+small table; customers are joined to it by scene number, so the work grows with the customers.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,54 +18,133 @@ from trackspark.plans import views
 
 FAST = Thresholds(analysis_fps=10.0, min_carried_frames=3, min_stationary_frames=4, min_departed_frames=2, confirmation_grace_frames=2,
                   smoothing_window=3, stationary_window_frames=3, max_pair_age_frames=8, min_event_confidence=0.65)
-CONFIGS = {"fast": FAST, "fast_zone": FAST.with_overrides(max_pair_age_frames=12)}
+HAND = Thresholds(min_carried_frames=3, min_stationary_frames=3, min_abandonment_frames=3, feet_release_frames=2, smoothing_window=2, max_pair_age_frames=30,
+                  require_ground_confirmation=False, require_carry_origin_link=False)
+CONFIGS = {"fast": FAST, "zone": FAST.with_overrides(max_pair_age_frames=12), "gap": FAST.with_overrides(max_track_gap_frames=3), "hand": HAND}
 FRAME_W, FRAME_H = 1280, 720
 ZONE = geom.Box(*(F.lit(v) for v in (0.05, 0.50, 0.20, 0.70)))
 
-_DROP = [220] * 6 + [280, 340, 400] + [420] * 6
-# Object heights per tick and person positions per tick, by scene number.
-OBJECT_Y = [_DROP + [420] * 4, [220] * 6 + [280, 340, 400] + [420] * 12, [220] * 6, _DROP + [420] * 4, _DROP + [420] * 6, _DROP + [420] * 4,
-            [220] * 8 + [240, 260, 280] + [300] * 3 + [240, 200, 160, 150, 150] + [160] * 6]
-_WALK = [140] * 15 + [360, 520, 680, 840]
-PERSON_X = [_WALK, [140] * 21, [140] * 6, _WALK, _WALK + [1000, 1160], _WALK, [140] * 25]
-LIFT_FROM = 14
-
-
-def ticks(spark: SparkSession, sf: str) -> DataFrame:
-    """video_id, scene, session, frame, ts, object_y, person_x: ten ticks per second."""
-    c = views.table(spark, sf, "customer").select(F.col("c_custkey").alias("video_id"), (F.col("c_custkey") % 7).cast("int").alias("scene"))
-    ys = F.get(F.array(*(F.array(*(F.lit(float(y)) for y in row)) for row in OBJECT_Y)), F.col("scene"))
-    xs = F.get(F.array(*(F.array(*(F.lit(float(x)) for x in row)) for row in PERSON_X)), F.col("scene"))
-    out = c.select("video_id", "scene", F.posexplode(F.arrays_zip(ys.alias("y"), xs.alias("x"))))
-    return out.select("video_id", "scene", F.lit(0).cast("bigint").alias("session"), F.col("pos").cast("bigint").alias("frame"), (F.col("pos") / 10.0).alias("ts"),
-                      F.col("col.y").alias("object_y"), F.col("col.x").alias("person_x"))
-
-
-def boxes(t: DataFrame) -> DataFrame:
-    """Person and object boxes of each tick, in the layout `pairfeatures` reads."""
-    x, y = F.col("person_x"), F.col("object_y")
-    lifted = (F.col("scene") == 6) & (F.col("frame") >= LIFT_FROM)
-    none = F.lit(None).cast("double")
-
-    def row(det: int, track: int, person: bool, source, cls, conf, cx, cy, w: float, h: float, marks: dict):
-        values = {"det_id": F.lit(det).cast("bigint"), "track_id": F.lit(track).cast("bigint"), "is_person": F.lit(person), "source": source, "class_name": cls,
-                  "x1": cx - w, "y1": cy - h, "x2": cx + w, "y2": cy + h, "confidence": conf, **{m: marks.get(m, none) for m in pairfeatures.MARKS}}
-        return F.struct(*(v.alias(k) for k, v in values.items()))
-
-    person = row(1, 1, True, F.lit("yolo"), F.lit("person"), F.lit(0.9), x, F.lit(180.0), 40.0, 80.0, {
-        "lw_x": F.when(lifted, 140.0).otherwise(x + 10), "lw_y": F.when(lifted, y).otherwise(F.lit(210.0)),
-        "rw_x": F.when(lifted, 150.0).otherwise(x - 10), "rw_y": F.when(lifted, y - 10).otherwise(F.lit(210.0)), "torso_x": x, "torso_y": F.lit(160.0)})
-    source = F.when(F.col("scene") == 3, "novelty").when(F.col("scene") == 5, "color").otherwise("yolo")
-    conf = F.when(F.col("scene") == 3, 0.9).when(F.col("scene") == 4, 0.7).otherwise(0.5)
-    item = row(2, 10001, False, source, F.when(F.col("scene") == 3, "detected_object").otherwise("trash_bag"), conf, F.lit(140.0), y, 15.0, 15.0, {})
-    return t.select("video_id", "session", "frame", F.inline(F.array(person, item)))
-
-
-def machine_rows(t: DataFrame) -> DataFrame:
-    """Tick rows of the scripted scenes under their own configs, with the zone of scene 4."""
-    b = boxes(t)
-    scenes = t.select("video_id", "scene").distinct()
-    assignment = scenes.select("video_id", F.when(F.col("scene") == 4, "fast_zone").otherwise("fast").alias("config_id"))
-    zones = scenes.where("scene = 4").select(F.col("video_id").alias("camera_id"), geom.polygon_from_box(ZONE).alias("polygon"))
-    hits = assoc.in_zones(b.where(~F.col("is_person")).withColumn("camera_id", F.col("video_id")), zones, FRAME_W, FRAME_H)
-    return pairfeatures.tick_rows(b, t.select("video_id", "session", "frame", "ts"), CONFIGS, assignment, hits)
+ROW_SCHEMA = ("scene int, config_id string, frame bigint, det_id bigint, track_id bigint, is_person boolean, source string, class_name string, x1 double, y1 double, "
+              "x2 double, y2 double, confidence double, " + ", ".join(f"{m} double" for m in pairfeatures.MARKS))
+
+
+def person(track: int, x: float, h: float = 160.0, wrists: tuple | None = None) -> tuple:
+    """A person centred at (x, 180), hands at the waist unless given as ((x, y), (x, y))."""
+    left, right = wrists or ((x + 10, 210), (x - 10, 210))
+    return (track, True, "yolo", "person", 0.9, x, 180.0, 40.0, h / 2, (*left, *right, x, 160))
+
+
+def item(track: int, x: float, y: float, conf: float = 0.5, source: str = "yolo", cls: str = "trash_bag") -> tuple:
+    return (track, False, source, cls, conf, x, y, 15.0, 15.0, (None,) * 6)
+
+
+def script_rows(scene: int, config: str, ticks: Sequence[Sequence[tuple]]) -> list[tuple]:
+    """Script rows of one scene; `ticks` holds the boxes of each tick."""
+    return [(scene, config, frame, i + 1, track, is_person, source, cls, float(x - w), float(y - h), float(x + w), float(y + h), float(conf),
+             *(None if m is None else float(m) for m in marks))
+            for frame, boxes in enumerate(ticks) for i, (track, is_person, source, cls, conf, x, y, w, h, marks) in enumerate(boxes)]
+
+
+def _drop(n_ground: int, walk: Sequence[float], **kw) -> list[list[tuple]]:
+    """Carry six ticks, let fall, rest, and then the person goes where `walk` says."""
+    ys = [220] * 6 + [280, 340, 400] + [420] * n_ground
+    return [[person(1, 140), item(10001, 140, y, **kw)] for y in ys] + [[person(1, x), item(10001, 140, 420, **kw)] for x in walk]
+
+
+_AWAY = (360, 520, 680, 840)
+_HANDS_UP = ((170, 120), (110, 120))
+
+
+def _regrab() -> list[list[tuple]]:
+    low = [220] * 8 + [240, 260, 280] + [300] * 3
+    return [[person(1, 140), item(10001, 140, y)] for y in low] + [
+        [person(1, 140, wrists=((140, y), (150, y - 10))), item(10001, 140, y)] for y in [240, 200, 160, 150, 150] + [160] * 6]
+
+
+CORE = [("fast", _drop(6, _AWAY)), ("fast", _drop(12, ())), ("fast", [[person(1, 140), item(10001, 140, 220)]] * 6),
+        ("fast", _drop(6, _AWAY, conf=0.9, source="novelty", cls="detected_object")), ("zone", _drop(6, (*_AWAY, 1000, 1160), conf=0.7)),
+        ("fast", _drop(6, _AWAY, source="color")), ("fast", _regrab())]
+
+# Put-downs: hands clear, hands near, after a walk, and somebody else's object on the ground.
+RELEASES = [
+    ("fast", [[person(1, 140), item(10001, 140, 185)]] * 6 + [[person(1, 140, wrists=_HANDS_UP), item(10001, 140, 230)]] * 20),
+    ("fast", [[person(1, 140), item(10001, 140, 185)]] * 6 + [[person(1, 140), item(10001, 140, 230)]] * 15),
+    ("fast", [[person(1, x), item(10001, x, 220)] for x in range(140, 281, 20)] + [[person(1, 280), item(10001, 220, 230)]] * 15),
+    ("fast", [[person(1, 140, wrists=_HANDS_UP), item(10001, 140, 230)]] * 20)]
+
+
+def _gripped(x: float, n: int) -> list[list[tuple]]:
+    return [[person(1, x, 200, ((x, 200), (x + 10, 195))), item(10001, x, 200, conf=0.9)]] * n
+
+
+# The hand: it separates, it separates for one tick only, the object vanishes, it never separated.
+HANDS = [
+    ("hand", _gripped(140, 6) + [[person(1, 140, 200, ((140, 190), (160, 120))), item(10001, 140, 200 + 20 * i, conf=0.9)] for i in range(8)]),
+    ("hand", _gripped(140, 6) + [[person(1, 140, 200, ((140, 160), (160, 120))), item(10001, 140, 250, conf=0.9)]]
+     + [[person(1, 140, 200, ((140, 200), (150, 120))), item(10001, 140, 205, conf=0.9)]] * 4),
+    ("hand", [t for x in range(140, 241, 20) for t in _gripped(x, 1)] + [[person(1, x, 200, ((x, 160), (x + 10, 120)))] for x in range(260, 361, 20)]),
+    ("hand", [[person(1, 140, 200, ((140, 50), (150, 45))), item(10001, 140, 200, conf=0.9)]] * 6 + _gripped(140, 6) + [[person(1, 140, 200, ((140, 200), (150, 195)))]] * 10)]
+
+
+def _churn() -> list[list[tuple]]:
+    steps = [(10001, 220)] * 4 + [(10002, 220)] * 4 + [(10002, 280), (10003, 340), (10003, 400)] + [(t, 400) for t in (10003, 10004, 10005, 10004, 10005, 10004)]
+    return [[person(1, 140), item(t, 140, y)] for t, y in steps] + [[person(1, x), item(10005, 140, 400)] for x in (300, 460, 620, 780)]
+
+
+_FALL = [[person(1, 140), item(10001, 140, y)] for y in [220] * 6 + [280, 340, 400]]
+# Continuity: a blink with a new id, many new ids, the object gone for good, another object instead.
+CONTINUITY = [
+    ("fast", [[person(1, 140), item(60001, 140, 220)]] * 6 + [[person(1, 140)]] + [[person(1, 140), item(60002, 140, y)] for y in [280, 340, 400] + [420] * 6]
+     + [[person(1, x), item(60002, 140, 420)] for x in _AWAY]),
+    ("fast", _churn()), ("gap", _FALL + [[person(1, 140)]] * 12), ("gap", _FALL + [[person(1, 140)]] * 6 + [[person(1, 140), item(77777, 700, 420)]] * 8)]
+
+# The end: the person leaves the picture, the stream stops while they walk off, or while they carry on.
+ENDINGS = [
+    ("fast", _drop(3, ()) + [[item(10001, 140, 420)]] * 14), ("fast", _drop(2, (280, 420))),
+    ("fast", [[person(1, 140), item(10001, 140, 220)]] * 6 + [[person(1, x), item(10001, x, 220)] for x in (300, 460, 620, 780, 940)])]
+
+
+def _two(first: Sequence[tuple]) -> list[list[tuple]]:
+    return [list(t) for t in first]
+
+
+def _crowd() -> list[tuple[str, list[list[tuple]]]]:
+    carry = [220] * 4 + [280, 340, 400] + [400] * 5
+    both = [[person(1, 140), person(2, 900), item(10001, 140, y), item(20001, 900, y)] for y in carry] + [
+        [person(1, a), person(2, b), item(10001, 140, 400), item(20001, 900, 400)] for a, b in ((-100, 1100), (-200, 1300), (-300, 1500), (-400, 1700))]
+    passer = [[person(1, 140), item(10001, 140, y)] for y in carry] + [[person(1, 300), person(2, x), item(10001, 140, 400)] for x in (520, 400, 280, 200, 140, 140, 140)]
+    bystander = [[person(1, 140), person(2, 260), item(10001, 140, y)] for y in carry] + [
+        [person(1, x), person(2, 260), item(10001, 140, 400)] for x in (320, 440, 560, 680)] + [[person(2, 260), item(10001, 140, 400)]] * 6
+    ahead = (400, 520, 640, 760, 880, 1000, 1120)
+    three = [[person(1, x), person(2, 140), item(20001, 140, y)] for x, y in zip(ahead, carry)] + [[person(2, 140), item(20001, 140, 400)]] * 5 + [
+        [person(2, x), item(20001, 140, 400)] for x in (320, 460, 600, 740)] + [[person(3, x), item(20001, 140, 400)] for x in (520, 400, 280, 200, 140, 140, 140)]
+    pit = [[person(1, 900), person(2, 200), item(10001, 900, y), item(20001, 200, y)] for y in [220] * 6 + [280, 340, 400] + [420] * 6] + [
+        [person(1, a), person(2, b), item(10001, 900, 420), item(20001, 200, 420)] for a, b in ((1100, -100), (1300, -300), (1500, -500), (1700, -700))]
+    return [("fast", both), ("fast", passer), ("fast", bystander), ("fast", three), ("zone", pit)]
+
+
+CROWD = _crowd()
+
+
+def play(spark: SparkSession, sf: str, family: Sequence[tuple[str, list[list[tuple]]]]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(boxes, ticks, scenes) with scene = customer key modulo the family size."""
+    cast = views.table(spark, sf, "customer").select(F.col("c_custkey").alias("video_id"), (F.col("c_custkey") % len(family)).cast("int").alias("scene"))
+    return staged(spark, cast, family)
+
+
+def staged(spark: SparkSession, cast: DataFrame, family: Sequence[tuple[str, list[list[tuple]]]]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    rows = [r for scene, (config, ticks) in enumerate(family) for r in script_rows(scene, config, ticks)]
+    script = F.broadcast(spark.createDataFrame(rows, ROW_SCHEMA))
+    lengths = F.broadcast(spark.createDataFrame([(i, c, len(t)) for i, (c, t) in enumerate(family)], "scene int, config_id string, n int"))
+    session = F.lit(0).cast("bigint").alias("session")
+    scenes = cast.join(lengths, "scene").select("video_id", "scene", "config_id", "n")
+    boxes = cast.join(script.drop("config_id"), "scene").select("video_id", session, "scene", *(c for c in script.columns if c not in ("scene", "config_id")))
+    ticks = scenes.select("video_id", session, F.explode(F.sequence(F.lit(0).cast("bigint"), (F.col("n") - 1).cast("bigint"))).alias("frame")).withColumn("ts", F.col("frame") / 10.0)
+    return boxes, ticks, scenes
+
+
+def machine_rows(boxes: DataFrame, ticks: DataFrame, scenes: DataFrame, configs: dict[str, Thresholds] = CONFIGS, every: bool = False) -> DataFrame:
+    """Tick rows of the scenes under their own config, or under `every` config; "zone" scenes have a bin zone."""
+    zones = scenes.where("config_id = 'zone'").select(F.col("video_id").alias("camera_id"), geom.polygon_from_box(ZONE).alias("polygon"))
+    hits = assoc.in_zones(boxes.where(~F.col("is_person")).withColumn("camera_id", F.col("video_id")), zones, FRAME_W, FRAME_H)
+    return pairfeatures.tick_rows(boxes, ticks, configs, None if every else scenes.select("video_id", "config_id"), hits)
