@@ -90,3 +90,21 @@ def in_zones(det: DataFrame, zones: DataFrame, frame_w: float, frame_h: float) -
     level = c.y / frame_h
     hits = asked.join(scoped, "scope").where(level.between(F.col("y_low"), F.col("y_high")))
     return hits.where(geom.in_edges(F.col("edges"), c.x / frame_w, level)).drop("scope", "edges", "y_low", "y_high")
+
+
+def flag_zones(det: DataFrame, zones: DataFrame, frame_w: float, frame_h: float) -> DataFrame:
+    """J7 as a flag: `in_zone` per box, without multiplying or regrouping the boxes.
+
+    The zones of a camera become one array row, so the join on the camera is one to one; the zones
+    for every camera are one more such row.
+    """
+    edges = zones.withColumn("_edges", geom.polygon_edges(F.col("polygon")))
+    own = edges.where("camera_id is not null").groupBy("camera_id").agg(F.collect_list("_edges").alias("_own"))
+    shared = edges.where("camera_id is null").groupBy(F.lit(1).alias("_k")).agg(F.collect_list("_edges").alias("_all"))
+    if zones.limit(ZONE_BROADCAST_ROWS + 1).count() <= ZONE_BROADCAST_ROWS:
+        own, shared = F.broadcast(own), F.broadcast(shared)
+    c = geom.centroid(geom.box())
+    joined = det.join(own, "camera_id", "left").withColumn("_k", F.lit(1)).join(shared, "_k", "left")
+    zone_list = F.concat(F.coalesce("_own", F.array()), F.coalesce("_all", F.array()))
+    inside = F.exists(zone_list, lambda e: geom.in_edges(e, c.x / frame_w, c.y / frame_h))
+    return joined.withColumn("in_zone", F.coalesce(inside, F.lit(False))).drop("_own", "_all", "_k")

@@ -67,24 +67,26 @@ def fold_frames(df: DataFrame, keys: Sequence[str], frame: str, order: Sequence[
     return fold_sorted(df, keys, [frame, *order], begin, step, end, schema)
 
 
-def map_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], work: Callable[[pd.DataFrame], pd.DataFrame],
-             schema: str) -> DataFrame:
-    """Sort by key and order, and hand `work` whole key groups, many per call.
-
-    A group is buffered until it is complete, so keys must have bounded groups (a chunk, an island).
-    Handing over many groups at once spares the per-group cost of a grouped pandas call.
+def map_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], make: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]],
+             schema: str, shuffle_by: Sequence[str] | None = None) -> DataFrame:
+    """Sort by key and order, and hand whole key groups, many per call, to a worker made per task.
+
+    A group is buffered until it is complete, so keys must have bounded groups (a chunk, a frame).
+    Handing over many groups at once spares the per-group cost of a grouped pandas call. With
+    `shuffle_by` (a prefix of the keys) all groups of a prefix pass the same worker in order, which
+    may then keep state between them.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
+        work, held = make(), []
         for pdf in batches:
-            last = tuple(pdf[k].iloc[-1] for k in keys) if len(pdf) else None
-            if last is None:
+            if not len(pdf):
                 continue
+            last = tuple(pdf[k].iloc[-1] for k in keys)
             tail = np.ones(len(pdf), dtype=bool)
             for k, value in zip(keys, last):
                 tail &= (pdf[k] == value).to_numpy()
-            begin = len(pdf) - int(tail[::-1].argmin()) if not tail.all() else 0
+            begin = 0 if tail.all() else len(pdf) - int(tail[::-1].argmin())
             if begin or (held and tuple(held[-1][k].iloc[-1] for k in keys) != last):
                 whole = pd.concat([*held, pdf.iloc[:begin]]) if held else pdf.iloc[:begin]
                 held = []
@@ -94,10 +96,41 @@ def map_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], work: Cal
         if held:
             yield work(pd.concat(held).reset_index(drop=True))
 
-    prepared = df.repartition(*(F.col(k) for k in keys)).sortWithinPartitions(*keys, *order)
+    prepared = df.repartition(*(F.col(k) for k in (shuffle_by or keys))).sortWithinPartitions(*keys, *order)
     return prepared.mapInPandas(run, schema)
 
 
+def ddl(df: DataFrame, columns: Sequence[str] | None = None) -> str:
+    kinds = dict(df.dtypes)
+    return ", ".join(f"{c} {kinds[c]}" for c in (columns or df.columns))
+
+
+def annotate_frames(df: DataFrame, keys: Sequence[str], frame: str, order: Sequence[str], inputs: Sequence[str], start: Callable[[], object],
+                    tick: Callable[[object, int, list[tuple]], list], name: str) -> DataFrame:
+    """Add one bigint column decided frame by frame: `tick` sees a frame's `inputs` rows and returns one value per row.
+
+    Rows keep all their columns, so no join is needed to bring the result back.
+    """
+    group = [*keys, frame]
+
+    def make() -> Callable[[pd.DataFrame], pd.DataFrame]:
+        box: list = [None, None]
+
+        def work(pdf: pd.DataFrame) -> pd.DataFrame:
+            cols = [pdf[c].tolist() for c in inputs]
+            ids = list(zip(*(pdf[k].tolist() for k in keys)))
+            frames, values = pdf[frame].tolist(), []
+            for lo, hi in _bounds(pdf, group):
+                if ids[lo] != box[0]:
+                    box[0], box[1] = ids[lo], start()
+                values.extend(tick(box[1], frames[lo], list(zip(*(c[lo:hi] for c in cols)))))
+            return pdf.assign(**{name: np.asarray(values, dtype="int64")})
+
+        return work
+
+    return map_runs(df, group, order, make, f"{ddl(df)}, {name} bigint", shuffle_by=keys)
+
+
 def _bounds(pdf: pd.DataFrame, keys: Sequence[str]) -> list[tuple[int, int]]:
     """Start and end row of each key group in key-sorted rows."""
     n = len(pdf)
@@ -139,7 +172,7 @@ def greedy_spacing(df: DataFrame, keys: Sequence[str], ts: str, tie: str, interv
         at = np.concatenate(picks)
         return pdf.iloc[at][group].assign(enter=times[at], leave=np.concatenate(leaves))
 
-    table = map_runs(rows.select(*group, ts).distinct(), group, [ts], tabulate, f"{key_types}, _c bigint, enter double, leave double")
+    table = map_runs(rows.select(*group, ts).distinct(), group, [ts], lambda: tabulate, f"{key_types}, _c bigint, enter double, leave double")
 
     def start() -> dict:
         return {"chunk": None, "last": None, "before": None, "done": True}
@@ -169,7 +202,7 @@ def greedy_spacing(df: DataFrame, keys: Sequence[str], ts: str, tie: str, interv
     out_schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + f", {name} boolean"
     known = entries.select(*group, F.coalesce("before", F.lit(float("nan"))).alias("_before"))
     joined = rows.join(known, group).select(*rows.columns, "_before")
-    return map_runs(joined, group, [ts, tie], replay, out_schema).drop("_c")
+    return map_runs(joined, group, [ts, tie], lambda: replay, out_schema).drop("_c")
 
 
 def islands(df: DataFrame, keys: Sequence[str], ordinal: str, starts: Column, name: str = "island") -> DataFrame:

@@ -1,7 +1,8 @@
 """Stable identities across tracker id churn.
 
-Each operator streams one (video, session) in frame order and keeps only recent identities. The
-geometry each decision needs is prepared as columns beforehand.
+Each operator streams one (video, session) in frame order and keeps only recent identities. Rows
+keep all their columns on the way through, and the geometry a decision needs is prepared as
+columns beforehand.
 """
 
 from __future__ import annotations
@@ -21,107 +22,128 @@ OBJECT_AGE, OBJECT_REACH, OBJECT_SIZE_RATIO, FIRST_OBJECT_UID = 120, 220.0, 0.30
 COLOUR_AGE, COLOUR_REACH = 60, 160.0
 REGION_AGE, REGION_REACH, REGION_HITS = 12, 70.0, 8
 
+_MARKS = ["lw_x", "lw_y", "rw_x", "rw_y", "torso_x", "torso_y"]
+_SHAPE = ["_cx", "_cy", "_h", *(f"_{m}" for m in _MARKS)]
 
-def _types(df: DataFrame, columns: Sequence[str]) -> str:
-    kinds = dict(df.dtypes)
-    return ", ".join(f"{c} {kinds[c]}" for c in columns)
 
+def _likeness(a: tuple, b: tuple) -> float:
+    """Height ratio, and the share of landmarks seen on both that lie close together."""
+    big = max(a[2], b[2])
+    pairs = [(a[i], a[i + 1], b[i], b[i + 1]) for i in (3, 5, 7) if a[i] == a[i] and b[i] == b[i]]
+    close = sum(math.hypot(ax - bx, ay - by) < 0.3 * big for ax, ay, bx, by in pairs)
+    return 0.6 * min(a[2], b[2]) / big + (0.4 * close / len(pairs) if pairs else 0.0)
 
-def _landmarks(df: DataFrame) -> DataFrame:
-    """NaN for missing landmark coordinates, so rows stay plain floats in Python."""
-    nan = F.lit(float("nan"))
-    cols = ["lw_x", "lw_y", "rw_x", "rw_y", "torso_x", "torso_y"]
-    return df.withColumns({c: F.coalesce(F.col(c) if c in df.columns else nan, nan) for c in cols})
 
+class _People:
+    """A known raw id keeps its uid; a new one may take over a recently lost uid."""
 
-def person_uids(persons: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Add `uid`. A known raw id keeps its uid; a new one may take over a recently lost uid.
-
-    The claim is scored on distance, gap and body geometry; a uid seen in the same frame, or already
-    claimed in it, is not available.
-    """
-    c = geom.centroid(geom.box())
-    rows = _landmarks(persons).select(*keys, "frame", "det_id", "track_id", c.x.alias("cx"), c.y.alias("cy"),
-                                      F.greatest(F.lit(1e-6), F.col("y2") - F.col("y1")).alias("h"),
-                                      "lw_x", "lw_y", "rw_x", "rw_y", "torso_x", "torso_y")
-
-    def likeness(a: tuple, b: tuple) -> float:
-        big = max(a[2], b[2])
-        pairs = [(a[i], a[i + 1], b[i], b[i + 1]) for i in (3, 5, 7) if a[i] == a[i] and b[i] == b[i]]
-        close = sum(math.hypot(ax - bx, ay - by) < 0.3 * big for ax, ay, bx, by in pairs)
-        return 0.6 * min(a[2], b[2]) / big + (0.4 * close / len(pairs) if pairs else 0.0)
+    def __init__(self) -> None:
+        self.known: dict[int, int] = {}
+        self.seen: dict[int, tuple[int, tuple]] = {}
+        self.next = 1
 
-    def start() -> dict:
-        return {"known": {}, "seen": {}, "next": 1}
-
-    def tick(state: dict, frame: int, rows: list[tuple]):
-        claimed, out, seen = set(), [], state["seen"]
-        for uid in [u for u, (at, _) in seen.items() if frame - at > PERSON_AGE]:
-            del seen[uid]
-        for _, det, raw, *shape in rows:
-            shape = tuple(shape)
-            uid = state["known"].get(raw)
+    def tick(self, frame: int, rows: list[tuple]) -> list[int]:
+        for uid in [u for u, (at, _) in self.seen.items() if frame - at > PERSON_AGE]:
+            del self.seen[uid]
+        claimed: set[int] = set()
+        out = []
+        for raw, shape in rows:
+            uid = self.known.get(raw)
             if uid is None:
-                best = PERSON_MIN_SCORE
-                for u in sorted(seen):
-                    at, was = seen[u]
-                    d = math.hypot(shape[0] - was[0], shape[1] - was[1])
-                    if at == frame or u in claimed or d > PERSON_REACH:
-                        continue
-                    score = (0.6 * (1.0 - d / PERSON_REACH) + 0.4 * (1.0 - (frame - at) / PERSON_AGE) + 0.2 * likeness(was, shape))
-                    if score > best or (score == best and uid is None):
-                        best, uid = score, u
+                uid = self.recovered(frame, shape, claimed)
                 if uid is None:
-                    uid, state["next"] = state["next"], state["next"] + 1
+                    uid, self.next = self.next, self.next + 1
                 else:
                     claimed.add(uid)
-                state["known"][raw] = uid
-            seen[uid] = (frame, shape)
-            out.append((frame, det, uid))
+                self.known[raw] = uid
+            self.seen[uid] = (frame, shape)
+            out.append(uid)
         return out
 
-    uids = folds.fold_frames(rows, keys, "frame", ["det_id"], start, tick, lambda s: (), f"{_types(rows, [*keys, 'frame', 'det_id'])}, uid bigint")
-    return persons.join(uids, [*keys, "frame", "det_id"])
+    def recovered(self, frame: int, shape: tuple, claimed: set[int]) -> int | None:
+        """Best lost uid by distance, gap and likeness; one seen or claimed in this frame is not lost."""
+        best, found = PERSON_MIN_SCORE, None
+        for uid in sorted(self.seen):
+            at, was = self.seen[uid]
+            d = math.hypot(shape[0] - was[0], shape[1] - was[1])
+            if at == frame or uid in claimed or d > PERSON_REACH:
+                continue
+            score = 0.6 * (1.0 - d / PERSON_REACH) + 0.4 * (1.0 - (frame - at) / PERSON_AGE) + 0.2 * _likeness(was, shape)
+            if score > best or (score == best and found is None):
+                best, found = score, uid
+        return found
 
 
-def object_uids(objects: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Add `uid`. Largest box first takes the nearest live record of its family and size.
+class _Things:
+    """Largest box first takes the nearest live record of its family and size.
 
     Age counts frames that contain objects. Equal distances go to the younger record.
     """
-    c = geom.centroid(geom.box())
-    rows = objects.select(*keys, "frame", "det_id", c.x.alias("cx"), c.y.alias("cy"), geom.floored_area(geom.box()).alias("area"),
-                          F.array_join(labels.family(F.col("class_name")), " ").alias("family"))
 
-    def start() -> dict:
-        return {"ticks": 0, "records": {}, "next": FIRST_OBJECT_UID}
-
-    def tick(state: dict, frame: int, rows: list[tuple]):
-        state["ticks"] += 1
-        now, records, taken, out = state["ticks"], state["records"], set(), []
-        for uid in [u for u, r in records.items() if now - r[0] > OBJECT_AGE]:
-            del records[uid]
-        for _, det, x, y, area, words in sorted(rows, key=lambda r: -r[4]):
+    def __init__(self) -> None:
+        self.ticks, self.records, self.next = 0, {}, FIRST_OBJECT_UID
+
+    def tick(self, rows: list[tuple]) -> list[int]:
+        if not rows:
+            return []
+        self.ticks += 1
+        for uid in [u for u, r in self.records.items() if self.ticks - r[0] > OBJECT_AGE]:
+            del self.records[uid]
+        taken: set[int] = set()
+        out = [0] * len(rows)
+        for i in sorted(range(len(rows)), key=lambda i: -rows[i][2]):
+            x, y, area, words = rows[i]
             mine, uid, reach = set(words.split()), None, OBJECT_REACH
-            for u, (_, rx, ry, rarea, rwords) in records.items():
+            for u, (_, rx, ry, rarea, rwords) in self.records.items():
                 if u in taken or (mine and rwords and not mine & rwords) or min(area, rarea) / max(area, rarea) < OBJECT_SIZE_RATIO:
                     continue
                 d = math.hypot(x - rx, y - ry)
                 if d <= reach:
                     uid, reach = u, d
             if uid is None:
-                uid, state["next"] = state["next"], state["next"] + 1
-            records[uid] = (now, x, y, area, mine)
+                uid, self.next = self.next, self.next + 1
+            self.records[uid] = (self.ticks, x, y, area, mine)
             taken.add(uid)
-            out.append((frame, det, uid))
+            out[i] = uid
         return out
 
-    uids = folds.fold_frames(rows, keys, "frame", ["det_id"], start, tick, lambda s: (), f"{_types(rows, [*keys, 'frame', 'det_id'])}, uid bigint")
-    return objects.join(uids, [*keys, "frame", "det_id"])
+
+def stable_uids(boxes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Add `uid` to persons (T1) and objects (T2) in one pass over each (video, session).
+
+    Person and object uids are separate number ranges; a frame's persons and objects do not
+    influence each other.
+    """
+    c, nan = geom.centroid(geom.box()), F.lit(float("nan"))
+    helpers = {"_cx": c.x, "_cy": c.y, "_h": F.greatest(F.lit(1e-6), F.col("y2") - F.col("y1")), "_area": geom.floored_area(geom.box()),
+               "_family": F.array_join(labels.family(F.col("class_name")), " "),
+               **{f"_{m}": F.coalesce(F.col(m) if m in boxes.columns else nan, nan) for m in _MARKS}}
+
+    def tick(state: tuple, frame: int, rows: list[tuple]) -> list[int]:
+        people = [i for i, r in enumerate(rows) if r[0]]
+        things = [i for i, r in enumerate(rows) if not r[0]]
+        out = [0] * len(rows)
+        for i, uid in zip(people, state[0].tick(frame, [(rows[i][1], rows[i][4:]) for i in people])):
+            out[i] = uid
+        for i, uid in zip(things, state[1].tick([(rows[i][4], rows[i][5], rows[i][2], rows[i][3]) for i in things])):
+            out[i] = uid
+        return out
+
+    inputs = ["is_person", "track_id", "_area", "_family", *_SHAPE]
+    out = folds.annotate_frames(boxes.withColumns(helpers), keys, "frame", ["det_id"], inputs, lambda: (_People(), _Things()), tick, "uid")
+    return out.drop(*helpers)
+
+
+def person_uids(persons: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return stable_uids(persons.where("is_person"), keys)
+
+
+def object_uids(objects: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return stable_uids(objects.where(~F.col("is_person")), keys)
 
 
 def link_regions(regions: DataFrame, keys: Sequence[str], reach: float, age: int) -> DataFrame:
-    """Link regions frame by frame; adds `track`, `hits`.
+    """Link regions frame by frame; adds `track` and `hits`.
 
     Tracks in order of birth take the nearest free region within reach (the first on ties). A
     region left over starts a track only if its `may_start` flag allows it; otherwise it stays
@@ -129,32 +151,30 @@ def link_regions(regions: DataFrame, keys: Sequence[str], reach: float, age: int
     more than `age` frames, so it can still be found again in that very frame.
     """
     c = geom.centroid(geom.box())
-    rows = regions.select(*keys, "frame", "det_id", c.x.alias("cx"), c.y.alias("cy"), "may_start")
 
     def start() -> dict:
         return {"tracks": {}, "next": 1}
 
-    def tick(state: dict, frame: int, rows: list[tuple]):
-        tracks, free, out = state["tracks"], list(rows), []
-        for t in [t for t, (at, *_) in tracks.items() if frame - at > age + 1]:
+    def tick(state: dict, frame: int, rows: list[tuple]) -> list[int]:
+        tracks, free, out = state["tracks"], list(range(len(rows))), [0] * len(rows)
+        for t in [t for t, (at, _, _) in tracks.items() if frame - at > age + 1]:
             del tracks[t]
-        for t, (_, x, y, hits) in list(tracks.items()):
-            near = [(math.hypot(r[2] - x, r[3] - y), i) for i, r in enumerate(free)]
-            best = min(near) if near else None
-            if best is None or best[0] >= reach:
+        for t, (_, x, y) in list(tracks.items()):
+            near = [(math.hypot(rows[i][0] - x, rows[i][1] - y), i) for i in free]
+            if not near or min(near)[0] >= reach:
                 continue
-            r = free.pop(best[1])
-            tracks[t] = (frame, r[2], r[3], hits + 1)
-            out.append((frame, r[1], t, hits + 1))
-        for r in free:
-            if r[4]:
+            i = min(near)[1]
+            free.remove(i)
+            tracks[t], out[i] = (frame, *rows[i][:2]), t
+        for i in free:
+            if rows[i][2]:
                 t, state["next"] = state["next"], state["next"] + 1
-                tracks[t] = (frame, r[2], r[3], 1)
-                out.append((frame, r[1], t, 1))
+                tracks[t], out[i] = (frame, *rows[i][:2]), t
         return out
 
-    linked = folds.fold_frames(rows, keys, "frame", ["det_id"], start, tick, lambda s: (), f"{_types(rows, [*keys, 'frame', 'det_id'])}, track bigint, hits bigint")
-    return regions.join(linked, [*keys, "frame", "det_id"])
+    rows = regions.withColumns({"_cx": c.x, "_cy": c.y})
+    linked = folds.annotate_frames(rows, keys, "frame", ["det_id"], ["_cx", "_cy", "may_start"], start, tick, "track").drop("_cx", "_cy")
+    return longseq.with_ordinal(linked.where("track > 0"), [*keys, "track"], ["frame"], F.floor(F.col("frame") / longseq.CHUNK), "hits")
 
 
 def with_coasting(linked: DataFrame, keys: Sequence[str], age: int, last_frame: DataFrame) -> DataFrame:
@@ -188,8 +208,7 @@ def change_tracks(regions: DataFrame, keys: Sequence[str], last_frame: DataFrame
     """
     linked = link_regions(regions, keys, REGION_REACH, REGION_AGE)
     shown = with_coasting(linked, keys, REGION_AGE, last_frame)
-    numbered = shown.withColumn("_n", F.col("hits"))
     firsts = linked.where("person_id is not null").groupBy(*keys, "track").agg(F.min(F.struct("hits", "person_id")).alias("_p"))
-    best = numbered.join(firsts, [*keys, "track"], "left")
+    best = shown.join(firsts, [*keys, "track"], "left")
     return best.where(F.col("hits") >= REGION_HITS).withColumn(
-        "person_id", F.when(F.col("_p.hits") <= F.col("hits"), F.col("_p.person_id"))).drop("_p", "_n")
+        "person_id", F.when(F.col("_p.hits") <= F.col("hits"), F.col("_p.person_id"))).drop("_p")

@@ -7,15 +7,16 @@ sweep repeats the cheap flags but not the scans, windows or the frame join.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Mapping
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackspark.config import Thresholds
 from trackspark.functions import geom, labels, pose
 from trackspark.functions.geom import Point
-from trackspark.operators import calibrate, features, identity, longseq
+from trackspark.operators import calibrate, features, identity
 
 CLIP = ["video_id", "session"]
 MARKS = ["lw_x", "lw_y", "rw_x", "rw_y", "torso_x", "torso_y"]
@@ -37,29 +38,19 @@ def config_rows(spark, configs: Mapping[str, Thresholds]) -> DataFrame:
 def with_motion(boxes: DataFrame, window: int) -> DataFrame:
     """Add step lengths and displacement over the window, per stable identity.
 
-    Histories count observations, not ticks, so an identity that blinks keeps its motion.
+    Histories count observations, not ticks, so an identity that blinks keeps its motion. A group
+    is one identity of one session, and sessions are at most an hour of ticks.
     """
-    c = geom.centroid(geom.box())
+    w = Window.partitionBy(*CLIP, "is_person", "uid").orderBy("frame", "det_id")
+    c, reach = geom.centroid(geom.box()), max(2, window) - 1
     rows = boxes.withColumn("cx", c.x).withColumn("cy", c.y)
-    keys = [*CLIP, "is_person", "uid"]
-    numbered = longseq.with_ordinal(rows, keys, ["frame", "det_id"], F.floor(F.col("frame") / longseq.CHUNK), "_n")
-    here, reach = Point(F.col("cx"), F.col("cy")), max(2, window) - 1
+    here = Point(F.col("cx"), F.col("cy"))
 
-    def make(w) -> dict[str, Column]:
-        def earlier(name: str) -> Column:
-            return F.coalesce(*(F.lag(name, k).over(w) for k in range(reach, 0, -1)))
+    def earlier(name: str) -> Column:
+        return F.coalesce(*(F.lag(name, k).over(w) for k in range(reach, 0, -1)))
 
-        return {"_step": features.step(here, w), "step": features.mean_step("_step", w, 3),
-                "moved": geom.distance(here, Point(earlier("cx"), earlier("cy")))}
-
-    return longseq.bounded(numbered, keys, "_n", make, before=max(3, reach)).drop("_n", "_step")
-
-
-def identified(boxes: DataFrame, window: int) -> DataFrame:
-    """Stable uids (T1, T2) and motion columns for admitted persons and semantic objects."""
-    persons = identity.person_uids(boxes.where("is_person"), CLIP)
-    objects = identity.object_uids(boxes.where(~F.col("is_person")), CLIP)
-    return with_motion(persons.unionByName(objects), window)
+    stepped = rows.withColumn("_step", features.step(here, w)).withColumn("moved", geom.distance(here, Point(earlier("cx"), earlier("cy"))))
+    return stepped.withColumn("step", features.mean_step("_step", w, 3)).drop("_step", "cx", "cy")
 
 
 def admitted(boxes: DataFrame, low_conf: float) -> DataFrame:
@@ -68,25 +59,41 @@ def admitted(boxes: DataFrame, low_conf: float) -> DataFrame:
     return boxes.where((F.col("confidence") >= low_conf) & ok)
 
 
-def observed_pairs(boxes: DataFrame, zone_hits: DataFrame | None) -> DataFrame:
-    """J1 base: every person with every object of its tick, with raw geometry and no thresholds."""
-    side = ["x1", "y1", "x2", "y2"]
-    p = boxes.where("is_person").select(*CLIP, "frame", F.col("track_id").alias("p_track"), F.col("uid").alias("p_uid"),
-                                        *(F.col(s).alias(f"p_{s}") for s in side), F.col("step").alias("p_step"), *MARKS)
-    o = boxes.where(~F.col("is_person")).select(
-        *CLIP, "frame", F.col("det_id").alias("o_det"), F.col("track_id").alias("o_track"), F.col("uid").alias("o_uid"), *(F.col(s).alias(f"o_{s}") for s in side),
-        F.col("step").alias("o_step"), F.col("moved").alias("o_moved"), F.col("confidence").alias("o_conf"), F.col("class_name").alias("o_class"), F.col("source").alias("o_source"))
-    if zone_hits is None:
-        o = o.withColumn("in_zone", F.lit(False))
-    else:
-        o = o.join(zone_hits.select(*CLIP, "frame", F.col("det_id").alias("o_det"), F.lit(True).alias("in_zone")).distinct(), [*CLIP, "frame", "o_det"], "left")
-        o = o.withColumn("in_zone", F.coalesce("in_zone", F.lit(False)))
+PERSON_PART = ["track_id", "uid", "x1", "y1", "x2", "y2", "step", *MARKS]
+OBJECT_PART = ["track_id", "uid", "x1", "y1", "x2", "y2", "step", "moved", "confidence", "class_name", "source", "in_zone"]
+
+
+def tick_parts(known: DataFrame, ticks: DataFrame) -> DataFrame:
+    """One row per tick marker (kind 0), person (1), object (2) and person-object pair (3).
+
+    Boxes are gathered once per tick and spread again inside the row, so the frame join of J1 costs
+    one shuffle, and identities and windows are computed once for all four kinds.
+    """
+    sides = known.select(*CLIP, "frame", F.lit(None).cast("double").alias("ts"), F.when(F.col("is_person"), F.struct(*PERSON_PART)).alias("p"),
+                         F.when(~F.col("is_person"), F.struct(*OBJECT_PART)).alias("o"))
+    markers = ticks.select(*CLIP, "frame", F.col("ts").cast("double"), F.lit(None).cast(sides.schema["p"].dataType).alias("p"), F.lit(None).cast(sides.schema["o"].dataType).alias("o"))
+    frames = sides.unionByName(markers).groupBy(*CLIP, "frame").agg(F.max("ts").alias("ts"), F.collect_list("p").alias("ps"), F.collect_list("o").alias("os"))
+    no_p, no_o = F.lit(None).cast(sides.schema["p"].dataType), F.lit(None).cast(sides.schema["o"].dataType)
+
+    def part(kind: int, p: Column, o: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), p.alias("p"), o.alias("o"))
+
+    parts = F.concat(F.array(part(0, no_p, no_o)), F.transform("ps", lambda p: part(1, p, no_o)), F.transform("os", lambda o: part(2, no_p, o)),
+                     F.flatten(F.transform("ps", lambda p: F.transform("os", lambda o: part(3, p, o)))))
+    flat = frames.select(*CLIP, "frame", F.coalesce("ts", F.lit(0.0)).alias("ts"), F.inline(parts))
+    names = {"p_track": "p.track_id", "p_uid": "p.uid", "p_step": "p.step", "o_track": "o.track_id", "o_uid": "o.uid", "o_step": "o.step", "o_moved": "o.moved",
+             "o_conf": "o.confidence", "o_class": "o.class_name", "o_source": "o.source", "in_zone": "o.in_zone", **{m: f"p.{m}" for m in MARKS},
+             **{f"{side}_{s}": f"{side}.{s}" for side in "po" for s in ("x1", "y1", "x2", "y2")}}
+    return flat.select(*CLIP, "frame", "ts", "kind", *(F.col(path).alias(name) for name, path in names.items()))
+
+
+def with_geometry(parts: DataFrame) -> DataFrame:
+    """Threshold-free geometry of the pairs; pairs whose object is too big to carry are dropped."""
     pb, ob, lw, rw = geom.box("p_"), geom.box("o_"), geom.point("lw"), geom.point("rw")
-    pairs = p.join(o, [*CLIP, "frame"])
     w, h = geom.width(ob), geom.height(ob)
     sized = ~((w * h > 0.40 * F.greatest(F.lit(1.0), geom.floored_area(pb))) | (w > 1.15 * geom.width(pb)) | (h > 0.80 * geom.height(pb)) | (w * h > 65000))
     d = geom.distance(geom.centroid(pb), geom.centroid(ob))
-    return pairs.where(sized).select(
+    return parts.where((F.col("kind") != 3) | sized).select(
         "*", geom.height(pb).alias("ph"), d.alias("distance"), (d / geom.height(pb)).alias("norm"), geom.overlap_of_object(pb, ob).alias("contained"),
         (pose.wrist_distance(ob, lw, rw) / geom.height(pb)).alias("wrist_h"), pose.wrist_ratio(pb, ob, lw, rw).alias("wrist_d"))
 
@@ -105,7 +112,7 @@ def flagged(pairs: DataFrame) -> DataFrame:
         pb.x1 - w * k("carrying_zone_horizontal_margin"), pb.x2 + w * k("carrying_zone_horizontal_margin"))
     out = pairs.withColumn("zone", zone).withColumn("near", (k("norm") <= k("near_distance_ratio")) | (k("contained") >= 0.25) | k("zone"))
     reach = k("near") | (k("norm") >= k("departure_distance_ratio")) | (k("contained") > 0) | (k("norm") <= k("association_radius_ratio"))
-    out = out.where(reach).withColumn("wrist_seen", k("wrist_h").isNotNull()).withColumn("wrist_near", F.coalesce(
+    out = out.where((k("kind") != 3) | reach).withColumn("wrist_seen", k("wrist_h").isNotNull()).withColumn("wrist_near", F.coalesce(
         (k("wrist_h") <= k("near_distance_ratio")) | (k("wrist_d") <= k("aidm_wrist_attach_ratio")), F.lit(False)))
     out = out.withColumn("still", still(k("o_moved"), ob)).withColumn("walking", F.coalesce(k("p_step") > k("carry_motion_norm_px"), F.lit(False)))
     follows = ~k("still") & F.coalesce(k("o_step") >= k("carry_motion_sync_ratio") * k("p_step"), F.lit(False))
@@ -124,55 +131,41 @@ FIELDS = ["p_track", "p_uid", "o_track", "o_uid", "o_class", "distance", "norm",
 
 
 def tick_rows(boxes: DataFrame, ticks: DataFrame, configs: Mapping[str, Thresholds], assignment: DataFrame | None = None,
-              zone_hits: DataFrame | None = None, min_conf: float = 0.10) -> DataFrame:
+              min_conf: float = 0.10) -> DataFrame:
     """Rows for the pair fold, by `kind`: 0 tick, 1 person present, 2 object present, 3 pair observed.
 
     `boxes`: video_id, session, frame (tick ordinal), det_id, track_id, is_person, source, class_name,
-    x1..y2, confidence, landmarks. `ticks`: video_id, session, frame, ts. `assignment` (video_id,
-    config_id) limits which configs run on which video; by default every config runs on every video.
+    x1..y2, confidence, landmarks, in_zone. `ticks`: video_id, session, frame, ts. `assignment`
+    (video_id, config_id) limits which configs run on which video; by default every config runs on
+    every video (J18). Configs are joined to finished geometry, so a sweep repeats cheap flags only.
     """
     spark = boxes.sparkSession
-    windows = {c.stationary_window_frames for c in configs.values()}
+    windows = sorted({c.stationary_window_frames for c in configs.values()})
     if len(windows) > 1:
-        parts = [tick_rows(boxes, ticks, {n: c for n, c in configs.items() if c.stationary_window_frames == w}, assignment, zone_hits, min_conf)
-                 for w in sorted(windows)]
-        out = parts[0]
-        for part in parts[1:]:
-            out = out.unionByName(part)
-        return out
-    known = identified(admitted(boxes, min_conf), windows.pop())
+        parts = [tick_rows(boxes, ticks, {n: c for n, c in configs.items() if c.stationary_window_frames == w}, assignment, min_conf) for w in windows]
+        return reduce(DataFrame.unionByName, parts)
+    known = with_motion(identity.stable_uids(admitted(boxes, min_conf), CLIP), windows[0])
+    measured = with_geometry(tick_parts(known, ticks))
+    # The knobs are a handful of rows, and so is the broadcast.
     knobs = F.broadcast(config_rows(spark, configs))
-    videos = ticks.select("video_id").distinct()
     if assignment is None:
-        chosen = videos.withColumn("config_id", F.explode(F.array(*(F.lit(n) for n in configs))))
+        tuned = measured.withColumn("config_id", F.explode(F.array(*(F.lit(n) for n in configs)))).join(knobs, "config_id")
     else:
-        chosen = assignment.select("video_id", "config_id")
-    tuned = chosen.join(knobs, "config_id")
-    scene = calibrate.motion_thresholds(boxes.where("is_person"), "track_id", Thresholds(calibration_frames=max(c.calibration_frames for c in configs.values()))).select(
-        "video_id", F.col("carry_motion_norm_px").alias("scene_px"), F.col("departure_motion_ratio").alias("scene_departure"))
-    tuned = tuned.join(scene, "video_id", "left")
-    first = ticks.groupBy("video_id").agg(F.min("frame").alias("first_frame"))
-    tuned = tuned.join(first, "video_id").withColumn("base_px", F.col("carry_motion_norm_px")).drop("carry_motion_norm_px")
-
-    def with_config(rows: DataFrame) -> DataFrame:
-        """Attach knobs; the scene's motion bar replaces the default once enough ticks were seen."""
-        late = F.col("auto_calibrate") & (F.col("frame") - F.col("first_frame") >= F.col("calibration_frames") - 1)
-        return rows.join(tuned, "video_id").withColumn("carry_motion_norm_px", F.when(late, F.coalesce("scene_px", "base_px")).otherwise(F.col("base_px")))
-
-    seen = flagged(with_config(observed_pairs(known, zone_hits))).withColumn("fallback", F.col("o_source") != "yolo")
-    base = [*CLIP, "config_id", "frame"]
-    zero = {**{f: F.lit(0).cast("bigint") for f in ("p_track", "p_uid", "o_track", "o_uid")}, "o_class": F.lit(""),
-            **{f: F.lit(0.0) for f in FIELDS[5:16]}, **{f: F.lit(False) for f in FLAGS}}
-
-    def shaped(rows: DataFrame, kind: int, ts: Column, given: Mapping[str, Column]) -> DataFrame:
-        return rows.select(*base, F.lit(kind).alias("kind"), ts.alias("ts"), *((given.get(f, zero[f])).alias(f) for f in FIELDS))
-
-    nothing = F.lit(0.0)
-    late = F.col("auto_calibrate") & (F.col("frame") - F.col("first_frame") >= F.col("calibration_frames") - 1)
+        tuned = measured.join(assignment.select("video_id", "config_id"), "video_id").join(knobs, "config_id")
+    if any(c.auto_calibrate for c in configs.values()):
+        scene = calibrate.motion_thresholds(boxes.where("is_person"), "track_id", Thresholds(calibration_frames=max(c.calibration_frames for c in configs.values())))
+        tuned = tuned.join(scene.select("video_id", F.col("carry_motion_norm_px").alias("scene_px"), F.col("departure_motion_ratio").alias("scene_departure")), "video_id", "left")
+        late = F.col("auto_calibrate") & (F.col("frame") >= F.col("calibration_frames") - 1)
+        tuned = tuned.withColumn("carry_motion_norm_px", F.when(late, F.coalesce("scene_px", "carry_motion_norm_px")).otherwise(F.col("carry_motion_norm_px"))).withColumn(
+            "scene_departure", F.when(late, F.coalesce("scene_departure", F.lit(-1.0))).otherwise(-1.0))
+    else:
+        tuned = tuned.withColumn("scene_departure", F.lit(-1.0))
+    seen = flagged(tuned).withColumn("fallback", F.col("o_source") != "yolo")
     # A tick row carries the scene's departure ratio in `norm` once it is known, -1 before.
-    marks = shaped(ticks.join(tuned, "video_id"), 0, F.col("ts").cast("double"), {"norm": F.when(late, F.coalesce("scene_departure", F.lit(-1.0))).otherwise(-1.0)})
-    persons = shaped(known.where("is_person").join(chosen, "video_id"), 1, nothing, {"p_track": F.col("track_id"), "p_uid": F.col("uid")})
-    present = with_config(known.where(~F.col("is_person"))).withColumn("_still", still(F.col("moved"), geom.box()))
-    objects = shaped(present, 2, nothing, {"o_track": F.col("track_id"), "o_uid": F.col("uid"), "still": F.col("_still")})
-    pairs = shaped(seen, 3, nothing, {f: (F.coalesce(F.col(f), F.lit(-1.0)) if f == "wrist_d" else F.col(f)) for f in FIELDS})
-    return marks.unionByName(persons).unionByName(objects).unionByName(pairs)
+    empty = {**{f: F.lit(0).cast("bigint") for f in ("p_track", "p_uid", "o_track", "o_uid")}, "o_class": F.lit(""),
+             **{f: F.lit(0.0) for f in FIELDS[5:16]}, **{f: F.lit(False) for f in FLAGS}}
+    filled = {f: F.coalesce(F.col(f), empty[f]) for f in FIELDS}
+    filled["norm"] = F.when(F.col("kind") == 0, F.col("scene_departure")).otherwise(filled["norm"])
+    filled["wrist_d"] = F.coalesce(F.col("wrist_d"), F.lit(-1.0))
+    return seen.select(*CLIP, "config_id", "frame", "kind", "ts", *(filled[f].alias(f) for f in FIELDS))
+

@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackspark.config import Thresholds
-from trackspark.operators import folds, pairfeatures
+from trackspark.operators import folds
+from trackspark.operators.pairfeatures import CLIP, FIELDS
 
 NEAR, CARRIED, RELEASED, GROUND, DEPARTED, CONFIRMED = (
     "BAG_NEAR_PERSON", "BAG_CARRIED", "BAG_RELEASED", "BAG_ON_GROUND", "PERSON_DEPARTED", "VIOLATION_CONFIRMED")
@@ -35,10 +36,10 @@ EXPLAIN_SCHEMA = ("video_id bigint, session bigint, config_id string, frame bigi
 class Seen:
     """One pair observation of a tick, unpacked from a fold row."""
 
-    __slots__ = (*pairfeatures.FIELDS, "ambiguous", "closer_other")
+    __slots__ = (*FIELDS, "ambiguous", "closer_other")
 
     def __init__(self, values: tuple) -> None:
-        for name, value in zip(pairfeatures.FIELDS, values):
+        for name, value in zip(FIELDS, values):
             setattr(self, name, value)
         self.ambiguous = self.closer_other = False
         if self.wrist_d < 0:
@@ -638,8 +639,8 @@ def pair_events(rows: DataFrame, configs: Mapping[str, Thresholds], explain: boo
 
     Parallelism is videos x sessions x configs. A fold holds the pairs alive at one tick.
     """
-    keys = [*pairfeatures.CLIP, "config_id"]
-    ordered = rows.select(*keys, "frame", "kind", "ts", *pairfeatures.FIELDS)
+    keys = [*CLIP, "config_id"]
+    ordered = rows.select(*keys, "frame", "kind", "ts", *FIELDS)
     table = dict(configs)
     single = next(iter(table.values())) if len(table) == 1 else None
 

@@ -146,5 +146,5 @@ def staged(spark: SparkSession, cast: DataFrame, family: Sequence[tuple[str, lis
 def machine_rows(boxes: DataFrame, ticks: DataFrame, scenes: DataFrame, configs: dict[str, Thresholds] = CONFIGS, every: bool = False) -> DataFrame:
     """Tick rows of the scenes under their own config, or under `every` config; "zone" scenes have a bin zone."""
     zones = scenes.where("config_id = 'zone'").select(F.col("video_id").alias("camera_id"), geom.polygon_from_box(ZONE).alias("polygon"))
-    hits = assoc.in_zones(boxes.where(~F.col("is_person")).withColumn("camera_id", F.col("video_id")), zones, FRAME_W, FRAME_H)
-    return pairfeatures.tick_rows(boxes, ticks, configs, None if every else scenes.select("video_id", "config_id"), hits)
+    flagged = assoc.flag_zones(boxes.withColumn("camera_id", F.col("video_id")), zones, FRAME_W, FRAME_H)
+    return pairfeatures.tick_rows(flagged, ticks, configs, None if every else scenes.select("video_id", "config_id"))
