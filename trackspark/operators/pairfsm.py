@@ -22,7 +22,7 @@ NEAR, CARRIED, RELEASED, GROUND, DEPARTED, CONFIRMED = (
     "BAG_NEAR_PERSON", "BAG_CARRIED", "BAG_RELEASED", "BAG_ON_GROUND", "PERSON_DEPARTED", "VIOLATION_CONFIRMED")
 MOMENTS = ("carry_start", "release", "ground", "departure", "confirmed")
 
-EVENT_SCHEMA = ("video_id bigint, session bigint, config_id string, decided_frame bigint, person_uid bigint, object_uid bigint, person_track bigint, "
+EVENT_SCHEMA = ("video_id bigint, session bigint, config_id string, decided_frame bigint, decided_ts double, at_end boolean, person_uid bigint, object_uid bigint, person_track bigint, "
                 "object_track bigint, object_class string, state string, confirmed boolean, reason string, confidence double, "
                 + ", ".join(f"{m}_frame bigint, {m}_ts double" for m in MOMENTS)
                 + ", carried_frames bigint, stationary_frames bigint, departed_frames bigint, abandonment_frames bigint, max_departure_ratio double, "
@@ -94,7 +94,7 @@ class Machine:
         self.cfg, self.explain, self.pairs, self.spare_uid, self.out = cfg, explain, {}, 0, []
         self.votes_needed = max(2, math.ceil(cfg.smoothing_window / 2))
         self.dep_motion = cfg.departure_motion_ratio
-        self.frame, self.ts = 0, 0.0
+        self.frame, self.ts, self.ended = 0, 0.0, False
 
     # -- one tick -------------------------------------------------------------------------------
 
@@ -622,12 +622,12 @@ class Machine:
         p.emitted = True
         person_track, person_uid, object_track = p.frozen or (p.p_track, p.person, p.o_track)
         moments = [v for m in MOMENTS for v in p.at.get(m, (None, None))]
-        self.out.append((self.frame, person_uid, p.object, person_track, object_track, p.cls, p.state, confirmed, reason, confidence, *moments, p.carried, p.still,
+        self.out.append((self.frame, self.ts, self.ended, person_uid, p.object, person_track, object_track, p.cls, p.state, confirmed, reason, confidence, *moments, p.carried, p.still,
                          p.departed, p.abandoned, p.away, self.mean_conf(p), self.association(p), p.fallback > 0, p.reconfirmed or p.fallback == 0, p.closer,
                          p.ambiguous, p.ground, p.zone, p.apart, p.far, p.displacement, p.walkaway, p.synthetic))
 
     def finish(self) -> list[tuple]:
-        self.out = []
+        self.out, self.ended = [], True
         for p in self.pairs.values():
             self.close(p)
         self.pairs = {}

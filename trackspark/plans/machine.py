@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackspark.operators import pairfsm
+from trackspark.config import STATES
+from trackspark.functions import labels
+from trackspark.operators import detect, identity, pairfsm, tiers
 from trackspark.plans import scenes, views
 from trackspark.plans.registry import query
 
@@ -58,3 +60,138 @@ def t10(spark, sf):
 @query("t06_actors_in_a_crowd", oracle=scene_sql(5) + "SELECT video_id, scene, CAST(CASE WHEN scene = 0 THEN 2 ELSE 1 END AS BIGINT) AS confirmed, CASE scene WHEN 0 THEN '1,2' WHEN 3 THEN '2' ELSE '1' END AS actors FROM scn")
 def t06_crowd(spark, sf):
     return verdicts(spark, sf, scenes.CROWD).select("video_id", "scene", "confirmed", "actors")
+
+
+@query("t01_person_uids", oracle=scene_sql(6) + "SELECT video_id, scene, CAST(CASE scene WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 0 END AS BIGINT) AS uids FROM scn")
+def t01(spark, sf):
+    return uid_counts(spark, sf, True)
+
+
+@query("t02_object_uids", oracle=scene_sql(6) + "SELECT video_id, scene, CAST(CASE scene WHEN 3 THEN 2 WHEN 4 THEN 1 WHEN 5 THEN 2 ELSE 0 END AS BIGINT) AS uids FROM scn")
+def t02(spark, sf):
+    return uid_counts(spark, sf, False)
+
+
+def uid_counts(spark, sf, persons: bool):
+    boxes, _, cast = scenes.play(spark, sf, scenes.IDENTITY)
+    uids = identity.stable_uids(boxes.where(F.col("is_person") == persons), ["video_id", "session"]).groupBy("video_id").agg(F.countDistinct("uid").alias("uids"))
+    return cast.select("video_id", "scene").join(uids, "video_id", "left").na.fill(0, ["uids"])
+
+
+def det_tracks(spark, sf):
+    """The detection view as tracked boxes of one session per video."""
+    return views.with_pose_columns(views.det(spark, sf)).withColumn("session", F.lit(0).cast("bigint")).withColumn(
+        "track_id", labels.namespaced(F.col("track_no"), F.col("is_person"))).drop("track_no")
+
+
+@query("t01_uids_on_detections", oracle=views.ON_DET + "SELECT video_id, is_person, count(*) AS boxes FROM det GROUP BY 1, 2")
+def t01_det(spark, sf):
+    """Every detection gets exactly one uid; counted back per video (uid values are not compared)."""
+    uids = identity.stable_uids(det_tracks(spark, sf), ["video_id", "session"])
+    return uids.groupBy("video_id", "is_person").agg(F.count("uid").alias("boxes"))
+
+
+def regions(spark, sf, source: str):
+    det = views.det(spark, sf)
+    persons = det.where("is_person")
+    boxes = det.where(~F.col("is_person") & (F.col("source") == source))
+    nearest = detect.nearest_person(boxes, persons, 150.0).select("video_id", "frame", "det_id", "inside", "person_id")
+    started = boxes.join(nearest, ["video_id", "frame", "det_id"])
+    gate = detect.near_any_person(boxes, persons).select("video_id", "frame", "det_id", F.lit(True).alias("close"))
+    last = det.groupBy("video_id").agg(F.max("frame").alias("last_frame"))
+    return started.join(gate, ["video_id", "frame", "det_id"], "left").withColumn("close", F.coalesce("close", F.lit(False))), last
+
+
+@query("t03_colour_tracks")
+def t03(spark, sf):
+    """Checked against brute force in the tests."""
+    rows, last = regions(spark, sf, "color")
+    out = identity.colour_tracks(rows.withColumn("may_start", F.col("close")), ["video_id"], last)
+    return out.select("video_id", "frame", "track", "hits", "gap", F.round("sx1", 6).alias("sx1"), F.round("sconf", 6).alias("sconf"))
+
+
+@query("t04_change_tracks")
+def t04(spark, sf):
+    """Checked against brute force in the tests."""
+    rows, last = regions(spark, sf, "novelty")
+    return identity.change_tracks(rows.withColumn("may_start", ~F.col("inside")), ["video_id"], last).select("video_id", "frame", "track", "hits", "gap", "person_id")
+
+
+@query("t12_tier_ladder", oracle=scene_sql(7) + "SELECT video_id, scene, CAST(CASE WHEN scene IN (0, 1, 5) THEN 1 ELSE 0 END AS BIGINT) AS accepted FROM scn")
+def t12(spark, sf):
+    """Three tiers on the same ticks; one incident stays one event and strict refusals hold."""
+    boxes, ticks, cast = scenes.play(spark, sf, scenes.CORE)
+    configs = tiers.ladder(scenes.FAST)
+    events = pairfsm.pair_events(scenes.machine_rows(boxes, ticks, cast, configs, every=True), configs)
+    keyed = events.withColumn("event_key", F.concat_ws("/", "config_id", "object_uid"))
+    ends = ticks.groupBy("video_id", "session").agg(F.max("ts").alias("end_ts"))
+    judged = tiers.arbitrate(tiers.candidates(keyed, ends), ["video_id", "session", "person_uid"], "event_key")
+    kept = judged.where("outcome = 'accepted'").groupBy("video_id").agg(F.count(F.lit(1)).alias("accepted"))
+    return cast.select("video_id", "scene").join(kept, "video_id", "left").na.fill(0, ["accepted"])
+
+
+@query("j18_config_sweep", oracle=scene_sql(7) + """SELECT scene, config_id, count(*) AS videos, CAST(sum(CASE WHEN config_id = 'base' AND scene IN (0, 1, 5) THEN 1 ELSE 0 END) AS BIGINT) AS confirmed
+  FROM scn, (VALUES ('base'), ('confident'), ('long_carry')) c(config_id) GROUP BY 1, 2""")
+def j18(spark, sf):
+    """Replay of every video under every config; parallelism is videos times configs."""
+    boxes, ticks, cast = scenes.play(spark, sf, scenes.CORE)
+    configs = {"base": scenes.FAST, "confident": scenes.FAST.with_overrides(min_event_confidence=1.01), "long_carry": scenes.FAST.with_overrides(min_carried_frames=50)}
+    events = pairfsm.pair_events(scenes.machine_rows(boxes, ticks, cast, configs, every=True), configs)
+    hits = events.groupBy("video_id", "config_id").agg(F.count_if("confirmed").alias("c"))
+    runs = cast.select("video_id", "scene", F.explode(F.array(*(F.lit(c) for c in configs))).alias("config_id"))
+    return runs.join(hits, ["video_id", "config_id"], "left").groupBy("scene", "config_id").agg(F.count(F.lit(1)).alias("videos"), F.coalesce(F.sum("c"), F.lit(0)).alias("confirmed"))
+
+
+@query("x03_explain_states", oracle=scene_sql(7) + """SELECT video_id, scene, CASE scene WHEN 2 THEN 'BAG_CARRIED' WHEN 3 THEN NULL WHEN 4 THEN 'PERSON_DEPARTED' WHEN 6 THEN 'BAG_ON_GROUND' ELSE 'VIOLATION_CONFIRMED' END AS furthest FROM scn""")
+def x03(spark, sf):
+    """Per-tick explain rows, reduced to the furthest state each video reached."""
+    boxes, ticks, cast = scenes.play(spark, sf, scenes.CORE)
+    rows = pairfsm.pair_events(scenes.machine_rows(boxes, ticks, cast), scenes.CONFIGS, explain=True)
+    order = F.array(*(F.lit(s) for s in STATES))
+    best = rows.groupBy("video_id").agg(F.max_by("state", F.array_position(order, F.col("state"))).alias("furthest"))
+    return cast.select("video_id", "scene").join(best, "video_id", "left")
+
+
+ARB_SQL = """e0 AS (SELECT camera_id AS video_id, actor_uid, id, id % 3 AS tier, epoch_us(event_ts) / 1e6 AS ts, status = 'confirmed' AS confirmed, status = 'rejected' AS rejected, confidence > 0.02 AS separated FROM evt),
+  e1 AS (SELECT *, CASE WHEN tier > 0 THEN ts + 10800 ELSE ts END AS due FROM e0 WHERE confirmed OR (rejected AND tier = 0)),
+  e AS (SELECT *, row_number() OVER (PARTITION BY video_id, actor_uid ORDER BY due, tier, id) AS rn FROM e1),
+  f AS (SELECT video_id, actor_uid, CAST(0 AS BIGINT) AS rn, CAST([] AS DOUBLE[]) AS acc, CAST([] AS DOUBLE[]) AS veto, CAST(NULL AS BIGINT) AS id, CAST(NULL AS VARCHAR) AS outcome FROM e WHERE e.rn = 1
+    UNION ALL SELECT video_id, actor_uid, rn, CASE WHEN o = 'accepted' THEN list_append(acc, ts) ELSE acc END, CASE WHEN o = 'rejected' THEN list_append(veto, ts) ELSE veto END, id, o
+    FROM (SELECT f.acc, f.veto, e.*, CASE WHEN NOT e.confirmed THEN 'rejected' WHEN len(list_filter(f.acc, lambda t: abs(e.ts - t) <= 21600)) > 0 THEN 'duplicate'
+        WHEN e.tier > 0 AND NOT e.separated THEN 'unseparated' WHEN e.tier > 0 AND len(list_filter(f.veto, lambda t: abs(e.ts - t) <= 43200)) > 0 THEN 'vetoed' ELSE 'accepted' END AS o
+      FROM f JOIN e ON e.video_id = f.video_id AND e.actor_uid = f.actor_uid AND e.rn = f.rn + 1) q)"""
+
+
+@query("j21_tier_arbitration", oracle=views.with_views(views.EVT_SQL, ARB_SQL, recursive=True) + "SELECT video_id, actor_uid, id, outcome FROM f WHERE rn > 0")
+def j21(spark, sf):
+    """Events as tiers of three, with windows in hours instead of seconds."""
+    e = views.evt(spark, sf).withColumn("tier", (F.col("id") % 3).cast("int")).withColumn("ts", views.micros("event_ts") / 1e6)
+    rows = e.where((F.col("status") == "confirmed") | ((F.col("status") == "rejected") & (F.col("tier") == 0))).select(
+        F.col("camera_id").alias("video_id"), "actor_uid", "id", "tier", "ts", (F.col("status") == "confirmed").alias("confirmed"), F.lit("BIN_DISPOSAL").alias("reason"),
+        (F.col("confidence") > 0.02).alias("separated"), F.when(F.col("tier") > 0, F.col("ts") + 10800).otherwise(F.col("ts")).alias("at"))
+    return tiers.arbitrate(rows, ["video_id", "actor_uid"], "id", near=21600.0)
+
+
+@query("t15_recent_ticks", oracle=views.ON_TICK + "SELECT video_id, event_id FROM (SELECT *, max(ts) OVER (PARTITION BY video_id) AS newest FROM tick) t WHERE epoch_us(newest) - epoch_us(ts) <= 172800000000")
+def t15(spark, sf):
+    """The last two days per camera: the newest time is one row per camera, joined back."""
+    e = views.table(spark, sf, "events").select(F.col("user_id").alias("video_id"), "event_id", views.micros().alias("us"))
+    newest = e.groupBy("video_id").agg(F.max("us").alias("newest"))
+    return e.join(newest, "video_id").where(F.col("newest") - F.col("us") <= 172_800_000_000).select("video_id", "event_id")
+
+
+@query("t16_latest_frame", oracle=views.ON_TICK + "SELECT video_id, max(ts) AS ts, arg_max(value, (ts, event_id)) AS value, arg_max(event_id, (ts, event_id)) AS event_id FROM tick GROUP BY video_id")
+def t16(spark, sf):
+    e = views.table(spark, sf, "events")
+    return e.groupBy(F.col("user_id").alias("video_id")).agg(F.max(F.struct("ts", "event_id", "value")).alias("m")).select("video_id", "m.ts", "m.value", "m.event_id")
+
+
+@query("t17_status_upsert", oracle=views.ON_TICK + """SELECT user_id AS video_id, arg_max(value, (ts, event_id)) FILTER (WHERE event_type = 'view') AS fps, arg_max(event_type, (ts, event_id)) FILTER (WHERE event_type <> 'view') AS camera_status,
+  max(ts) AS updated_at FROM events GROUP BY 1""")
+def t17(spark, sf):
+    """Partial updates merged field by field: the last non-null value of each wins."""
+    e = views.table(spark, sf, "events")
+    at = F.struct("ts", "event_id")
+    updates = e.select(F.col("user_id").alias("video_id"), "ts", at.alias("at"), F.when(F.col("event_type") == "view", F.col("value")).alias("fps"),
+                       F.when(F.col("event_type") != "view", F.col("event_type")).alias("camera_status"))
+    return updates.groupBy("video_id").agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), F.col("at"))).alias(c) for c in ("fps", "camera_status")), F.max("ts").alias("updated_at"))

@@ -34,8 +34,8 @@ def person(track: int, x: float, h: float = 160.0, wrists: tuple | None = None)
     return (track, True, "yolo", "person", 0.9, x, 180.0, 40.0, h / 2, (*left, *right, x, 160))
 
 
-def item(track: int, x: float, y: float, conf: float = 0.5, source: str = "yolo", cls: str = "trash_bag") -> tuple:
-    return (track, False, source, cls, conf, x, y, 15.0, 15.0, (None,) * 6)
+def item(track: int, x: float, y: float, conf: float = 0.5, source: str = "yolo", cls: str = "trash_bag", w: float = 15.0, h: float = 15.0) -> tuple:
+    return (track, False, source, cls, conf, x, y, w, h, (None,) * 6)
 
 
 def script_rows(scene: int, config: str, ticks: Sequence[Sequence[tuple]]) -> list[tuple]:
@@ -125,6 +125,12 @@ def _crowd() -> list[tuple[str, list[list[tuple]]]]:
 
 CROWD = _crowd()
 
+# Identity: a blink under a new id, a gap too long, three at once, a box of another size, churn, another family.
+IDENTITY = [
+    ("fast", [[person(2, 140)]] * 5 + [[]] * 3 + [[person(7, 147)]] * 4), ("fast", [[person(2, 140)]] * 3 + [[]] * 50 + [[person(7, 140)]] * 3),
+    ("fast", [[person(1, 100), person(2, 160), person(3, 220)]] * 4), ("fast", [[item(10001, 300, 300)]] * 3 + [[item(10002, 300, 300, w=150.0, h=250.0)]] * 3),
+    ("fast", [[item(10000 + i, 300, 300 + i)] for i in range(8)]), ("fast", [[item(10001, 300, 300)]] * 3 + [[item(10002, 300, 300, cls="bottle")]] * 3)]
+
 
 def play(spark: SparkSession, sf: str, family: Sequence[tuple[str, list[list[tuple]]]]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(boxes, ticks, scenes) with scene = customer key modulo the family size."""

@@ -74,7 +74,10 @@ def pose(spark: SparkSession, sf: str) -> DataFrame:
 
 def with_pose(boxes: DataFrame) -> DataFrame:
     """Landmarks for the persons among `boxes`."""
-    p = boxes.where("is_person")
+    return with_pose_columns(boxes.where("is_person"))
+
+
+def with_pose_columns(p: DataFrame) -> DataFrame:
     w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
 
     def mark(name: str, shown, fx: float, fy: float):
