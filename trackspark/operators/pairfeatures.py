@@ -153,7 +153,7 @@ def tick_rows(boxes: DataFrame, ticks: DataFrame, configs: Mapping[str, Threshol
     else:
         tuned = measured.join(assignment.select("video_id", "config_id"), "video_id").join(knobs, "config_id")
     if any(c.auto_calibrate for c in configs.values()):
-        scene = calibrate.motion_thresholds(boxes.where("is_person"), "track_id", Thresholds(calibration_frames=max(c.calibration_frames for c in configs.values())))
+        scene = calibrate.motion_thresholds(boxes.drop("in_zone").where("is_person"), "track_id", Thresholds(calibration_frames=max(c.calibration_frames for c in configs.values())))
         tuned = tuned.join(scene.select("video_id", F.col("carry_motion_norm_px").alias("scene_px"), F.col("departure_motion_ratio").alias("scene_departure")), "video_id", "left")
         late = F.col("auto_calibrate") & (F.col("frame") >= F.col("calibration_frames") - 1)
         tuned = tuned.withColumn("carry_motion_norm_px", F.when(late, F.coalesce("scene_px", "carry_motion_norm_px")).otherwise(F.col("carry_motion_norm_px"))).withColumn(

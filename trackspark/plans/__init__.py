@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ["scalars", "frames", "sequences", "metrics", "audits", "review", "machine"]
+FAMILIES = ["scalars", "frames", "sequences", "metrics", "audits", "review", "machine", "files"]
 
 
 def load() -> None:
