@@ -216,7 +216,7 @@ def snk06(spark, sf):
     return spark.read.schema("video_id bigint, source string, n bigint").option("header", "true").csv(f"{path}/csv")
 
 
-@query("snk07_label_files", oracle=views.ON_DET + """, im AS (SELECT DISTINCT video_id, frame FROM det), l AS (SELECT video_id, frame, (det_id % 8) || ' ' || printf('%.6f', (x1 + x2) / 2.0 / 640) || ' ' || printf('%.6f', (y1 + y2) / 2.0 / 480) || ' ' || printf('%.6f', (x2 - x1) / 640) || ' ' || printf('%.6f', (y2 - y1) / 480) AS line
+@query("snk07_label_files", oracle=views.ON_DET + """, im AS (SELECT DISTINCT video_id, frame FROM det), l AS (SELECT video_id, frame, (det_id % 8) || ' ' || printf('%.6f', round_even((x1 + x2) / 2.0 / 640, 6)) || ' ' || printf('%.6f', round_even((y1 + y2) / 2.0 / 480, 6)) || ' ' || printf('%.6f', round_even((x2 - x1) / 640, 6)) || ' ' || printf('%.6f', round_even((y2 - y1) / 480, 6)) AS line
   FROM det WHERE NOT is_person) SELECT video_id, frame, coalesce((SELECT string_agg(line, chr(10) ORDER BY line) FROM l WHERE l.video_id = im.video_id AND l.frame = im.frame), '') AS text FROM im""")
 def snk07(spark, sf):
     det = views.det(spark, sf)
