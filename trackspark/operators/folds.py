@@ -166,7 +166,8 @@ def greedy_spacing(df: DataFrame, keys: Sequence[str], ts: str, tie: str, interv
             for i in range(len(t) - 1, -1, -1):
                 if nxt[i] < len(t):
                     leave[i] = leave[nxt[i]]
-            first = np.flatnonzero(t < t[0] + interval)
+            # The last kept row lies before this chunk, so the entry is at the latest the first row a full interval in.
+            first = np.arange(min(int(nxt[0]) + 1, len(t)))
             picks.append(lo + first)
             leaves.append(leave[first])
         at = np.concatenate(picks)

@@ -8,6 +8,7 @@ that depends on its own past: counters, latches and transitions of the few pairs
 from __future__ import annotations
 
 import math
+import pickle
 from collections import deque
 from collections.abc import Mapping
 
@@ -96,6 +97,17 @@ class Machine:
         self.dep_motion = cfg.departure_motion_ratio
         self.frame, self.ts, self.ended = 0, 0.0, False
 
+    def saved(self) -> bytes:
+        """Plain data of the machine, for a streaming state store."""
+        return pickle.dumps((self.frame, self.ts, self.dep_motion, self.spare_uid, [(k, p.__dict__) for k, p in self.pairs.items()]))
+
+    def restored(self, data: bytes) -> "Machine":
+        self.frame, self.ts, self.dep_motion, self.spare_uid, pairs = pickle.loads(data)
+        for key, values in pairs:
+            self.pairs[key] = Pair.__new__(Pair)
+            self.pairs[key].__dict__.update(values)
+        return self
+
     # -- one tick -------------------------------------------------------------------------------
 
     def tick(self, frame: int, rows: list[tuple]) -> list[tuple]:

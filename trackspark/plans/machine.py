@@ -57,6 +57,21 @@ def t10(spark, sf):
     return verdicts(spark, sf, scenes.ENDINGS).select("video_id", "scene", "confirmed", "walkaway")
 
 
+@query("t11_end_of_stream", oracle=scene_sql(3) + "SELECT video_id, scene, scene = 1 AS walkaway, CASE WHEN scene = 2 THEN 'NO_RELEASE_TRANSITION' END AS reason FROM scn")
+def t11(spark, sf):
+    """What the last word on a pair is when the stream stops."""
+    return verdicts(spark, sf, scenes.ENDINGS).select("video_id", "scene", "walkaway", "reason")
+
+
+@query("x01_pair_events", oracle=scene_sql(7) + """SELECT video_id, scene IN (0, 1, 5) AS confirmed, CASE scene WHEN 2 THEN 'BAG_CARRIED' WHEN 4 THEN 'PERSON_DEPARTED' WHEN 6 THEN 'PICKED_BACK_UP' ELSE 'VIOLATION_CONFIRMED' END AS state,
+  scene NOT IN (2, 6) AS released, CAST(1 AS BIGINT) AS person_track FROM scn WHERE scene <> 3""")
+def x01(spark, sf):
+    """The event rows of the pair machine."""
+    boxes, ticks, cast = scenes.play(spark, sf, scenes.CORE)
+    events = pairfsm.pair_events(scenes.machine_rows(boxes, ticks, cast), scenes.CONFIGS)
+    return events.select("video_id", "confirmed", "state", F.col("release_frame").isNotNull().alias("released"), "person_track")
+
+
 @query("t06_actors_in_a_crowd", oracle=scene_sql(5) + "SELECT video_id, scene, CAST(CASE WHEN scene = 0 THEN 2 ELSE 1 END AS BIGINT) AS confirmed, CASE scene WHEN 0 THEN '1,2' WHEN 3 THEN '2' ELSE '1' END AS actors FROM scn")
 def t06_crowd(spark, sf):
     return verdicts(spark, sf, scenes.CROWD).select("video_id", "scene", "confirmed", "actors")

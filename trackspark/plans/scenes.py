@@ -22,7 +22,7 @@ HAND = Thresholds(min_carried_frames=3, min_stationary_frames=3, min_abandonment
                   require_ground_confirmation=False, require_carry_origin_link=False)
 CONFIGS = {"fast": FAST, "zone": FAST.with_overrides(max_pair_age_frames=12), "gap": FAST.with_overrides(max_track_gap_frames=3), "hand": HAND}
 FRAME_W, FRAME_H = 1280, 720
-ZONE = geom.Box(*(F.lit(v) for v in (0.05, 0.50, 0.20, 0.70)))
+ZONE = (0.05, 0.50, 0.20, 0.70)
 
 ROW_SCHEMA = ("scene int, config_id string, frame bigint, det_id bigint, track_id bigint, is_person boolean, source string, class_name string, x1 double, y1 double, "
               "x2 double, y2 double, confidence double, " + ", ".join(f"{m} double" for m in pairfeatures.MARKS))
@@ -151,6 +151,6 @@ def staged(spark: SparkSession, cast: DataFrame, family: Sequence[tuple[str, lis
 
 def machine_rows(boxes: DataFrame, ticks: DataFrame, scenes: DataFrame, configs: dict[str, Thresholds] = CONFIGS, every: bool = False) -> DataFrame:
     """Tick rows of the scenes under their own config, or under `every` config; "zone" scenes have a bin zone."""
-    zones = scenes.where("config_id = 'zone'").select(F.col("video_id").alias("camera_id"), geom.polygon_from_box(ZONE).alias("polygon"))
+    zones = scenes.where("config_id = 'zone'").select(F.col("video_id").alias("camera_id"), geom.polygon_from_box(geom.Box(*(F.lit(v) for v in ZONE))).alias("polygon"))
     flagged = assoc.flag_zones(boxes.withColumn("camera_id", F.col("video_id")), zones, FRAME_W, FRAME_H)
     return pairfeatures.tick_rows(flagged, ticks, configs, None if every else scenes.select("video_id", "config_id"))

@@ -137,9 +137,6 @@ def micros(ts: str = "ts"):
     return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
-_EVENT_HOUR = F.floor(micros() / 3_600_000_000)
-
-
 def tick(spark: SparkSession, sf: str) -> DataFrame:
     """One object track per user: `frame` is the tick ordinal."""
     ev = table(spark, sf, "events")
@@ -147,7 +144,7 @@ def tick(spark: SparkSession, sf: str) -> DataFrame:
         F.col("user_id").alias("video_id"), "ts", "event_id",
         (F.floor(F.col("value") / 25).cast("double") * 10).alias("cx"), (F.col("event_id") % 5).cast("double").alias("cy"),
         "value", (F.col("event_type") == "error").alias("flag"))
-    return longseq.with_ordinal(base, ["video_id"], ["ts", "event_id"], _EVENT_HOUR, "frame")
+    return longseq.with_ordinal(base, ["video_id"], ["ts", "event_id"], F.floor(micros() / 3_600_000_000), "frame")
 
 
 TICK_SQL = """tick AS (

@@ -110,17 +110,15 @@ def uid_stream(boxes: DataFrame) -> DataFrame:
 def pair_stream(rows: DataFrame, configs: dict[str, Thresholds], idle_ms: int | None = None) -> DataFrame:
     """X1 on a stream of `pairfeatures.tick_rows`: the batch machine, kept per (video, session, config).
 
-    The machine is saved with the state. A marker row of kind 9 ends a session (T11); with `idle_ms`
+    The machine's plain data is the state. A marker row of kind 9 ends a session (T11); with `idle_ms`
     a key that receives nothing for that long is ended by a timer as well.
     """
-    import base64
-
-    from pyspark import cloudpickle
-
     names = [part.strip().split()[0] for part in EVENT_SCHEMA.split(",")]
 
     def step(key, batches, state):
-        machine = cloudpickle.loads(base64.b64decode(state.get[0])) if state.exists else Machine(configs[key[2]], False)
+        machine = Machine(configs[key[2]], False)
+        if state.exists:
+            machine.restored(bytes(state.get[0]))
         out, ended = [], state.hasTimedOut
         if not state.hasTimedOut:
             pdf = ordered(batches, ["frame", "kind", "p_uid", "o_track"])
@@ -134,13 +132,13 @@ def pair_stream(rows: DataFrame, configs: dict[str, Thresholds], idle_ms: int |
             if state.exists:
                 state.remove()
         else:
-            state.update((base64.b64encode(cloudpickle.dumps(machine)).decode(),))
+            state.update((machine.saved(),))
             if idle_ms is not None:
                 state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame([key + tuple(r) for r in out], columns=names, dtype=object)
 
     timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms is not None else GroupStateTimeout.NoTimeout
-    return rows.groupBy("video_id", "session", "config_id").applyInPandasWithState(step, EVENT_SCHEMA, "saved string", "append", timeout)
+    return rows.groupBy("video_id", "session", "config_id").applyInPandasWithState(step, EVENT_SCHEMA, "saved binary", "append", timeout)
 
 
 def latest_per_camera(ticks: DataFrame) -> DataFrame:
