@@ -63,28 +63,37 @@ PERSON_PART = ["track_id", "uid", "x1", "y1", "x2", "y2", "step", *MARKS]
 OBJECT_PART = ["track_id", "uid", "x1", "y1", "x2", "y2", "step", "moved", "confidence", "class_name", "source", "in_zone"]
 
 
-def tick_parts(known: DataFrame, ticks: DataFrame) -> DataFrame:
-    """One row per tick marker (kind 0), person (1), object (2) and person-object pair (3).
+def frames_of(known: DataFrame, ticks: DataFrame) -> DataFrame:
+    """One row per tick with its persons `ps` and objects `os`; ticks without boxes are kept.
 
-    Boxes are gathered once per tick and spread again inside the row, so the frame join of J1 costs
-    one shuffle, and identities and windows are computed once for all four kinds.
+    Boxes are gathered once per tick and paired inside the row, so the frame join of J1 costs one
+    shuffle, and identities and windows are computed once.
     """
     sides = known.select(*CLIP, "frame", F.lit(None).cast("double").alias("ts"), F.when(F.col("is_person"), F.struct(*PERSON_PART)).alias("p"),
                          F.when(~F.col("is_person"), F.struct(*OBJECT_PART)).alias("o"))
     markers = ticks.select(*CLIP, "frame", F.col("ts").cast("double"), F.lit(None).cast(sides.schema["p"].dataType).alias("p"), F.lit(None).cast(sides.schema["o"].dataType).alias("o"))
     frames = sides.unionByName(markers).groupBy(*CLIP, "frame").agg(F.max("ts").alias("ts"), F.collect_list("p").alias("ps"), F.collect_list("o").alias("os"))
-    no_p, no_o = F.lit(None).cast(sides.schema["p"].dataType), F.lit(None).cast(sides.schema["o"].dataType)
+    return frames.withColumn("ts", F.coalesce("ts", F.lit(0.0)))
+
+
+def tick_parts(frames: DataFrame) -> DataFrame:
+    """A tick row (kind 0) listing who is present and which objects rest, and a row per pair (kind 3)."""
+    kinds = frames.schema
+    no_p, no_o = (F.lit(None).cast(kinds[c].dataType.elementType) for c in ("ps", "os"))
 
     def part(kind: int, p: Column, o: Column) -> Column:
         return F.struct(F.lit(kind).alias("kind"), p.alias("p"), o.alias("o"))
 
-    parts = F.concat(F.array(part(0, no_p, no_o)), F.transform("ps", lambda p: part(1, p, no_o)), F.transform("os", lambda o: part(2, no_p, o)),
-                     F.flatten(F.transform("ps", lambda p: F.transform("os", lambda o: part(3, p, o)))))
-    flat = frames.select(*CLIP, "frame", F.coalesce("ts", F.lit(0.0)).alias("ts"), F.inline(parts))
+    parts = F.concat(F.array(part(0, no_p, no_o)), F.flatten(F.transform("ps", lambda p: F.transform("os", lambda o: part(3, p, o)))))
+    others = [c for c in frames.columns if c not in ("ps", "os")]
+    listed = frames.withColumn("people", F.transform("ps", lambda p: p["uid"])).withColumn("things", F.transform("os", lambda o: o["track_id"])).withColumn(
+        "resting", F.transform("os", lambda o: still(o["moved"], geom.box_of(o))))
+    flat = listed.select(*others, "people", "things", "resting", F.inline(parts))
     names = {"p_track": "p.track_id", "p_uid": "p.uid", "p_step": "p.step", "o_track": "o.track_id", "o_uid": "o.uid", "o_step": "o.step", "o_moved": "o.moved",
              "o_conf": "o.confidence", "o_class": "o.class_name", "o_source": "o.source", "in_zone": "o.in_zone", **{m: f"p.{m}" for m in MARKS},
              **{f"{side}_{s}": f"{side}.{s}" for side in "po" for s in ("x1", "y1", "x2", "y2")}}
-    return flat.select(*CLIP, "frame", "ts", "kind", *(F.col(path).alias(name) for name, path in names.items()))
+    tick = F.col("kind") == 0
+    return flat.select(*others, "kind", *(F.when(tick, F.col(c)).alias(c) for c in PRESENCE), *(F.col(path).alias(name) for name, path in names.items()))
 
 
 def with_geometry(parts: DataFrame) -> DataFrame:
@@ -125,6 +134,9 @@ def flagged(pairs: DataFrame) -> DataFrame:
     return out.withColumn("carried", carried).withColumn("score", score).withColumn("pcx", pc.x).withColumn("pcy", pc.y).withColumn("ocx", oc.x).withColumn("ocy", oc.y)
 
 
+# Who is present, on tick rows: person uids, object track ids, and whether each object rests.
+PRESENCE = ["people", "things", "resting"]
+
 # Columns of one observation, in the order the state machine unpacks them.
 FLAGS = ["near", "carried", "still", "walking", "together", "wrist_near", "wrist_seen", "below_feet", "on_ground", "in_zone", "fallback"]
 FIELDS = ["p_track", "p_uid", "o_track", "o_uid", "o_class", "distance", "norm", "contained", "score", "ph", "pcx", "pcy", "ocx", "ocy", "o_conf", "wrist_d", *FLAGS]
@@ -132,40 +144,42 @@ FIELDS = ["p_track", "p_uid", "o_track", "o_uid", "o_class", "distance", "norm",
 
 def tick_rows(boxes: DataFrame, ticks: DataFrame, configs: Mapping[str, Thresholds], assignment: DataFrame | None = None,
               min_conf: float = 0.10) -> DataFrame:
-    """Rows for the pair fold, by `kind`: 0 tick, 1 person present, 2 object present, 3 pair observed.
+    """Rows for the pair fold, by `kind`: 0 a tick and who is present in it, 3 a pair observed.
 
     `boxes`: video_id, session, frame (tick ordinal), det_id, track_id, is_person, source, class_name,
     x1..y2, confidence, landmarks, in_zone. `ticks`: video_id, session, frame, ts. `assignment`
     (video_id, config_id) limits which configs run on which video; by default every config runs on
-    every video (J18). Configs are joined to finished geometry, so a sweep repeats cheap flags only.
+    every video (J18). A sweep repeats pairing and flags, but not identities, windows or gathering.
     """
     spark = boxes.sparkSession
     windows = sorted({c.stationary_window_frames for c in configs.values()})
     if len(windows) > 1:
         parts = [tick_rows(boxes, ticks, {n: c for n, c in configs.items() if c.stationary_window_frames == w}, assignment, min_conf) for w in windows]
         return reduce(DataFrame.unionByName, parts)
-    known = with_motion(identity.stable_uids(admitted(boxes, min_conf), CLIP), windows[0])
-    measured = with_geometry(tick_parts(known, ticks))
-    # The knobs are a handful of rows, and so is the broadcast.
-    knobs = F.broadcast(config_rows(spark, configs))
-    if assignment is None:
-        tuned = measured.withColumn("config_id", F.explode(F.array(*(F.lit(n) for n in configs)))).join(knobs, "config_id")
-    else:
-        tuned = measured.join(assignment.select("video_id", "config_id"), "video_id").join(knobs, "config_id")
+    frames = frames_of(with_motion(identity.stable_uids(admitted(boxes, min_conf), CLIP), windows[0]), ticks)
+    per_video = None if assignment is None else assignment.groupBy("video_id").agg(F.collect_list("config_id").alias("configs"))
     if any(c.auto_calibrate for c in configs.values()):
-        scene = calibrate.motion_thresholds(boxes.drop("in_zone").where("is_person"), "track_id", Thresholds(calibration_frames=max(c.calibration_frames for c in configs.values())))
-        tuned = tuned.join(scene.select("video_id", F.col("carry_motion_norm_px").alias("scene_px"), F.col("departure_motion_ratio").alias("scene_departure")), "video_id", "left")
-        late = F.col("auto_calibrate") & (F.col("frame") >= F.col("calibration_frames") - 1)
-        tuned = tuned.withColumn("carry_motion_norm_px", F.when(late, F.coalesce("scene_px", "carry_motion_norm_px")).otherwise(F.col("carry_motion_norm_px"))).withColumn(
-            "scene_departure", F.when(late, F.coalesce("scene_departure", F.lit(-1.0))).otherwise(-1.0))
-    else:
-        tuned = tuned.withColumn("scene_departure", F.lit(-1.0))
-    seen = flagged(tuned).withColumn("fallback", F.col("o_source") != "yolo")
+        depth = Thresholds(calibration_frames=max(c.calibration_frames for c in configs.values()))
+        scene = calibrate.motion_thresholds(boxes.drop("in_zone").where("is_person"), "track_id", depth).select(
+            "video_id", F.col("carry_motion_norm_px").alias("scene_px"), F.col("departure_motion_ratio").alias("scene_departure"))
+        per_video = scene if per_video is None else per_video.join(scene, "video_id", "left")
+    if per_video is not None:
+        # One row per video: joined to ticks, not to boxes or pairs.
+        frames = frames.join(per_video, "video_id", "left" if assignment is None else "inner")
+    if assignment is None:
+        frames = frames.withColumn("configs", F.array(*(F.lit(n) for n in configs)))
+    if "scene_px" not in frames.columns:
+        frames = frames.withColumn("scene_px", F.lit(None).cast("double")).withColumn("scene_departure", F.lit(None).cast("double"))
+    # The knobs are a handful of rows, and so is the broadcast.
+    tuned = frames.withColumn("config_id", F.explode("configs")).drop("configs").join(F.broadcast(config_rows(spark, configs)), "config_id")
+    late = F.col("auto_calibrate") & (F.col("frame") >= F.col("calibration_frames") - 1)
+    tuned = tuned.withColumn("carry_motion_norm_px", F.when(late, F.coalesce("scene_px", "carry_motion_norm_px")).otherwise(F.col("carry_motion_norm_px"))).withColumn(
+        "scene_departure", F.when(late, F.coalesce("scene_departure", F.lit(-1.0))).otherwise(-1.0)).drop("scene_px", "auto_calibrate", "calibration_frames")
+    seen = flagged(with_geometry(tick_parts(tuned))).withColumn("fallback", F.col("o_source") != "yolo")
     # A tick row carries the scene's departure ratio in `norm` once it is known, -1 before.
     empty = {**{f: F.lit(0).cast("bigint") for f in ("p_track", "p_uid", "o_track", "o_uid")}, "o_class": F.lit(""),
              **{f: F.lit(0.0) for f in FIELDS[5:16]}, **{f: F.lit(False) for f in FLAGS}}
     filled = {f: F.coalesce(F.col(f), empty[f]) for f in FIELDS}
     filled["norm"] = F.when(F.col("kind") == 0, F.col("scene_departure")).otherwise(filled["norm"])
     filled["wrist_d"] = F.coalesce(F.col("wrist_d"), F.lit(-1.0))
-    return seen.select(*CLIP, "config_id", "frame", "kind", "ts", *(filled[f].alias(f) for f in FIELDS))
-
+    return seen.select(*CLIP, "config_id", "frame", "kind", "ts", *PRESENCE, *(filled[f].alias(f) for f in FIELDS))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from trackspark.config import Thresholds
 from trackspark.operators import folds
-from trackspark.operators.pairfeatures import CLIP, FIELDS
+from trackspark.operators.pairfeatures import CLIP, FIELDS, PRESENCE
 
 NEAR, CARRIED, RELEASED, GROUND, DEPARTED, CONFIRMED = (
     "BAG_NEAR_PERSON", "BAG_CARRIED", "BAG_RELEASED", "BAG_ON_GROUND", "PERSON_DEPARTED", "VIOLATION_CONFIRMED")
@@ -113,15 +113,11 @@ class Machine:
     def tick(self, frame: int, rows: list[tuple]) -> list[tuple]:
         self.frame, self.out = frame, []
         people, objects, seen = set(), {}, []
-        for _, kind, ts, *values in rows:
+        for _, kind, ts, present, things, resting, *values in rows:
             if kind == 0:
-                self.ts = ts
-                if values[6] >= 0:
-                    self.dep_motion = values[6]
-            elif kind == 1:
-                people.add(values[1])
-            elif kind == 2:
-                objects[values[2]] = values[18]
+                self.ts, people, objects = ts, set(present), dict(zip(things, resting))
+                if values[FIELDS.index("norm")] >= 0:
+                    self.dep_motion = values[FIELDS.index("norm")]
             else:
                 seen.append(Seen(values))
         chosen = self.choose(seen)
@@ -652,7 +648,7 @@ def pair_events(rows: DataFrame, configs: Mapping[str, Thresholds], explain: boo
     Parallelism is videos x sessions x configs. A fold holds the pairs alive at one tick.
     """
     keys = [*CLIP, "config_id"]
-    ordered = rows.select(*keys, "frame", "kind", "ts", *FIELDS)
+    ordered = rows.select(*keys, "frame", "kind", "ts", *PRESENCE, *FIELDS)
     table = dict(configs)
     single = next(iter(table.values())) if len(table) == 1 else None
 

@@ -18,7 +18,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from trackspark.config import Thresholds
 from trackspark.operators.identity import _People, _Things
-from trackspark.operators.pairfeatures import FIELDS
+from trackspark.operators.pairfeatures import FIELDS, PRESENCE
 from trackspark.operators.pairfsm import EVENT_SCHEMA, Machine
 from trackspark.session import scratch_path
 
@@ -123,7 +123,7 @@ def pair_stream(rows: DataFrame, configs: dict[str, Thresholds], idle_ms: int |
         if not state.hasTimedOut:
             pdf = ordered(batches, ["frame", "kind", "p_uid", "o_track"])
             ended = bool((pdf["kind"] == 9).any())
-            columns = ["frame", "kind", "ts", *FIELDS]
+            columns = ["frame", "kind", "ts", *PRESENCE, *FIELDS]
             for frame, part in pdf[pdf["kind"] != 9].groupby("frame", sort=True):
                 if frame > machine.frame or (machine.frame == 0 and not machine.pairs):
                     out += machine.tick(frame, list(zip(*(part[c].tolist() for c in columns))))
