@@ -96,7 +96,7 @@ def flag_zones(det: DataFrame, zones: DataFrame, frame_w: float, frame_h: float)
     """J7 as a flag: `in_zone` per box, without multiplying or regrouping the boxes.
 
     The zones of a camera become one array row, so the join on the camera is one to one; the zones
-    for every camera are one more such row.
+    for every camera are one more such row. Persons are never tested.
     """
     edges = zones.withColumn("_edges", geom.polygon_edges(F.col("polygon")))
     own = edges.where("camera_id is not null").groupBy("camera_id").agg(F.collect_list("_edges").alias("_own"))
@@ -107,4 +107,5 @@ def flag_zones(det: DataFrame, zones: DataFrame, frame_w: float, frame_h: float)
     joined = det.join(own, "camera_id", "left").withColumn("_k", F.lit(1)).join(shared, "_k", "left")
     zone_list = F.concat(F.coalesce("_own", F.array()), F.coalesce("_all", F.array()))
     inside = F.exists(zone_list, lambda e: geom.in_edges(e, c.x / frame_w, c.y / frame_h))
-    return joined.withColumn("in_zone", F.coalesce(inside, F.lit(False))).drop("_own", "_all", "_k")
+    wanted = F.when(F.col("is_person") | (F.size(zone_list) == 0), F.lit(False)).otherwise(inside)
+    return joined.withColumn("in_zone", F.coalesce(wanted, F.lit(False))).drop("_own", "_all", "_k")

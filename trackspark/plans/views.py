@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trackspark.operators import longseq
+from trackspark.session import prepare
 
 FRAME_W, FRAME_H = 640, 480
 
@@ -18,7 +19,7 @@ _DET_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantit
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     """A given table; its zone-less times are UTC, so the session must be too."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    prepare(spark)
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 

@@ -13,9 +13,17 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Java does not compile methods above 8,000 bytes; such stages run faster without fused code.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
+def prepare(spark: SparkSession) -> None:
+    """The two settings results or speed depend on, for a session made elsewhere."""
+    for key in ("spark.sql.session.timeZone", "spark.sql.codegen.hugeMethodLimit"):
+        spark.conf.set(key, SETTINGS[key])
+
+
 def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "12g") -> SparkSession:
     """A local session for tests and the bench; a cluster brings its own."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName("trackspark")
