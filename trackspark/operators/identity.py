@@ -134,14 +134,6 @@ def stable_uids(boxes: DataFrame, keys: Sequence[str]) -> DataFrame:
     return out.drop(*helpers)
 
 
-def person_uids(persons: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return stable_uids(persons.where("is_person"), keys)
-
-
-def object_uids(objects: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return stable_uids(objects.where(~F.col("is_person")), keys)
-
-
 def link_regions(regions: DataFrame, keys: Sequence[str], reach: float, age: int) -> DataFrame:
     """Link regions frame by frame; adds `track` and `hits`.
 

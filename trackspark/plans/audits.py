@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trackspark.config import Thresholds
 from trackspark.functions import geom, pose
 from trackspark.operators import assoc, audit, quantiles
 from trackspark.plans import views
-from trackspark.plans.frames import CAND_SQL, ON_CAND, box_sql
+from trackspark.plans.frames import ON_CAND, box_sql
 from trackspark.plans.registry import query
-from trackspark.plans.scalars import CFG, LW, OB, PB, POSE_SQL, POSE_ZONE, RW, LS, RS, TORSO, O_STEP, P_STEP, WRIST, r9
+from trackspark.plans.scalars import CFG, LW, OB, PB, POSE_SQL, POSE_ZONE, RW, LS, RS, TORSO, O_STEP, P_STEP, r9
 
 TRACK = ["video_id", "track_no", "is_person"]
 TRACK_SQL = """tracks AS (SELECT video_id, track_no, is_person, min(frame) AS first_frame, max(frame) AS last_frame, count(*) AS n_boxes,

@@ -7,14 +7,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trackspark.config import KNOBS
-from trackspark.functions import labels
 from trackspark.operators import datasets, evaluate
 from trackspark.plans import views
 from trackspark.plans.metrics import METRIC_SQL
 from trackspark.plans.registry import query
 from trackspark.plans.review import EVIDENCE_SQL, JOBS_SQL, evidence, jobs
-from trackspark.plans.scalars import PARTS_SQL, part_names
 from trackspark.session import scratch_path
 from trackspark.sources import readers, sinks
 

@@ -9,7 +9,7 @@ from trackspark.functions import geom, labels, scoring
 from trackspark.operators import assoc, detect
 from trackspark.plans import views
 from trackspark.plans.registry import query
-from trackspark.plans.scalars import CONT, DIST, IOU, LEGACY, NEAR, NORM, OH, OW, PAIR_KEYS, PH, PW, WRIST_NEAR, ZONE, r9
+from trackspark.plans.scalars import CONT, LEGACY, NEAR, NORM, OH, OW, PAIR_KEYS, PH, PW, WRIST_NEAR, r9
 
 CFG = Thresholds()
 KEYS = ["video_id", "frame", "det_id"]

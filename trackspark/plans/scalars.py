@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from trackspark.config import STATES, TIERS, Thresholds
 from trackspark.functions import geom, labels, pose, scoring
-from trackspark.functions.geom import Box, Point
 from trackspark.plans import views
 from trackspark.plans.registry import ORACLES, QUERIES, query
 

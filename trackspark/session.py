@@ -48,11 +48,3 @@ def shared_folder(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path under the shared folder, never reused between runs."""
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def cut_lineage(df):
-    """Reliable checkpoint in the shared folder, so lost executors do not replay every earlier round."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
