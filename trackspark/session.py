@@ -37,9 +37,14 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a fresh temporary one only where none is set."""
+    """The cluster's shared checkpoint folder; a fresh temporary one only in local mode with none set.
+
+    On a cluster every executor has a disk of its own, so a missing setting is an error there.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="trackspark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
