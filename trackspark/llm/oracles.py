@@ -67,3 +67,14 @@ SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, fir
        coalesce(labels, '') AS labels, coalesce(score, 0.0::DOUBLE) AS score
 FROM texts LEFT JOIN found USING (r)
 """
+
+ORACLES["op8_chat_format"] = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, i, r, '<|im_end|><|im_start|>assistant ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(i, r))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(length('<|im_start|>' || role || chr(10) || regexp_replace(text, '<(!*)\|', '<!\1|', 'g') || '<|im_end|>' || chr(10)))::BIGINT AS formatted_chars
+FROM turns GROUP BY conv_id
+"""
