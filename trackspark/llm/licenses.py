@@ -33,6 +33,8 @@ NOTICES = (
 K = 2
 #: Diagonals of one notice at most this far apart are one span: a word put in or left out moves the diagonal by one.
 SLACK = 2
+#: A template's votes are the bits of a long.
+MOST_WORDS = 64
 #: Share of a notice's grams that a span must hold.
 COVERAGE = 0.8
 
@@ -65,6 +67,8 @@ def scan_licenses(datasets: DataFrame, phrases=PHRASES, notices=NOTICES, coverag
     span, kept if it covers enough distinct positions. Only votes and one row per text leave the scan, so very
     common passages cost no more than their places. Equal rows are counted once and repeated at the end.
     """
+    if any(len(words.split()) > MOST_WORDS for _, words in [*phrases, *notices]):
+        raise ValueError(f"a template has more than {MOST_WORDS} words")
     rows = datasets.select("name", F.col("license").cast("string").alias("license"))
     rows = rows.select("name", F.xxhash64("license").alias("text_key"), terms(F.col("license")).alias("words"))
     # Position -1 stands for the text itself, so that texts without a vote stay.
@@ -74,14 +78,16 @@ def scan_licenses(datasets: DataFrame, phrases=PHRASES, notices=NOTICES, coverag
     templates = F.broadcast(_templates(datasets.sparkSession, phrases, notices))
     hits = rows.join(templates, (F.col("hash") == F.col("t_hash")) & (first == F.col("t_first")) & (second == F.col("t_second")), "left")
     hits = hits.filter((F.col("pos") == -1) | F.col("template").isNotNull())
+    # From here on rows are narrow: votes as bits of a mask, and no words.
+    hits = hits.select("name", "text_key", "template", "label", "is_phrase", "n_grams", (F.col("pos") - F.col("t_pos")).alias("diagonal"), F.expr("shiftleft(1L, t_pos)").alias("vote"), F.when(F.col("pos") == -1, F.size("words")).alias("n_words"))
     text = ["name", "text_key"]
-    diagonals = hits.groupBy(*text, "template", "label", "is_phrase", "n_grams", (F.col("pos") - F.col("t_pos")).alias("diagonal")).agg(
-        F.count(F.lit(1)).alias("rows"), F.max(F.size("words")).alias("n_words"), F.collect_set("t_pos").alias("t_set"))
+    diagonals = hits.groupBy(*text, "template", "label", "is_phrase", "n_grams", "diagonal").agg(
+        F.count(F.lit(1)).alias("rows"), F.max("n_words").alias("n_words"), F.bit_or("vote").alias("votes"))
     along = Window.partitionBy(*text, "template").orderBy("diagonal")
     apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(along) > SLACK, F.lit(True)) | F.coalesce(F.col("is_phrase"), F.lit(True))
     spans = diagonals.withColumn("apart", apart.cast("int")).withColumn("span", F.sum("apart").over(along))
     spans = spans.groupBy(*text, "template", "label", "is_phrase", "n_grams", "span").agg(
-        F.max("rows").alias("rows"), F.max("n_words").alias("n_words"), F.min("diagonal").alias("start"), F.size(F.array_distinct(F.flatten(F.collect_list("t_set")))).alias("found"))
+        F.max("rows").alias("rows"), F.max("n_words").alias("n_words"), F.min("diagonal").alias("start"), F.bit_count(F.bit_or("votes")).alias("found"))
     share = F.col("found") / F.col("n_grams")
     place = F.col("is_phrase") & (F.col("found") == F.col("n_grams"))
     named = F.when(place | (~F.col("is_phrase") & (share >= F.lit(coverage))), F.col("label"))
