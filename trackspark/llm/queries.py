@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, licenses, mixing
+from trackspark.session import scratch_path
+
+from . import bpe, chat, langid, licenses, mixing, warc
 from .common import WORD
 from .oracles import ORACLES  # noqa: F401
 
@@ -58,3 +60,22 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = report.when(F.col("role") == "assistant", F.to_json(F.struct(text.alias("output")))).otherwise(F.to_json(F.struct(F.array(F.struct("role", text.alias("content"))).alias("messages"))))
     reports = rows.select(F.col("conv_id").alias("event_id"), F.col("turn").alias("seq"), report.alias("report_json"))
     return chat.read_back(chat.formatted(chat.canonical_turns(reports))).withColumnRenamed("event_id", "conv_id")
+
+
+@query
+def op2_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as an evidence file, written to archives and read back."""
+    evidence = _table(spark, sf_dir, "pages").select(F.col("page_id").alias("event_id"), F.col("url").alias("path"), F.col("html").alias("data"))
+    folder = scratch_path(spark, "warc")
+    warc.write_archives(evidence, folder)
+    rows = warc.resolved(warc.read_archives(spark, folder))
+    return rows.select(F.col("event_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
+@query
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a verdict's notes; three of four folds are learned from."""
+    verdicts = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("event_id"), F.col("text").alias("notes"), "lang")
+    model = langid.train(verdicts.filter(langid.fold(F.col("event_id")) != 2))
+    found = langid.predict_languages(verdicts.select("event_id", "notes"), model)
+    return found.select(F.col("event_id").alias("doc_id"), F.coalesce(langid.fold(F.col("event_id")) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
