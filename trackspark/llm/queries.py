@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from trackspark.session import scratch_path
 
-from . import bpe, chat, langid, licenses, mixing, warc
+from . import bpe, chat, langid, licenses, minhash, mixing, warc
 from .common import WORD
 from .oracles import ORACLES  # noqa: F401
 
@@ -79,3 +79,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.train(verdicts.filter(langid.fold(F.col("event_id")) != 2))
     found = langid.predict_languages(verdicts.select("event_id", "notes"), model)
     return found.select(F.col("event_id").alias("doc_id"), F.coalesce(langid.fold(F.col("event_id")) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op5_superminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a verdict's notes."""
+    verdicts = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("event_id"), F.col("text").alias("notes"))
+    return minhash.near_duplicates(verdicts).withColumnRenamed("event_id", "doc_id")
