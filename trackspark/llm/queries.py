@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from trackspark.session import scratch_path
 
-from . import bpe, chat, langid, licenses, minhash, mixing, warc
+from . import bpe, chat, langid, licenses, minhash, mixing, quality, warc
 from .common import WORD
 from .oracles import ORACLES  # noqa: F401
 
@@ -86,3 +86,11 @@ def op5_superminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as a verdict's notes."""
     verdicts = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("event_id"), F.col("text").alias("notes"))
     return minhash.near_duplicates(verdicts).withColumnRenamed("event_id", "doc_id")
+
+
+@query
+def op1_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a verdict's notes; labelled quality is a verdict of the operator."""
+    verdicts = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("event_id"), F.col("text").alias("notes"), "lang")
+    trusted = _table(spark, sf_dir, "labels").filter("quality = 1 AND coalesce(toxic, 0) = 0").select(F.col("doc_id").alias("event_id"))
+    return quality.rated_notes(verdicts, trusted).withColumnRenamed("event_id", "doc_id")
