@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from trackspark.session import scratch_path
 
-from . import bpe, chat, langid, licenses, minhash, mixing, quality, warc
+from . import bpe, chat, langid, licenses, minhash, mixing, neighbours, quality, warc
 from .common import WORD
 from .oracles import ORACLES  # noqa: F401
 
@@ -94,3 +94,10 @@ def op1_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     verdicts = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("event_id"), F.col("text").alias("notes"), "lang")
     trusted = _table(spark, sf_dir, "labels").filter("quality = 1 AND coalesce(toxic, 0) = 0").select(F.col("doc_id").alias("event_id"))
     return quality.rated_notes(verdicts, trusted).withColumnRenamed("event_id", "doc_id")
+
+
+@query
+def op4_vantage_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every twentieth vector against all."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    return neighbours.nearest_neighbours(vectors, vectors.filter("vec_id % 20 = 0"))
