@@ -24,7 +24,7 @@ def _notes(docs: DataFrame, *more: str) -> DataFrame:
 
 def _with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     ids = ids.select(F.col("event_id").alias("_id")).distinct()
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    return docs.select(*COLUMNS).join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +59,7 @@ def curriculum_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     at = lambda i: F.when((F.col("size") > 0) & (F.col(f"taken_{i}") * 2 >= F.col("size")), F.col(f"position_{i}"))
     plan = plan.select(F.col("image").alias("_id"), F.array_compact(F.array(at(1), at(2))).alias("_at")).filter(F.size("_at") > 0)
     plan = plan.groupBy("_id").agg(F.max("_at").alias("_at"))
-    copies = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("_id"))).select(*COLUMNS, F.explode("_at").alias("_position"))
+    copies = docs.select(*COLUMNS).join(plan, F.col("doc_id").eqNullSafe(F.col("_id"))).select(*COLUMNS, F.explode("_at").alias("_position"))
     return mixing.in_training_order(copies, "_position", "doc_id").select(*COLUMNS)
 
 

@@ -210,7 +210,7 @@ def train(verdicts: DataFrame, sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
 
 
 def predict_languages(verdicts: DataFrame, model: LanguageModel) -> DataFrame:
-    """All columns of `verdicts`, of which only `notes` is used, and lang_pred, score.
+    """All columns of `verdicts`, of which only `notes` is used, and lang_pred, score, which replace columns of these names.
 
     lang_pred is a learned language, or `und` with score 0 where notes are null or have no letter. score is the calibrated
     probability. The model (languages x 65,536 weights) goes to the tasks; rows are independent, and every whole text is read.
@@ -219,7 +219,9 @@ def predict_languages(verdicts: DataFrame, model: LanguageModel) -> DataFrame:
     def guess(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([model.predict(t) for t in texts], columns=["lang_pred", "score"])
 
-    return verdicts.withColumn("_guess", guess(F.col("notes").cast("string"))).select("*", F.col("_guess.lang_pred").alias("lang_pred"), F.col("_guess.score").alias("score")).drop("_guess")
+    kept = [F.col(f"`{c}`") for c in verdicts.columns if c not in ("lang_pred", "score")]
+    rows = verdicts.select(*kept, guess(F.col("notes").cast("string")).alias("_guessed_language"))
+    return rows.select("*", "_guessed_language.lang_pred", "_guessed_language.score").drop("_guessed_language")
 
 
 def fold(event_id: Column) -> Column:

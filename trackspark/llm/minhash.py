@@ -118,9 +118,9 @@ def signatures(verdicts: DataFrame) -> DataFrame:
                     out.append((len(found), node - (1 << 64) if node >= 1 << 63 else node, *_banded(superminhash(found))))
                 else:
                     out.append((0, None, None, None))
-            rows = pd.DataFrame(out, columns=["n_shingles", "node", "bands", "sig"], index=batch.index)
-            rows["node"] = rows["node"].astype("Int64")
-            yield pd.concat([batch[["event_id"]], rows], axis=1)
+            sizes, nodes, bands, sigs = zip(*out) if out else ((), (), (), ())
+            # A nullable type of its own: nulls among longs must not turn them into doubles.
+            yield pd.DataFrame({"event_id": batch["event_id"].to_numpy(), "n_shingles": sizes, "node": pd.array(nodes, dtype="Int64"), "bands": list(bands), "sig": list(sigs)})
 
     rows = verdicts.select(F.col("event_id").cast("string").alias("event_id"), F.col("notes").cast("string").alias("notes"))
     out = rows.mapInPandas(run, "event_id string, n_shingles long, node long, bands array<long>, sig binary")
