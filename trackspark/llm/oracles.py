@@ -98,3 +98,18 @@ reach(doc_id, other) AS (SELECT doc_id, doc_id FROM words UNION SELECT r.doc_id,
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, m AS component_id, doc_id = m AS kept
 FROM (SELECT doc_id, min(other) AS m FROM reach GROUP BY doc_id) LEFT JOIN sizes USING (doc_id)
 """
+
+ORACLES["op6_block_max_search"] = r"""
+WITH words AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM documents WHERE doc_id IS NOT NULL),
+tf AS (SELECT doc_id, w, count(*)::DOUBLE AS n FROM words GROUP BY doc_id, w),
+lengths AS (SELECT doc_id, sum(n) AS len FROM tf GROUP BY doc_id),
+total AS (SELECT count(*)::DOUBLE AS n_docs, (SELECT sum(len) FROM lengths) / count(*) AS mean FROM documents WHERE doc_id IS NOT NULL),
+idf AS (SELECT w, ln(1 + ((SELECT n_docs FROM total) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf GROUP BY w),
+scores AS (
+  SELECT q.doc_id AS query_id, d.doc_id, round(sum(idf * d.n * 2.2 / (d.n + 1.2 * (0.25 + 0.75 * len / (SELECT mean FROM total)))), 9) AS score
+  FROM tf q JOIN tf d ON q.w = d.w AND q.doc_id <> d.doc_id JOIN idf ON idf.w = q.w JOIN lengths ON lengths.doc_id = d.doc_id
+  WHERE q.doc_id % 50 = 0 GROUP BY q.doc_id, d.doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM scores)
+SELECT query_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""

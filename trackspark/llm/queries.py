@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from trackspark.session import scratch_path
 
-from . import bpe, chat, langid, licenses, minhash, mixing, neighbours, quality, warc
+from . import bpe, chat, langid, licenses, minhash, mixing, neighbours, quality, search, warc
 from .common import WORD
 from .oracles import ORACLES  # noqa: F401
 
@@ -101,3 +101,10 @@ def op4_vantage_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every twentieth vector against all."""
     vectors = _table(spark, sf_dir, "embeddings")
     return neighbours.nearest_neighbours(vectors, vectors.filter("vec_id % 20 = 0"))
+
+
+@query
+def op6_block_max_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fiftieth document against all."""
+    verdicts = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("event_id"), F.col("text").alias("notes"))
+    return search.search(verdicts, verdicts.filter("event_id % 50 = 0")).withColumnRenamed("event_id", "doc_id")
