@@ -25,8 +25,8 @@ BANDS, ROWS = 16, 4
 SLOTS = BANDS * ROWS
 #: Slots that must agree before full sets are compared: five standard deviations below what 0.85 gives.
 AGREE = 40
-#: Rows of a block when members of one bucket are compared.
-BLOCK = 1024
+#: Rows, and shingles, of a block when members of one bucket are compared.
+BLOCK, BLOCK_SHINGLES = 1024, 1_000_000
 #: Remembered word hashes of a Python worker.
 REMEMBERED = 500_000
 
@@ -174,31 +174,93 @@ def _confirmed(pairs: DataFrame, verdicts: DataFrame, rows: DataFrame, percent:
     return written(both.select("a", "b", (common * 100 >= (F.size("set_a") + F.size("set_b") - common) * percent).alias("linked")), "confirmed")
 
 
-def _across(members: DataFrame) -> DataFrame:
-    """Pairs of one bucket, of different components, whose signatures agree; members: key, node, component, n_shingles, sig.
+def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """The groups of rows that come sorted by `keys`; a group may begin in one batch and end in a later one."""
+    held = None
+    for batch in batches:
+        rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+        values = rows[keys].to_numpy()
+        cuts = [0, *(np.flatnonzero((values[1:] != values[:-1]).any(axis=1)) + 1)]
+        for start, end in zip(cuts, cuts[1:]):
+            yield rows.iloc[start:end]
+        held = rows.iloc[cuts[-1] :]
+    if held is not None and len(held):
+        yield held
 
-    A bucket is cut into blocks of about BLOCK rows, and each pair of blocks is a group of its own, so that no task holds a
-    whole bucket. Only plausible pairs leave a task.
+
+def _in_blocks(members: DataFrame, *more: str) -> DataFrame:
+    """The members of buckets with several components, dealt into groups (key, low, high) and sorted by them.
+
+    A bucket is cut into blocks of about BLOCK rows or BLOCK_SHINGLES shingles, and each pair of blocks is a group of its own, so
+    that no task holds a whole bucket. `own` is a row's block.
     """
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
-    rows = members.join(sizes.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "key")
-    rows = rows.withColumn("own", F.pmod(F.col("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "component", "n_shingles", "sig")
-
-    def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-        sig = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(-1, SLOTS)
-        node, component, n, own = (pdf[c].to_numpy() for c in ("node", "component", "n_shingles", "own"))
-        crossing, out = pdf["low"].iloc[0] != pdf["high"].iloc[0], []
-        for i in range(len(pdf) - 1):
-            j = np.arange(i + 1, len(pdf))
-            j = j[(component[j] != component[i]) & (np.minimum(n[j], n[i]) * 100 >= np.maximum(n[j], n[i]) * PERCENT)]
-            if crossing:
-                j = j[own[j] != own[i]]
-            j = j[(sig[j] == sig[i]).sum(axis=1) >= AGREE]
-            out.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], axis=1))
-        return pd.DataFrame(np.concatenate(out) if out else np.zeros((0, 2), np.int64), columns=["a", "b"])
-
-    return rows.groupBy("key", "low", "high").applyInPandas(pairs, "a long, b long").distinct()
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("all"), F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most")
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("all") / BLOCK_SHINGLES)).cast("int")
+    rows = members.join(sizes.select("key", blocks.alias("blocks")), "key")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "component", "n_shingles", *more)
+    return rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "node")
+
+
+def _others(group: pd.DataFrame, percent: int):
+    """For row i of a group: the later rows of other components and fitting size; of the other block, where there are two."""
+    n, own, crossing = group["n_shingles"].to_numpy(), group["own"].to_numpy(), group["low"].iloc[0] != group["high"].iloc[0]
+
+    def of(i: int, component: np.ndarray) -> np.ndarray:
+        j = np.arange(i + 1, len(n))
+        j = j[(component[j] != component[i]) & (np.minimum(n[j], n[i]) * 100 >= np.maximum(n[j], n[i]) * percent)]
+        return j[own[j] != own[i]] if crossing else j
+
+    return of
+
+
+def _promising(members: DataFrame, percent: int) -> DataFrame:
+    """key, node of the members whose signature agrees with that of a member of another component; members: key, node, component, n_shingles, sig."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in _groups(batches, ["key", "low", "high"]):
+            sig, component, others = np.frombuffer(b"".join(group["sig"]), np.uint8).reshape(-1, SLOTS), group["component"].to_numpy(), _others(group, percent)
+            good = np.zeros(len(group), bool)
+            for i in range(len(group) - 1):
+                j = others(i, component)
+                j = j[(sig[j] == sig[i]).sum(axis=1) >= AGREE]
+                good[j] = True
+                good[i] |= len(j) > 0
+            yield group.loc[good, ["key", "node"]]
+
+    return _in_blocks(members, "sig").mapInPandas(run, "key long, node long").distinct()
+
+
+def _joined_across(members: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join different components, by full sets; members: key, node, component, n_shingles, bands, shingles.
+
+    A pair is compared in the first band that it shares. Each row is marked in a table of the group's shingles and counted
+    against all other rows at once; joined components are one from then on, so a group of m rows gives at most m - 1 links
+    however many of its pairs are similar.
+    """
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in _groups(batches, ["key", "low", "high"]):
+            bands, component, node, others = np.stack(group["bands"].to_numpy()), group["component"].to_numpy().copy(), group["node"].to_numpy(), _others(group, percent)
+            sizes = group["n_shingles"].to_numpy()
+            band = int(np.flatnonzero(bands[0] == group["key"].iloc[0])[0])
+            shingle = np.unique(np.concatenate(group["shingles"].to_numpy()), return_inverse=True)[1]
+            starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+            marked, out = np.zeros(shingle.max() + 1, np.int32), []
+            for i in range(len(group) - 1):
+                j = others(i, component)
+                j = j[(bands[j] == bands[i]).argmax(axis=1) == band]
+                if not len(j):
+                    continue
+                own = shingle[starts[i] : starts[i] + sizes[i]]
+                marked[own] = 1
+                common = np.add.reduceat(marked[shingle[starts[j[0]] :]], starts[j[0] :] - starts[j[0]])[j - j[0]]
+                marked[own] = 0
+                for other in j[common * 100 >= (sizes[j] + sizes[i] - common) * percent]:
+                    if component[other] != component[i]:
+                        component[component == component[other]] = component[i]
+                        out.append((node[i], node[other]))
+            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return _in_blocks(members, "bands", "shingles").mapInPandas(run, "a long, b long").distinct()
 
 
 def near_duplicates(verdicts: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -208,9 +270,9 @@ def near_duplicates(verdicts: DataFrame, percent: int = PERCENT) -> DataFrame:
     component_id (the smallest event_id reachable over links, itself included), kept (event_id = component_id).
 
     Equal sets are one node. Nodes meet in the buckets of their bands. First each is paired with the best-agreeing smallest
-    node of its buckets; full sets confirm the pair. Then the buckets that still hold several components are compared
-    across components, and what their signatures allow is confirmed as well, so that each pair that shares a bucket is
-    decided by full sets or joined already. No bucket, group of copies or component is ever held by one task or the
+    node of its buckets; full sets confirm the pair. Then, in the buckets that still hold several components, all members
+    whose signatures allow a link are compared across components by full sets, so that each pair that shares a bucket is
+    decided or joined already. No bucket, group of copies or component is ever held by one task or the
     driver. Null notes, and notes without words, have an empty set and are linked with nothing; repeated rows are linked; a
     null event_id takes part, but is never a component's id unless there is no other; an empty table gives no rows.
     """
@@ -228,11 +290,12 @@ def near_duplicates(verdicts: DataFrame, percent: int = PERCENT) -> DataFrame:
     labels = connected_components(links.filter("linked"))
 
     component = F.coalesce("label", "node").alias("component")
-    known = nodes.join(labels, "node", "left").select("node", component, "n_shingles", "sig")
-    again = _across(members.select("key", "node").join(known, "node"))
-    decided = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = _confirmed(again.join(decided, ["a", "b"], "left_anti"), verdicts, rows, percent)
-    labels = connected_components(links.filter("linked").unionByName(more.filter("linked")))
+    known = nodes.join(labels, "node", "left").select("node", component, "n_shingles", "bands", "sig")
+    held = members.select("key", "node").join(known.drop("bands"), "node")
+    promising = written(_promising(held, percent), "promising")
+    sets = _full_sets(verdicts, rows, promising.select("node").distinct())
+    across = _joined_across(promising.join(known.drop("sig"), "node").join(sets, "node"), percent)
+    labels = connected_components(links.filter("linked").select("a", "b").unionByName(written(across, "across")))
 
     named = nodes.join(labels, "node", "left").select("node", "first_id", component)
     smallest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
