@@ -16,6 +16,7 @@ from trackspark.config import Thresholds
 from trackspark.functions import geom
 from trackspark.functions.geom import Point
 from trackspark.operators import folds, longseq
+from trackspark.session import written
 
 
 def min_votes(n: int) -> int:
@@ -82,21 +83,25 @@ def release_threshold(carry_max: Column, cfg: Thresholds) -> Column:
 
 def longest_runs(df: DataFrame, keys: Sequence[str], ordinal: str, flag: Column, tolerance: int = 0) -> DataFrame:
     """Longest run of true flags, and longest count of trues with up to `tolerance` misses between them."""
-    runs = longseq.run_lengths(df.withColumn("_flag", flag), keys, ordinal, F.col("_flag"))
-    marked = longseq.running(runs, keys, ordinal, {"_seen": ("max", F.when(F.col("_flag"), F.col(ordinal)))})
+    base = written(df.withColumn("_flag", F.coalesce(flag, F.lit(False))), "flags")
+    marked = longseq.running(base, keys, ordinal, {
+        "_broken": ("max", F.when(~F.col("_flag"), F.col(ordinal))), "_seen": ("max", F.when(F.col("_flag"), F.col(ordinal)))}, settled=True)
+    marked = marked.withColumn("run", F.col(ordinal) - F.coalesce(F.col("_broken"), F.lit(0))).drop("_broken")
     with_prev = longseq.bounded(marked, keys, ordinal, lambda w: {"_prev": F.lag("_seen").over(w)}, before=1)
     begins = F.col("_flag") & (F.col("_prev").isNull() | (F.col(ordinal) - F.col("_prev") > tolerance + 1))
     grouped = folds.islands(with_prev, keys, ordinal, begins)
     per = grouped.where("_flag").groupBy(*keys, "island").agg(F.count(F.lit(1)).alias("n"), F.max("run").alias("run"))
     best = per.groupBy(*keys).agg(F.max("run").alias("longest_run"), F.max("n").alias("longest_tolerant"))
-    return df.select(*keys).distinct().join(best, list(keys), "left").na.fill(0, ["longest_run", "longest_tolerant"])
+    return base.select(*keys).distinct().join(best, list(keys), "left").na.fill(0, ["longest_run", "longest_tolerant"])
 
 
 def ever_and_since(df: DataFrame, keys: Sequence[str], ordinal: str, flag: Column, value: Column) -> DataFrame:
     """Has the flag ever been true, the running maximum, and the maximum since the flag first was."""
-    first = longseq.running(df, keys, ordinal, {"_from": ("min", F.when(flag, F.col(ordinal))), "max_ever": ("max", value)})
-    since = longseq.running(first, keys, ordinal, {"max_since": ("max", F.when(F.col("_from").isNotNull(), value))})
-    return since.withColumn("ever", F.col("_from").isNotNull()).drop("_from")
+    base = written(df.withColumn("_value", value).withColumn("_at", F.when(flag, F.col(ordinal))), "flags")
+    first = base.groupBy(*keys).agg(F.min("_at").alias("_from"))
+    late = base.join(first, list(keys)).withColumn("ever", F.coalesce(F.col(ordinal) >= F.col("_from"), F.lit(False)))
+    out = longseq.running(late, keys, ordinal, {"max_ever": ("max", F.col("_value")), "max_since": ("max", F.when(F.col("ever"), F.col("_value")))})
+    return out.drop("_from", "_value", "_at")
 
 
 def changes(df: DataFrame, keys: Sequence[str], ordinal: str, value: str) -> DataFrame:

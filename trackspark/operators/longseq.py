@@ -5,10 +5,11 @@ chunks first, so the largest group a task sees is one chunk even when one key ho
 
 * `with_ordinal` numbers rows inside a key from per-bucket counts plus a per-bucket row_number;
 * `bounded` evaluates ROWS frames with a finite reach, copying only the rows a neighbour needs;
-* `running` evaluates unbounded-preceding aggregates as chunk totals, a prefix over the totals,
-  and an in-chunk window.
+* `running` evaluates unbounded aggregates, forwards or backwards, as chunk totals, a prefix over
+  the totals, and an in-chunk window.
 
-The per-key work that remains is over chunk summaries (rows / CHUNK), never over rows.
+The per-key work that remains is over chunk summaries (rows / CHUNK), never over rows. `running` needs
+its rows twice, so it writes them once; a chain of such steps reads its source once, not 2^n times.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackspark.session import written
+
 CHUNK = 4096
 
 
@@ -54,32 +57,37 @@ def bounded(df: DataFrame, keys: Sequence[str], ordinal: str, make: Callable[[Wi
     return spread.where("_own").drop("_chunk", "_own")
 
 
+# kind -> (aggregate, how the carry from other chunks and the value inside the chunk combine).
 _COMBINE = {
     "max": (F.max, lambda a, b: F.greatest(a, b)),
     "min": (F.min, lambda a, b: F.least(a, b)),
     "sum": (F.sum, lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))),
     "last": (None, lambda a, b: F.coalesce(b, a)),
+    "next": (None, lambda a, b: F.coalesce(b, a)),
 }
 
 
 def running(df: DataFrame, keys: Sequence[str], ordinal: str, specs: Mapping[str, tuple[str, Column]],
-            size: int = CHUNK) -> DataFrame:
-    """Running max / min / sum / last-non-null up to and including each row.
+            size: int = CHUNK, settled: bool = False) -> DataFrame:
+    """Running max / min / sum / last non-null up to each row, or `next` non-null from it on, the row included.
 
     `specs` maps an output column to (kind, value). Chunk summaries are computed once for all
-    outputs, prefixed per key, and joined back on the chunk.
+    outputs, prefixed per key, and joined back on the chunk. `settled` says that `df` is a table already
+    (and its values plain columns), which need not be written again.
     """
     base = df.withColumn("_chunk", F.floor((F.col(ordinal) - 1) / size))
     for name, (_, value) in specs.items():
         base = base.withColumn(f"_v_{name}", value)
+    if not settled:
+        base = written(base, "sequence")
     totals = base.groupBy(*keys, "_chunk").agg(*(_total(kind, name, ordinal) for name, (kind, _) in specs.items()))
-    earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    by_chunk = Window.partitionBy(*keys).orderBy("_chunk")
+    in_chunk = Window.partitionBy(*keys, "_chunk").orderBy(ordinal)
     carry = totals.select(*keys, "_chunk", *(
-        _over(kind, F.col(f"_t_{name}"), earlier).alias(f"_c_{name}") for name, (kind, _) in specs.items()))
-    upto = Window.partitionBy(*keys, "_chunk").orderBy(ordinal).rowsBetween(Window.unboundedPreceding, 0)
+        _over(kind, F.col(f"_t_{name}"), by_chunk, 1).alias(f"_c_{name}") for name, (kind, _) in specs.items()))
     local = base
     for name, (kind, _) in specs.items():
-        local = local.withColumn(f"_l_{name}", _over(kind, F.col(f"_v_{name}"), upto))
+        local = local.withColumn(f"_l_{name}", _over(kind, F.col(f"_v_{name}"), in_chunk, 0))
     out = local.join(carry, [*keys, "_chunk"])
     for name, (kind, _) in specs.items():
         out = out.withColumn(name, _COMBINE[kind][1](F.col(f"_c_{name}"), F.col(f"_l_{name}")))
@@ -89,15 +97,18 @@ def running(df: DataFrame, keys: Sequence[str], ordinal: str, specs: Mapping[str
 
 def _total(kind: str, name: str, ordinal: str) -> Column:
     value = F.col(f"_v_{name}")
-    if kind == "last":
-        return F.max_by(value, F.when(value.isNotNull(), F.col(ordinal))).alias(f"_t_{name}")
+    if kind in ("last", "next"):
+        pick = F.max_by if kind == "last" else F.min_by
+        return pick(value, F.when(value.isNotNull(), F.col(ordinal))).alias(f"_t_{name}")
     return _COMBINE[kind][0](value).alias(f"_t_{name}")
 
 
-def _over(kind: str, value: Column, window) -> Column:
-    if kind == "last":
-        return F.last(value, ignorenulls=True).over(window)
-    return _COMBINE[kind][0](value).over(window)
+def _over(kind: str, value: Column, window, gap: int) -> Column:
+    """The aggregate of all rows before (`next`: after) the row; `gap` 0 takes the row itself as well."""
+    if kind == "next":
+        return F.first(value, ignorenulls=True).over(window.rowsBetween(gap, Window.unboundedFollowing))
+    upto = window.rowsBetween(Window.unboundedPreceding, -gap)
+    return F.last(value, ignorenulls=True).over(upto) if kind == "last" else _COMBINE[kind][0](value).over(upto)
 
 
 def run_lengths(df: DataFrame, keys: Sequence[str], ordinal: str, flag: Column, name: str = "run") -> DataFrame:

@@ -40,17 +40,15 @@ def nearest(targets: DataFrame, records: DataFrame, keys: Sequence[str], at: str
     """For each target the record closest in `at`, earlier on ties.
 
     Both sides are merged into one sequence per key; the record before and the record after are
-    running last values in the two directions, so no target is compared with every record.
+    the last and next known values along it, so no target is compared with every record. Records of one
+    time collapse first; at the time of a target they precede it.
     """
-    r = records.select(*keys, F.col(at).alias("_t"), F.col(record_id).alias("_rid"), F.lit(None).cast(dict(targets.dtypes)[target_id]).alias("_tid"))
+    r = records.groupBy(*keys, F.col(at).alias("_t")).agg(F.min(record_id).alias("_rid")).withColumn("_tid", F.lit(None).cast(dict(targets.dtypes)[target_id]))
     t = targets.select(*keys, F.col(at).alias("_t"), F.lit(None).cast(dict(records.dtypes)[record_id]).alias("_rid"), F.col(target_id).alias("_tid"))
     merged = r.unionByName(t)
-    is_target = F.col("_tid").isNotNull().cast("int")
     seen = F.when(F.col("_rid").isNotNull(), F.struct("_t", "_rid"))
-    up = longseq.with_ordinal(merged, keys, ["_t", is_target, F.col("_rid").desc(), "_tid"], F.floor(F.col("_t") / bucket), "_n")
-    up = longseq.running(up, keys, "_n", {"_before": ("last", seen)}).drop("_n")
-    down = longseq.with_ordinal(up, keys, [F.col("_t").desc(), is_target, F.col("_rid").desc(), "_tid"], -F.floor(F.col("_t") / bucket), "_n")
-    both = longseq.running(down, keys, "_n", {"_after": ("last", seen)}).where(F.col("_tid").isNotNull())
+    numbered = longseq.with_ordinal(merged, keys, ["_t", F.col("_tid").isNotNull().cast("int"), "_tid"], F.floor(F.col("_t") / bucket), "_n")
+    both = longseq.running(numbered, keys, "_n", {"_before": ("last", seen), "_after": ("next", seen)}).where(F.col("_tid").isNotNull())
     gap_before, gap_after = F.col("_t") - F.col("_before._t"), F.col("_after._t") - F.col("_t")
     earlier = F.col("_after").isNull() | (gap_before <= gap_after)
     pick = F.when(F.col("_before").isNotNull() & earlier, F.col("_before._rid")).otherwise(F.col("_after._rid"))
