@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from trackspark.session import scratch_path
+from trackspark.session import written  # noqa: F401
 
 #: Words end at ASCII white space only.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -14,22 +14,6 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LOWER_BYTES = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
-#: With it, the shuffle files of a write go when the write is over: its rows are in the shared folder then.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """The rows as a table in the shared folder: lineage ends here, and no task reads what only one executor holds."""
-    spark = df.sparkSession
-    path, before = scratch_path(spark, label), spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def lower_ascii(text: Column) -> Column:
     """A-Z to a-z; every other character stays."""
     return F.translate(text, UPPER, LOWER)
