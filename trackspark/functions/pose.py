@@ -44,18 +44,22 @@ def link_start(person: Box, lw: Point, rw: Point, torso: Point) -> Point:
 
 def pose_score(person: Box, item: Box, lw: Point, rw: Point, top: Column, person_step: Column, object_step: Column,
                cfg: Thresholds) -> Column:
-    """Weighted mean of the wrist, zone and motion cues, over the cues that exist."""
+    """Weighted mean of the wrist, zone and motion cues, over the cues that exist.
+
+    The fields of `cfg` are numbers, or Columns where several configs are rows of one table.
+    """
     h, w, c = geom.height(person), geom.width(person), geom.centroid(item)
-    reach = wrist_distance(item, lw, rw) / F.greatest(F.lit(1e-6), h * max(1e-6, cfg.pose_wrist_norm_ratio))
+    positive = lambda value: F.greatest(F.lit(1e-6), F.lit(value))
+    reach = wrist_distance(item, lw, rw) / F.greatest(F.lit(1e-6), h * positive(cfg.pose_wrist_norm_ratio))
     band_top = F.coalesce(top, person.y1 + h * cfg.carrying_zone_vertical_start) - h * cfg.pose_zone_vertical_above
     in_zone = c.y.between(band_top, person.y2 + h * cfg.pose_zone_vertical_below) & c.x.between(
         person.x1 - w * cfg.pose_zone_horizontal_margin, person.x2 + w * cfg.pose_zone_horizontal_margin)
     cues = [
-        (cfg.pose_weight_wrist, 1.0 / (1.0 + reach)),
-        (cfg.pose_weight_zone, F.when(in_zone, 1.0).otherwise(0.0)),
-        (cfg.pose_weight_motion, 1.0 / (1.0 + F.abs(person_step - object_step) / max(1e-6, cfg.pose_motion_norm_px))),
+        (F.lit(cfg.pose_weight_wrist), 1.0 / (1.0 + reach)),
+        (F.lit(cfg.pose_weight_zone), F.when(in_zone, 1.0).otherwise(0.0)),
+        (F.lit(cfg.pose_weight_motion), 1.0 / (1.0 + F.abs(person_step - object_step) / positive(cfg.pose_motion_norm_px))),
     ]
-    weight = sum((F.when(v.isNotNull(), F.lit(w_)).otherwise(0.0) for w_, v in cues), F.lit(0.0))
+    weight = sum((F.when(v.isNotNull(), w_).otherwise(0.0) for w_, v in cues), F.lit(0.0))
     total = sum((F.coalesce(v * w_, F.lit(0.0)) for w_, v in cues), F.lit(0.0))
     return F.when(weight > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), total / weight)))
 

@@ -1,8 +1,10 @@
-"""Per-video motion thresholds from the first ticks."""
+"""Motion thresholds from the first ticks of a clip or session."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackspark.config import Thresholds
@@ -10,24 +12,36 @@ from trackspark.functions import geom
 from trackspark.functions.geom import Point
 
 
-def motion_thresholds(det: DataFrame, track: str, cfg: Thresholds) -> DataFrame:
-    """Median person height and step of the first `calibration_frames` ticks -> clamped thresholds.
+def scene_statistics(persons: DataFrame, clip: Sequence[str], track: str, ordinal: Column, depth: int) -> DataFrame:
+    """Median person height `med_h` and median step `med_step` over the first `depth` tick ordinals of each clip.
 
-    It is computed once per video from the first N tick ordinals, whether or not a tick carries a
-    particular index. The filter on the ordinal comes first, so the windows and medians see a few
-    ticks per video only.
+    Persons are followed by `track`; a clip without tall enough persons has a NULL height, one where nobody is
+    seen twice a NULL step. The filter on the ordinal comes first, so windows and medians see a few ticks per clip.
     """
-    early = det.where(F.col("is_person") & (F.col("frame") < cfg.calibration_frames))
-    heights = early.where(F.col("y2") - F.col("y1") > 8).groupBy("video_id").agg(F.median(F.col("y2") - F.col("y1")).alias("med_h"))
-    w = Window.partitionBy("video_id", track).orderBy("frame", "det_id")
-    c = geom.centroid(geom.box())
-    stepped = early.select("video_id", track, "frame", "det_id", c.x.alias("cx"), c.y.alias("cy")).select(
-        "video_id", geom.distance(Point(F.col("cx"), F.col("cy")), Point(F.lag("cx").over(w), F.lag("cy").over(w))).alias("step"))
-    steps = stepped.groupBy("video_id").agg(F.median("step").alias("med_step"))
-    scale = F.greatest(F.lit(0.5), F.least(F.lit(3.0), F.col("med_h") / 160.0))
-    base = F.greatest(F.lit(2.0), F.least(F.lit(48.0), 8.0 * scale))
-    walking = F.coalesce(F.col("med_step") > 0, F.lit(False))
-    return heights.join(steps, "video_id", "left").withColumn(
-        "carry_motion_norm_px", F.when(walking, F.greatest(F.lit(2.0), F.least(base, F.col("med_step") / 3.0))).otherwise(base)).withColumn(
-        "departure_motion_ratio", F.when(walking, F.greatest(F.lit(0.30), F.least(F.lit(0.80), F.col("med_step") / F.col("med_h") * max(1.0, cfg.analysis_fps))))
-        .otherwise(F.lit(cfg.departure_motion_ratio)))
+    early = persons.where(F.col("is_person") & (ordinal < depth))
+    w = Window.partitionBy(*clip, track).orderBy("frame", "det_id")
+    c, height = geom.centroid(geom.box()), F.col("y2") - F.col("y1")
+    stepped = early.select(*clip, track, "frame", "det_id", height.alias("h"), c.x.alias("cx"), c.y.alias("cy")).withColumn(
+        "step", geom.distance(Point(F.col("cx"), F.col("cy")), Point(F.lag("cx").over(w), F.lag("cy").over(w))))
+    return stepped.groupBy(*clip).agg(F.median(F.when(F.col("h") > 8, F.col("h"))).alias("med_h"), F.median("step").alias("med_step"))
+
+
+def carry_threshold(med_h: Column, med_step: Column, default: Column) -> Column:
+    """Pixels a step must have to count as motion: scaled by height, and at most a third of the usual walking step."""
+    scale = F.greatest(F.lit(0.5), F.least(F.lit(3.0), med_h / 160.0))
+    base = F.when(med_h.isNotNull(), F.greatest(F.lit(2.0), F.least(F.lit(48.0), 8.0 * scale))).otherwise(default)
+    return F.when(F.coalesce(med_step > 0, F.lit(False)), F.greatest(F.lit(2.0), F.least(base, med_step / 3.0))).otherwise(base)
+
+
+def departure_threshold(med_h: Column, med_step: Column, fps: Column) -> Column:
+    """Departure ratio from a second of walking, clamped; NULL, which leaves the configured ratio alone, where nobody walks."""
+    walked = F.greatest(F.lit(0.30), F.least(F.lit(0.80), med_step / med_h * F.greatest(F.lit(1.0), fps)))
+    return F.when(F.coalesce(med_step > 0, F.lit(False)) & med_h.isNotNull(), walked)
+
+
+def motion_thresholds(det: DataFrame, track: str, cfg: Thresholds) -> DataFrame:
+    """Both thresholds of each video whose persons are tall enough, under one config; frames are tick ordinals."""
+    found = scene_statistics(det, ["video_id"], track, F.col("frame"), cfg.calibration_frames).where("med_h is not null")
+    h, s = F.col("med_h"), F.col("med_step")
+    return found.withColumn("carry_motion_norm_px", carry_threshold(h, s, F.lit(cfg.carry_motion_norm_px))).withColumn(
+        "departure_motion_ratio", F.coalesce(departure_threshold(h, s, F.lit(cfg.analysis_fps)), F.lit(cfg.departure_motion_ratio)))

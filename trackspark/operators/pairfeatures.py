@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from functools import reduce
+from types import SimpleNamespace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,25 +18,30 @@ from trackspark.config import Thresholds
 from trackspark.functions import geom, labels, pose
 from trackspark.functions.geom import Point
 from trackspark.operators import calibrate, features, identity
+from trackspark.session import written
 
 CLIP = ["video_id", "session"]
 MARKS = ["lw_x", "lw_y", "rw_x", "rw_y", "torso_x", "torso_y"]
+# Only the pose blend needs shoulders; boxes without these columns have none.
+SHOULDERS = ["ls_x", "ls_y", "rs_x", "rs_y"]
 
 # Knobs that shape the columns below; all others are read by the state machine.
 FEATURE_KNOBS = ["near_distance_ratio", "departure_distance_ratio", "association_radius_ratio", "stationary_distance_ratio",
                  "carry_motion_norm_px", "carry_motion_sync_ratio", "bag_move_norm", "ground_plane_margin_ratio",
-                 "aidm_wrist_attach_ratio", "carrying_zone_vertical_start", "carrying_zone_horizontal_margin", "detection_high_conf"]
+                 "aidm_wrist_attach_ratio", "carrying_zone_vertical_start", "carrying_zone_horizontal_margin", "detection_high_conf", "analysis_fps",
+                 "pose_score_blend", "pose_weight_wrist", "pose_weight_zone", "pose_weight_motion", "pose_wrist_norm_ratio", "pose_zone_horizontal_margin",
+                 "pose_zone_vertical_above", "pose_zone_vertical_below", "pose_motion_norm_px"]
 
 
 def config_rows(spark, configs: Mapping[str, Thresholds]) -> DataFrame:
     """One row per config id with the feature knobs; a handful of rows by construction."""
     rows = [(name, *(float(getattr(c, k)) for k in FEATURE_KNOBS), float(c.stationary_max_pixel_step if c.stationary_max_pixel_step is not None else 1e18),
-             bool(c.auto_calibrate), int(c.calibration_frames)) for name, c in configs.items()]
+             bool(c.auto_calibrate), int(c.calibration_frames), bool(c.pose_association_enabled)) for name, c in configs.items()]
     return spark.createDataFrame(rows, "config_id string, " + ", ".join(f"{k} double" for k in FEATURE_KNOBS)
-                                 + ", still_cap double, auto_calibrate boolean, calibration_frames int")
+                                 + ", still_cap double, auto_calibrate boolean, calibration_frames int, pose_association_enabled boolean")
 
 
-def with_motion(boxes: DataFrame, window: int) -> DataFrame:
+def with_motion(boxes: DataFrame, window: int, pose_window: int = 3) -> DataFrame:
     """Add step lengths and displacement over the window, per stable identity.
 
     Histories count observations, not ticks, so an identity that blinks keeps its motion. A group
@@ -50,7 +56,7 @@ def with_motion(boxes: DataFrame, window: int) -> DataFrame:
         return F.coalesce(*(F.lag(name, k).over(w) for k in range(reach, 0, -1)))
 
     stepped = rows.withColumn("_step", features.step(here, w)).withColumn("moved", geom.distance(here, Point(earlier("cx"), earlier("cy"))))
-    return stepped.withColumn("step", features.mean_step("_step", w, 3)).drop("_step", "cx", "cy")
+    return stepped.withColumn("step", features.mean_step("_step", w, 3)).withColumn("pose_step", features.mean_step("_step", w, pose_window)).drop("_step", "cx", "cy")
 
 
 def admitted(boxes: DataFrame, low_conf: float) -> DataFrame:
@@ -59,8 +65,8 @@ def admitted(boxes: DataFrame, low_conf: float) -> DataFrame:
     return boxes.where((F.col("confidence") >= low_conf) & ok)
 
 
-PERSON_PART = ["track_id", "uid", "x1", "y1", "x2", "y2", "step", *MARKS]
-OBJECT_PART = ["track_id", "uid", "x1", "y1", "x2", "y2", "step", "moved", "confidence", "class_name", "source", "in_zone"]
+PERSON_PART = ["track_id", "uid", "x1", "y1", "x2", "y2", "step", "pose_step", *MARKS, *SHOULDERS]
+OBJECT_PART = ["track_id", "uid", "x1", "y1", "x2", "y2", "step", "pose_step", "moved", "confidence", "class_name", "source", "in_zone"]
 
 
 def frames_of(known: DataFrame, ticks: DataFrame) -> DataFrame:
@@ -90,7 +96,7 @@ def tick_parts(frames: DataFrame) -> DataFrame:
         "resting", F.transform("os", lambda o: still(o["moved"], geom.box_of(o))))
     flat = listed.select(*others, "people", "things", "resting", F.inline(parts))
     names = {"p_track": "p.track_id", "p_uid": "p.uid", "p_step": "p.step", "o_track": "o.track_id", "o_uid": "o.uid", "o_step": "o.step", "o_moved": "o.moved",
-             "o_conf": "o.confidence", "o_class": "o.class_name", "o_source": "o.source", "in_zone": "o.in_zone", **{m: f"p.{m}" for m in MARKS},
+             "o_conf": "o.confidence", "o_class": "o.class_name", "o_source": "o.source", "in_zone": "o.in_zone", "p_pose_step": "p.pose_step", "o_pose_step": "o.pose_step", **{m: f"p.{m}" for m in (*MARKS, *SHOULDERS)},
              **{f"{side}_{s}": f"{side}.{s}" for side in "po" for s in ("x1", "y1", "x2", "y2")}}
     tick = F.col("kind") == 0
     return flat.select(*others, "kind", *(F.when(tick, F.col(c)).alias(c) for c in PRESENCE), *(F.col(path).alias(name) for name, path in names.items()))
@@ -131,6 +137,11 @@ def flagged(pairs: DataFrame) -> DataFrame:
     carried = (k("wrist_near") | held_in_zone) & (k("norm") <= k("near_distance_ratio") * 1.5) & k("together")
     proximity = F.greatest(F.lit(0.0), 1.0 - k("norm") / F.greatest(k("near_distance_ratio") * 2.0, F.lit(1e-6)))
     score = 0.55 * proximity + 0.25 * k("contained") + 0.20 * F.least(F.lit(1.0), k("o_conf") / F.greatest(k("detection_high_conf"), F.lit(1e-6)))
+    knobs = SimpleNamespace(**{name: k(name) for name in FEATURE_KNOBS})
+    top = pose.shoulder_line(geom.point("ls"), geom.point("rs"), geom.point("torso"))
+    body = pose.pose_score(pb, ob, geom.point("lw"), geom.point("rw"), top, k("p_pose_step"), k("o_pose_step"), knobs)
+    blend = F.greatest(F.lit(0.0), F.least(F.lit(1.0), k("pose_score_blend")))
+    score = F.when(k("pose_association_enabled") & (k("pose_score_blend") > 0) & body.isNotNull(), (1.0 - blend) * score + blend * body).otherwise(score)
     return out.withColumn("carried", carried).withColumn("score", score).withColumn("pcx", pc.x).withColumn("pcy", pc.y).withColumn("ocx", oc.x).withColumn("ocy", oc.y)
 
 
@@ -152,29 +163,36 @@ def tick_rows(boxes: DataFrame, ticks: DataFrame, configs: Mapping[str, Threshol
     every video (J18). A sweep repeats pairing and flags, but not identities, windows or gathering.
     """
     spark = boxes.sparkSession
-    windows = sorted({c.stationary_window_frames for c in configs.values()})
+    windows = sorted({(c.stationary_window_frames, c.pose_motion_window) for c in configs.values()})
     if len(windows) > 1:
-        parts = [tick_rows(boxes, ticks, {n: c for n, c in configs.items() if c.stationary_window_frames == w}, assignment, min_conf) for w in windows]
+        parts = [tick_rows(boxes, ticks, {n: c for n, c in configs.items() if (c.stationary_window_frames, c.pose_motion_window) == w}, assignment, min_conf) for w in windows]
         return reduce(DataFrame.unionByName, parts)
-    frames = frames_of(with_motion(identity.stable_uids(admitted(boxes, min_conf), CLIP), windows[0]), ticks)
-    per_video = None if assignment is None else assignment.groupBy("video_id").agg(F.collect_list("config_id").alias("configs"))
-    if any(c.auto_calibrate for c in configs.values()):
-        depth = Thresholds(calibration_frames=max(c.calibration_frames for c in configs.values()))
-        scene = calibrate.motion_thresholds(boxes.drop("in_zone").where("is_person"), "track_id", depth).select(
-            "video_id", F.col("carry_motion_norm_px").alias("scene_px"), F.col("departure_motion_ratio").alias("scene_departure"))
-        per_video = scene if per_video is None else per_video.join(scene, "video_id", "left")
-    if per_video is not None:
-        # One row per video: joined to ticks, not to boxes or pairs.
-        frames = frames.join(per_video, "video_id", "left" if assignment is None else "inner")
+    for mark in set(SHOULDERS) - set(boxes.columns):
+        boxes = boxes.withColumn(mark, F.lit(None).cast("double"))
+    known = with_motion(identity.stable_uids(admitted(boxes, min_conf), CLIP), *windows[0])
+    depths = sorted({c.calibration_frames for c in configs.values() if c.auto_calibrate})
+    # Calibration reads the boxes a second time; identities are not resolved twice for it.
+    known = written(known, "known") if depths else known
+    frames = frames_of(known, ticks)
     if assignment is None:
         frames = frames.withColumn("configs", F.array(*(F.lit(n) for n in configs)))
-    if "scene_px" not in frames.columns:
-        frames = frames.withColumn("scene_px", F.lit(None).cast("double")).withColumn("scene_departure", F.lit(None).cast("double"))
+    else:
+        # One row per video: joined to ticks, not to boxes or pairs.
+        frames = frames.join(assignment.groupBy("video_id").agg(F.collect_list("config_id").alias("configs")), "video_id")
     # The knobs are a handful of rows, and so is the broadcast.
     tuned = frames.withColumn("config_id", F.explode("configs")).drop("configs").join(F.broadcast(config_rows(spark, configs)), "config_id")
-    late = F.col("auto_calibrate") & (F.col("frame") >= F.col("calibration_frames") - 1)
-    tuned = tuned.withColumn("carry_motion_norm_px", F.when(late, F.coalesce("scene_px", "carry_motion_norm_px")).otherwise(F.col("carry_motion_norm_px"))).withColumn(
-        "scene_departure", F.when(late, F.coalesce("scene_departure", F.lit(-1.0))).otherwise(-1.0)).drop("scene_px", "auto_calibrate", "calibration_frames")
+    scene_departure = F.lit(-1.0)
+    if depths:
+        first = ticks.groupBy(*CLIP).agg(F.min("frame").alias("first_frame"))
+        at = F.col("frame") - F.col("first_frame")
+        early = known.join(first, CLIP)
+        scene = reduce(DataFrame.unionByName, (calibrate.scene_statistics(early, CLIP, "uid", at, d).withColumn("calibration_frames", F.lit(d)) for d in depths))
+        tuned = tuned.join(first, CLIP, "left").join(scene, [*CLIP, "calibration_frames"], "left")
+        late = F.col("auto_calibrate") & (at >= F.col("calibration_frames") - 1)
+        h, s = F.col("med_h"), F.col("med_step")
+        tuned = tuned.withColumn("carry_motion_norm_px", F.when(late, calibrate.carry_threshold(h, s, F.col("carry_motion_norm_px"))).otherwise(F.col("carry_motion_norm_px")))
+        scene_departure = F.coalesce(F.when(late, calibrate.departure_threshold(h, s, F.col("analysis_fps"))), scene_departure)
+    tuned = tuned.withColumn("scene_departure", scene_departure).drop("auto_calibrate", "calibration_frames", "first_frame", "med_h", "med_step")
     seen = flagged(with_geometry(tick_parts(tuned))).withColumn("fallback", F.col("o_source") != "yolo")
     # A tick row carries the scene's departure ratio in `norm` once it is known, -1 before.
     empty = {**{f: F.lit(0).cast("bigint") for f in ("p_track", "p_uid", "o_track", "o_uid")}, "o_class": F.lit(""),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trackspark.config import STATES
 from trackspark.functions import labels
-from trackspark.operators import detect, identity, pairfsm, tiers
+from trackspark.operators import detect, identity, pairfeatures, pairfsm, tiers
 from trackspark.plans import scenes, views
 from trackspark.plans.registry import query
 
@@ -157,6 +157,41 @@ def j18(spark, sf):
     return runs.join(hits, ["video_id", "config_id"], "left").groupBy("scene", "config_id").agg(F.count(F.lit(1)).alias("videos"), F.coalesce(F.sum("c"), F.lit(0)).alias("confirmed"))
 
 
+@query("a19_machine_calibration", oracle="""SELECT c_custkey AS video_id, s AS session, config_id, -1.0::DOUBLE AS before,
+    CASE WHEN (c_custkey + s) % 2 = 1 THEN least(0.8::DOUBLE, greatest(0.3::DOUBLE, 20.0::DOUBLE / 160.0::DOUBLE * fps)) ELSE -1.0::DOUBLE END AS after
+  FROM customer, (VALUES (0::BIGINT), (1::BIGINT)) t(s), (VALUES ('quick', 10.0::DOUBLE), ('slow', 3.0::DOUBLE), ('early', 4.0::DOUBLE)) c(config_id, fps)""")
+def a19_machine(spark, sf):
+    """Departure ratios the machine receives, per session and config: a standing and a walking session of each video.
+
+    `before` is what it is told until the calibration is over (-1: nothing), `after` from then on; who stands teaches nothing.
+    """
+    cast = views.table(spark, sf, "customer").select(F.col("c_custkey").alias("video_id"))
+    parts = []
+    for session in (0, 1):
+        here = cast.withColumn("scene", ((F.col("video_id") + session) % 2).cast("int"))
+        boxes, ticks, _ = scenes.staged(spark, here, scenes.CALIBRATION)
+        parts.append([df.withColumn("session", F.lit(session).cast("bigint")).withColumn("frame", F.col("frame") + 30 * session) for df in (boxes, ticks)])
+    boxes, ticks = (a.unionByName(b) for a, b in zip(*parts))
+    configs = {"quick": scenes.FAST, "slow": scenes.FAST.with_overrides(analysis_fps=3.0, departure_motion_ratio=0.3), "early": scenes.FAST.with_overrides(analysis_fps=4.0, calibration_frames=10)}
+    depth = F.when(F.col("config_id") == "early", 10).otherwise(scenes.FAST.calibration_frames)
+    rows = pairfeatures.tick_rows(boxes.withColumn("in_zone", F.lit(False)), ticks, configs).where("kind = 0")
+    over = F.col("frame") - 30 * F.col("session") >= depth - 1
+    return rows.groupBy("video_id", "session", "config_id").agg(F.max(F.when(~over, F.col("norm"))).alias("before"), F.max(F.when(over, F.col("norm"))).alias("after"))
+
+
+@query("j18_pose_sweep", oracle="""WITH p(track, dx, inside, wrist) AS (VALUES (1::BIGINT, 20.0::DOUBLE, 1.0::DOUBLE, sqrt(100.0::DOUBLE + 25600.0)), (2::BIGINT, 40.0::DOUBLE, 0.5::DOUBLE, 0.0::DOUBLE)),
+  s AS (SELECT track, 0.55 * greatest(0.0, 1.0 - sqrt(dx * dx + 1600.0) / 160.0 / 0.5) + 0.25 * inside + 0.20 AS plain, 0.4 / (1.0 + wrist / 80.0) + 0.3 + 0.3 AS body FROM p),
+  b(config_id, blend) AS (VALUES ('off', 0.0::DOUBLE), ('none', 0.0::DOUBLE), ('half', 0.5::DOUBLE), ('most', 0.9::DOUBLE)),
+  o AS (SELECT config_id, track, (1.0 - blend) * plain + blend * body AS score FROM s, b)
+  SELECT c_custkey AS video_id, config_id, arg_max(track, score) AS owner, round(max(score), 9) AS score FROM customer, o GROUP BY 1, 2""")
+def j18_pose(spark, sf):
+    """Owner of an object under pose blends of 0, one half and 0.9."""
+    boxes, ticks, _ = scenes.play(spark, sf, scenes.POSE)
+    configs = {n: scenes.FAST.with_overrides(pose_association_enabled=n != "off", pose_score_blend=b) for n, b in (("off", 0.9), ("none", 0.0), ("half", 0.5), ("most", 0.9))}
+    rows = pairfeatures.tick_rows(boxes.withColumn("in_zone", F.lit(False)), ticks, configs).where("kind = 3 AND frame = 5")
+    return rows.groupBy("video_id", "config_id").agg(F.max_by("p_track", "score").alias("owner"), F.round(F.max("score"), 9).alias("score"))
+
+
 @query("x03_explain_states", oracle=scene_sql(7) + """SELECT video_id, scene, CASE scene WHEN 2 THEN 'BAG_CARRIED' WHEN 3 THEN NULL WHEN 4 THEN 'PERSON_DEPARTED' WHEN 6 THEN 'BAG_ON_GROUND' ELSE 'VIOLATION_CONFIRMED' END AS furthest FROM scn""")
 def x03(spark, sf):
     """Per-tick explain rows, reduced to the furthest state each video reached."""

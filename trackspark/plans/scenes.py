@@ -132,6 +132,13 @@ IDENTITY = [
     ("fast", [[item(10000 + i, 300, 300 + i)] for i in range(8)]), ("fast", [[item(10001, 300, 300)]] * 3 + [[item(10002, 300, 300, cls="bottle")]] * 3)]
 
 
+# Longer than a calibration: standing with an object, and walking 20 pixels a tick.
+CALIBRATION = [("fast", [[person(1, 140), item(10001, 140, 220)]] * 30), ("fast", [[person(1, 100 + 20 * i), item(10001, 100 + 20 * i, 220)] for i in range(30)])]
+
+# Two persons at one object: the nearer one has the hands up, the other one's hands are on it.
+POSE = [("fast", [[person(1, 180, wrists=((190, 60), (170, 60))), person(2, 240, wrists=((200, 220), (200, 220))), item(10001, 200, 220)]] * 6)]
+
+
 def play(spark: SparkSession, sf: str, family: Sequence[tuple[str, list[list[tuple]]]]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(boxes, ticks, scenes) with scene = customer key modulo the family size."""
     cast = views.table(spark, sf, "customer").select(F.col("c_custkey").alias("video_id"), (F.col("c_custkey") % len(family)).cast("int").alias("scene"))
