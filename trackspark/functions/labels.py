@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Id offsets per kind and per proposal source.
@@ -88,13 +88,17 @@ def mapping_rows(source: str = "auto") -> list[tuple[int, bool, str, int]]:
     return [(i, exact, raw, cid) for i, (_, exact, raw, cid) in enumerate(rows)]
 
 
-def canonical_id(class_name: Column, source: str = "auto") -> Column:
-    """Canonical class id of a dataset's class name, -1 when nothing matches."""
-    name = F.lower(F.trim(class_name))
-    out = F.lit(-1)
-    for _, exact, raw, cid in reversed(mapping_rows(source)):
-        out = F.when((name == raw) if exact else F.contains(name, F.lit(raw)), F.lit(cid)).otherwise(out)
-    return out
+def canonical_ids(names: DataFrame, column: str, source: str = "auto") -> DataFrame:
+    """`names` with `class_id`: the canonical class of a dataset's class name, -1 when nothing matches.
+
+    The distinct names meet the ordered map (a table of fixed size) once: exact entries by equality, the others by
+    containment; the first entry in order decides.
+    """
+    distinct = names.select(column).distinct().withColumn("_name", F.lower(F.trim(F.col(column))))
+    rows = [F.struct(F.lit(i).alias("at"), F.lit(exact).alias("exact"), F.lit(raw).alias("raw"), F.lit(cid).alias("cid")) for i, exact, raw, cid in mapping_rows(source)]
+    found = F.filter(F.array(*rows), lambda m: F.when(m["exact"], F.col("_name") == m["raw"]).otherwise(F.contains(F.col("_name"), m["raw"])))
+    known = distinct.select(F.col(column).alias("_key"), F.coalesce(F.get(found, F.lit(0))["cid"], F.lit(-1)).alias("class_id"))
+    return names.join(known, names[column].eqNullSafe(known["_key"]), "left").drop("_key")
 
 
 def canonical_name(class_id: Column) -> Column:

@@ -10,7 +10,8 @@ from trackspark.functions import geom, pose, scoring
 from trackspark.functions.geom import Box
 
 # Zones are configuration drawn by hand; beyond this many rows the join is left to Catalyst.
-ZONE_BROADCAST_ROWS = 100_000
+# Zones are looked up by the cell of a grid of this many columns and rows.
+ZONE_GRID = 16
 
 
 def handheld(person: Box, item: Box) -> Column:
@@ -72,40 +73,47 @@ def one_object_per_person(primary: DataFrame) -> DataFrame:
     return primary.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
+def _cell(value: Column) -> Column:
+    """Grid cell of a normalised coordinate; all that lies outside the picture shares the outer cells."""
+    return F.greatest(F.lit(-1), F.least(F.lit(ZONE_GRID), F.floor(value * ZONE_GRID))).cast("int")
+
+
+def zone_cells(zones: DataFrame) -> DataFrame:
+    """Zones with their edges and y range, one row per grid cell that the bounding box touches (gx, gy)."""
+    xs, ys = (F.transform("polygon", lambda corner: corner[axis]) for axis in ("x", "y"))
+    across, down = (F.sequence(_cell(F.array_min(v)), _cell(F.array_max(v))) for v in (xs, ys))
+    rows = zones.select("*", geom.polygon_edges(F.col("polygon")).alias("edges"), F.array_min(ys).alias("y_low"), F.array_max(ys).alias("y_high"), across.alias("_across"), down.alias("_down")).drop("polygon")
+    return rows.withColumn("gx", F.explode("_across")).withColumn("gy", F.explode("_down")).drop("_across", "_down")
+
+
 def in_zones(det: DataFrame, zones: DataFrame, frame_w: float, frame_h: float) -> DataFrame:
     """Zones of the box's own camera plus those for every camera (camera_id NULL).
 
-    A box looks up two scopes, its camera and "*", so the join stays an equi-join. The zone side is
-    broadcast only once its row count is known to be small; otherwise Catalyst shuffles both sides.
-    No edge is crossed outside a polygon's own y range, so that range is tested first.
+    A box looks up two scopes, its camera and "*", in the grid cell of its centre, so the join is an equi-join
+    on scope and cell whatever the number of zones. No edge is crossed outside a polygon's own y range, so that range
+    is tested first.
     """
-    scoped = zones.withColumn("scope", F.coalesce(F.col("camera_id").cast("string"), F.lit("*"))).drop("camera_id")
-    ys = F.transform("polygon", lambda corner: corner["y"])
-    scoped = scoped.select("*", geom.polygon_edges(F.col("polygon")).alias("edges"), F.array_min(ys).alias("y_low"),
-                           F.array_max(ys).alias("y_high")).drop("polygon")
-    if zones.limit(ZONE_BROADCAST_ROWS + 1).count() <= ZONE_BROADCAST_ROWS:
-        scoped = F.broadcast(scoped)
-    asked = det.withColumn("scope", F.explode(F.array(F.col("camera_id").cast("string"), F.lit("*"))))
+    scoped = zone_cells(zones.withColumn("scope", F.coalesce(F.col("camera_id").cast("string"), F.lit("*"))).drop("camera_id"))
     c = geom.centroid(geom.box())
     level = c.y / frame_h
-    hits = asked.join(scoped, "scope").where(level.between(F.col("y_low"), F.col("y_high")))
-    return hits.where(geom.in_edges(F.col("edges"), c.x / frame_w, level)).drop("scope", "edges", "y_low", "y_high")
+    asked = det.withColumn("gx", _cell(c.x / frame_w)).withColumn("gy", _cell(level)).withColumn("scope", F.explode(F.array(F.col("camera_id").cast("string"), F.lit("*"))))
+    hits = asked.join(scoped, ["scope", "gx", "gy"]).where(level.between(F.col("y_low"), F.col("y_high")))
+    return hits.where(geom.in_edges(F.col("edges"), c.x / frame_w, level)).drop("scope", "edges", "y_low", "y_high", "gx", "gy")
 
 
 def flag_zones(det: DataFrame, zones: DataFrame, frame_w: float, frame_h: float) -> DataFrame:
     """J7 as a flag: `in_zone` per box, without multiplying or regrouping the boxes.
 
-    The zones of a camera become one array row, so the join on the camera is one to one; the zones
-    for every camera are one more such row. Persons are never tested.
+    The zones of a camera and grid cell become one array row, those for every camera one per cell, so both joins are
+    one to one. Persons are never tested.
     """
-    edges = zones.withColumn("_edges", geom.polygon_edges(F.col("polygon")))
-    own = edges.where("camera_id is not null").groupBy("camera_id").agg(F.collect_list("_edges").alias("_own"))
-    shared = edges.where("camera_id is null").groupBy(F.lit(1).alias("_k")).agg(F.collect_list("_edges").alias("_all"))
-    if zones.limit(ZONE_BROADCAST_ROWS + 1).count() <= ZONE_BROADCAST_ROWS:
-        own, shared = F.broadcast(own), F.broadcast(shared)
+    cells = zone_cells(zones)
+    own = cells.where("camera_id is not null").groupBy("camera_id", "gx", "gy").agg(F.collect_list("edges").alias("_own"))
+    shared = cells.where("camera_id is null").groupBy("gx", "gy").agg(F.collect_list("edges").alias("_all"))
     c = geom.centroid(geom.box())
-    joined = det.join(own, "camera_id", "left").withColumn("_k", F.lit(1)).join(shared, "_k", "left")
+    placed = det.withColumn("gx", _cell(c.x / frame_w)).withColumn("gy", _cell(c.y / frame_h))
+    joined = placed.join(own, ["camera_id", "gx", "gy"], "left").join(shared, ["gx", "gy"], "left")
     zone_list = F.concat(F.coalesce("_own", F.array()), F.coalesce("_all", F.array()))
     inside = F.exists(zone_list, lambda e: geom.in_edges(e, c.x / frame_w, c.y / frame_h))
     wanted = F.when(F.col("is_person") | (F.size(zone_list) == 0), F.lit(False)).otherwise(inside)
-    return joined.withColumn("in_zone", F.coalesce(wanted, F.lit(False))).drop("_own", "_all", "_k")
+    return joined.withColumn("in_zone", F.coalesce(wanted, F.lit(False))).drop("_own", "_all", "gx", "gy")

@@ -100,18 +100,19 @@ def identity_audit(det: DataFrame, uid: Column, raw: str) -> tuple[DataFrame, Da
 def vanished_near_person(tracks: DataFrame, within: int = 60, bucket: int = 64) -> DataFrame:
     """Objects that end while an overlapping person stays at most `within` frames longer.
 
-    The end frames are bucketed, so the interval condition becomes an equi-join with a residual;
-    the first such person per object is an aggregate.
+    Persons are first reduced to one row per video and last frame, the earliest starter of that frame, and
+    objects to their distinct end frames; end frames are bucketed, so the interval condition is an equi-join with a
+    residual. An end frame meets at most `within` rows, however many tracks there are.
     """
     objects, persons = tracks.where(~F.col("is_person")), tracks.where("is_person")
-    ends = F.sequence(F.floor(F.col("last_frame") / bucket), F.floor((F.col("last_frame") + within) / bucket))
-    o = objects.select("video_id", F.col("track_id").alias("object_id"), F.col("first_frame").alias("o_first"), F.col("last_frame").alias("o_last"), F.explode(ends).alias("b"))
-    p = persons.select("video_id", F.col("track_id").alias("person_id"), F.col("first_frame").alias("p_first"), F.col("last_frame").alias("p_last"),
-                       F.floor(F.col("last_frame") / bucket).alias("b"))
-    hit = o.join(p, ["video_id", "b"]).where(
-        (F.col("p_first") <= F.col("o_last")) & (F.col("p_last") >= F.col("o_first")) & (F.col("o_last") < F.col("p_last"))
-        & (F.col("p_last") - F.col("o_last") <= within))
-    return hit.groupBy("video_id", "object_id").agg(F.min_by("person_id", F.struct("p_first", "person_id")).alias("person_id"))
+    starter = F.struct(F.col("first_frame").alias("p_first"), F.col("track_id").alias("person_id"))
+    p = persons.groupBy("video_id", F.col("last_frame").alias("p_last")).agg(F.min(starter).alias("p")).withColumn("b", F.floor(F.col("p_last") / bucket))
+    ends = F.sequence(F.floor(F.col("o_last") / bucket), F.floor((F.col("o_last") + within) / bucket))
+    o = objects.select("video_id", F.col("last_frame").alias("o_last")).distinct().withColumn("b", F.explode(ends))
+    hit = o.join(p, ["video_id", "b"]).where((F.col("p.p_first") <= F.col("o_last")) & (F.col("p_last") > F.col("o_last")) & (F.col("p_last") - F.col("o_last") <= within))
+    first = hit.groupBy("video_id", "o_last").agg(F.min("p").alias("p"))
+    ended = objects.select("video_id", F.col("track_id").alias("object_id"), F.col("last_frame").alias("o_last"))
+    return ended.join(first, ["video_id", "o_last"]).select("video_id", "object_id", F.col("p.person_id").alias("person_id"))
 
 
 def appeared_after_person(tracks: DataFrame, within: int = 30, bucket: int = 32) -> DataFrame:
@@ -165,10 +166,10 @@ def races(cands: DataFrame) -> DataFrame:
 def fingerprint(rows: DataFrame, run: str, decision: Column) -> DataFrame:
     """Order-independent SHA-256 per run.
 
-    Each decision is hashed, hashes are combined within 4096 prefix groups and the group hashes
-    once more, so no task collects a whole run.
+    Each decision is hashed; the eight words of the hashes are added up, which is a map-side combined sum
+    whatever the number of rows, and the count and the sums are hashed once more.
     """
-    hashed = rows.select(run, F.sha2(decision, 256).alias("h")).withColumn("p", F.substring("h", 1, 3))
-    groups = hashed.groupBy(run, "p").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("g"), F.count(F.lit(1)).alias("n"))
-    return groups.groupBy(run).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "g"))), lambda x: x["g"]), ""), 256).alias("sha"),
-                                   F.sum("n").alias("n_decisions"))
+    hashed = rows.select(run, F.sha2(decision, 256).alias("h"))
+    words = [F.conv(F.substring("h", 1 + 8 * i, 8), 16, 10).cast("bigint") for i in range(8)]
+    sums = hashed.groupBy(run).agg(F.count(F.lit(1)).alias("n_decisions"), *(F.sum(w).alias(f"w{i}") for i, w in enumerate(words)))
+    return sums.select(run, F.sha2(F.concat_ws(":", *(F.col(c).cast("string") for c in ("n_decisions", *(f"w{i}" for i in range(8))))), 256).alias("sha"), "n_decisions")

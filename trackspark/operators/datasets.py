@@ -50,14 +50,17 @@ def replay_mix(samples: DataFrame, new_ratio: float, seed: int, max_samples: int
     """U4: a mix of new and replayed samples at a ratio and cap, distinct images, then split 80/20.
 
     `samples`: image, pool ("new" or "replay"). The cap is the feature; Spark trims each pool to it
-    before the shuffle.
+    before the shuffle. The new quota rounds halves to even. Without any replay sample the new pool fills the
+    whole target. An image of both pools counts as new.
     """
-    available = samples.agg(F.count(F.lit(1)).alias("n")).select(F.least(F.lit(max_samples), F.greatest(F.lit(1), F.col("n"))).alias("target"))
-    quota = available.select("target", F.round(F.col("target") * new_ratio).cast("bigint").alias("n_new")).withColumn("_k", F.lit(0))
+    sizes = samples.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("pool") == "replay").alias("old"))
+    target = F.least(F.lit(max_samples), F.greatest(F.lit(1), F.col("n")))
+    share = F.when(F.col("old") == 0, target).otherwise(F.bround(target * new_ratio).cast("bigint"))
+    quota = F.broadcast(sizes.select(F.explode(F.array(F.struct(F.lit("new").alias("pool"), share.alias("quota")), F.struct(F.lit("replay").alias("pool"), (target - share).alias("quota")))).alias("q")).select("q.*"))
     w = Window.partitionBy("pool").orderBy(shuffled_key(F.col("image"), seed), "image")
-    ranked = samples.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= max_samples).withColumn("_k", F.lit(0))
-    picked = ranked.join(quota, "_k").where(F.col("_r") <= F.when(F.col("pool") == "new", F.col("n_new")).otherwise(F.col("target") - F.col("n_new")))
-    return seeded_split(picked.select("image", "pool").dropDuplicates(["image"]), "image", seed)
+    ranked = samples.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= max_samples)
+    picked = ranked.join(quota, "pool").where(F.col("_r") <= F.col("quota"))
+    return seeded_split(picked.groupBy("image").agg(F.min("pool").alias("pool")), "image", seed)
 
 
 def usable_boxes(boxes: DataFrame, low: float = 0.01, high: float = 0.70) -> DataFrame:

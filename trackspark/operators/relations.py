@@ -153,9 +153,9 @@ def clusters(events: DataFrame, key: str, object_window: float = 30.0, actor_win
 
 
 def page(rows: DataFrame, order: Column, limit: int, offset: int) -> DataFrame:
-    """L1: one page plus the total. The total is one aggregated row joined on a constant."""
-    total = rows.agg(F.count(F.lit(1)).alias("total")).withColumn("_k", F.lit(1))
-    return rows.orderBy(order).offset(offset).limit(limit).withColumn("_k", F.lit(1)).join(total, "_k").drop("_k")
+    """L1: one page, in order, plus the total as a scalar subquery, so that nothing is joined after the sort."""
+    total = rows.agg(F.count(F.lit(1)).alias("total")).scalar()
+    return rows.withColumn("total", total).orderBy(order).offset(offset).limit(limit)
 
 
 def complete_events(events: DataFrame, listing: DataFrame, required: str, optional: Mapping[str, str] | None = None) -> DataFrame:

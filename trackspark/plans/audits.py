@@ -226,8 +226,8 @@ def a23(spark, sf):
 
 
 @query("a26_run_fingerprint", oracle=views.ON_EVT + """, h AS (SELECT id % 3 AS run, sha256(concat_ws('|', actor_uid, object_uid, status, object_type)) AS h FROM evt),
-  g AS (SELECT run, substr(h, 1, 3) AS p, sha256(string_agg(h, '' ORDER BY h)) AS g, count(*) AS n FROM h GROUP BY 1, 2)
-SELECT run, sha256(string_agg(g, '' ORDER BY p)) AS sha, CAST(sum(n) AS BIGINT) AS n_decisions FROM g GROUP BY run""")
+  w AS (SELECT run, count(*) AS n, """ + ", ".join(f"sum(('0x' || substr(h, {1 + 8 * i}, 8))::BIGINT)::BIGINT AS w{i}" for i in range(8)) + """ FROM h GROUP BY run)
+SELECT run, sha256(concat_ws(':', n, w0, w1, w2, w3, w4, w5, w6, w7)) AS sha, n AS n_decisions FROM w""")
 def a26(spark, sf):
     e = views.evt(spark, sf).withColumn("run", F.col("id") % 3)
     return audit.fingerprint(e, "run", F.concat_ws("|", "actor_uid", "object_uid", "status", "object_type"))

@@ -237,22 +237,38 @@ SELECT j.job_id, coalesce(n, 0) AS events_count, coalesce(with_snapshot, 0) AS w
 def snk09(spark, sf):
     e = views.evt(spark, sf).where((F.col("status") == "confirmed") & (F.col("analysis_job_id") % 3 != 0)).select(F.col("analysis_job_id").alias("job_id"), F.col("id").alias("event_id"), "confidence")
     art = evidence(spark, sf).groupBy("event_id").agg(F.max("image_path").alias("snapshot"), F.max("video_path").alias("clip"))
-    m = sinks.job_manifest(jobs(spark, sf).select("job_id"), e, art)
-    shown = F.size(F.filter(F.coalesce("events", F.array()), lambda x: x["snapshot"].isNotNull())).cast("bigint")
-    return m.select("job_id", "events_count", shown.alias("with_snapshot"), "final_result")
+    """The events of a job are written as lines below the job's folder, read again, and counted against the head."""
+    head, lines = sinks.job_manifest(jobs(spark, sf).select("job_id"), e, art)
+    path = scratch_path(spark, "snk09")
+    sinks.write_manifest(lines, path)
+    back = spark.read.schema("event_id bigint, confidence double, snapshot string, clip string, job_id bigint").json(path)
+    shown = back.groupBy("job_id").agg(F.count("snapshot").alias("with_snapshot"))
+    return head.join(shown, "job_id", "left").na.fill(0, ["with_snapshot"]).select("job_id", "events_count", "with_snapshot", "final_result")
 
 
 SPLIT_SQL = "CASE WHEN row_number() OVER (ORDER BY md5(concat_ws('#', {item}, '{seed}')), {item}) <= greatest(1, floor(count(*) OVER () * 0.8)) THEN 'train' ELSE 'val' END"
 
 
-@query("u04_replay_mix", oracle=f"""WITH s AS (SELECT o_orderkey AS image, CASE WHEN o_orderkey % 3 = 0 THEN 'new' ELSE 'replay' END AS pool FROM orders), q AS (SELECT least(400, greatest(1, count(*))) AS target FROM s),
+def mix_sql(pool: str, ratio: float) -> str:
+    return f"""WITH s AS (SELECT o_orderkey AS image, {pool} AS pool FROM orders), q AS (SELECT least(400, greatest(1, count(*))) AS target, count(*) FILTER (pool = 'replay') AS old FROM s),
+  n AS (SELECT target, CASE WHEN old = 0 THEN target ELSE round_even(target * {ratio}, 0) END AS n_new FROM q),
   r AS (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY md5(concat_ws('#', image, '7')), image) AS rn FROM s),
-  p AS (SELECT image, pool FROM r, q WHERE rn <= CASE WHEN pool = 'new' THEN round(target * 0.5) ELSE target - round(target * 0.5) END)
-SELECT image, pool, {SPLIT_SQL.format(item='image', seed=7)} AS split FROM p""")
+  p AS (SELECT image, min(pool) AS pool FROM r, n WHERE rn <= CASE WHEN pool = 'new' THEN n_new ELSE target - n_new END GROUP BY image)
+SELECT image, pool, {SPLIT_SQL.format(item='image', seed=7)} AS split FROM p"""
+
+
+@query("u04_replay_mix", oracle=mix_sql("CASE WHEN o_orderkey % 3 = 0 THEN 'new' ELSE 'replay' END", 0.50125))
 def u04(spark, sf):
+    """The quota of new samples is 200.5 of 400, which rounds to even."""
     o = views.table(spark, sf, "orders")
     samples = o.select(F.col("o_orderkey").alias("image"), F.when(F.col("o_orderkey") % 3 == 0, "new").otherwise("replay").alias("pool"))
-    return datasets.replay_mix(samples, 0.5, 7, 400)
+    return datasets.replay_mix(samples, 0.50125, 7, 400)
+
+
+@query("u04_mix_without_replay", oracle=mix_sql("'new'", 0.5))
+def u04_new(spark, sf):
+    """No replay pool yet: the new one fills the target."""
+    return datasets.replay_mix(views.table(spark, sf, "orders").select(F.col("o_orderkey").alias("image"), F.lit("new").alias("pool")), 0.5, 7, 400)
 
 
 @query("u08_seeded_split", oracle=f"SELECT doc_id, {SPLIT_SQL.format(item='doc_id', seed=42)} AS split FROM documents")

@@ -209,7 +209,7 @@ def p19(spark, sf):
     """The lookup runs once per distinct class name, not once per box."""
     parts = part_names(spark, sf)
     names = parts.select(F.explode(F.array("name", "word")).alias("class_name")).distinct()
-    out = names.withColumn("class_id", labels.canonical_id(F.col("class_name")))
+    out = labels.canonical_ids(names, "class_name")
     return out.withColumn("canonical", labels.canonical_name(F.col("class_id")))
 
 

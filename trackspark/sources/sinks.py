@@ -58,15 +58,6 @@ def write_audit(table: DataFrame, path: str) -> None:
     table.write.mode("overwrite").option("header", "true").csv(f"{path}/csv")
 
 
-def markdown(summary: DataFrame, limit: int = 1000) -> str:
-    """SNK6: a small summary as a Markdown table; larger tables stay in JSON and CSV."""
-    rows = summary.limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError("summary too large for Markdown")
-    head = "| " + " | ".join(summary.columns) + " |\n|" + " --- |" * len(summary.columns)
-    return "\n".join([head, *("| " + " | ".join(str(v) for v in r) + " |" for r in rows)])
-
-
 def label_files(images: DataFrame, labels: DataFrame, keys: list[str]) -> DataFrame:
     """SNK7: the text of one label file per image; images without labels get an empty file."""
     def fixed(c: str) -> Column:
@@ -83,9 +74,13 @@ def pinned_snapshot(learned: DataFrame, promoted_at: Column) -> DataFrame:
     return learned.withColumn("pin_schema", F.lit(1)).withColumn("promoted_at", promoted_at)
 
 
-def job_manifest(jobs: DataFrame, events: DataFrame, artifacts: DataFrame) -> DataFrame:
-    """SNK9: per job its events with their artifacts, joined by event id, counts and the final result."""
-    packed = events.join(artifacts, "event_id", "left").groupBy("job_id").agg(
-        F.array_sort(F.collect_list(F.struct("event_id", "confidence", "snapshot", "clip"))).alias("events"), F.count(F.lit(1)).alias("events_count"))
-    out = jobs.join(packed, "job_id", "left").na.fill(0, ["events_count"])
-    return out.withColumn("final_result", F.when(F.col("events_count") > 0, "LITTERING_EVENT_CANDIDATE").otherwise("NO_EVENT"))
+def job_manifest(jobs: DataFrame, events: DataFrame, artifacts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """SNK9: per job the count and final result, and per event a line with its artifacts, joined by event id."""
+    lines = events.join(artifacts, "event_id", "left").select("job_id", "event_id", "confidence", "snapshot", "clip")
+    out = jobs.join(events.groupBy("job_id").agg(F.count(F.lit(1)).alias("events_count")), "job_id", "left").na.fill(0, ["events_count"])
+    return out.withColumn("final_result", F.when(F.col("events_count") > 0, "LITTERING_EVENT_CANDIDATE").otherwise("NO_EVENT")), lines
+
+
+def write_manifest(lines: DataFrame, path: str) -> None:
+    """SNK9: the events as JSON lines below their job's folder; a job of any size is as many files as it needs."""
+    lines.write.mode("overwrite").partitionBy("job_id").json(path)
