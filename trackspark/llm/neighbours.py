@@ -91,7 +91,9 @@ class Search:
 
     def _leaf(self, rows: np.ndarray, who: np.ndarray) -> None:
         rough = self.queries[who] @ self.vectors[rows].T
-        worth = (rough >= self.scores[who, -1][:, None] - EPS) & (self.query_ids[who][:, None] != self.ids[rows][None])
+        # Neither below the k-th found here nor beyond the reach known from elsewhere.
+        least = np.maximum(self.scores[who, -1], (self.square[who] - self.reach[who] ** 2) / 2)
+        worth = (rough >= least[:, None] - EPS) & (self.query_ids[who][:, None] != self.ids[rows][None])
         some = worth.any(axis=1)
         who, worth = who[some], worth[some]
         if not len(who):
@@ -197,7 +199,7 @@ class VantageIndex:
         return queries.mapInPandas(route, "query_id long, embedding array<double>, reach double, region int")
 
     def _searched(self, routed: DataFrame, k: int, factor: float) -> DataFrame:
-        """query_id, vec_id, score of the k best of every shard that a query visits.
+        """query_id, vec_id, score of the k best of every shard that a query visits, of those within its reach.
 
         Shards and, where many queries visit a region, blocks of queries make groups of bounded size.
         """
