@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trackspark.config import STATES
-from trackspark.functions import labels
-from trackspark.operators import detect, identity, pairfeatures, pairfsm, tiers
+from trackspark.functions import geom, labels
+from trackspark.operators import detect, identity, incidents, pairfeatures, pairfsm, tiers
 from trackspark.plans import scenes, views
 from trackspark.plans.registry import query
 
@@ -192,6 +192,44 @@ def j18_pose(spark, sf):
     return rows.groupBy("video_id", "config_id").agg(F.max_by("p_track", "score").alias("owner"), F.round(F.max("score"), 9).alias("score"))
 
 
+@query("t06_detections_pipeline", oracle=views.ON_DET + """, f AS (SELECT DISTINCT video_id, frame FROM det), g AS (SELECT *, frame - lag(frame) OVER (PARTITION BY video_id ORDER BY frame) AS gap FROM f)
+SELECT video_id, count(*) AS ticks, 1 + count(*) FILTER (gap >= 2) AS sessions, true AS has_boxes, 0::BIGINT AS repeated_uids, 0::BIGINT AS disordered, 0::BIGINT AS crossing, 0::BIGINT AS crowded, 0::BIGINT AS lost
+FROM g GROUP BY video_id""")
+def t06_detections(spark, sf):
+    """Detections to incidents over all rows of the detection view, held against what must never happen.
+
+    An object uid twice in a tick, milestones out of order, an event beyond its session, two accepted events of one actor within the
+    duplicate window, and an accepted event whose incident is missing.
+    """
+    det = det_tracks(spark, sf).drop("session")
+    everything = views.det(spark, sf).withColumn("track_id", labels.namespaced(F.col("track_no"), F.col("is_person"))).drop("track_no")
+    marks = [c for c in det.columns if c not in everything.columns]
+    det = det.unionByName(everything.where(~F.col("is_person")).select("*", *(F.lit(None).cast(dict(det.dtypes)[m]).alias(m) for m in marks)))
+    ticks = everything.select("video_id", "frame").distinct().withColumn("ts", F.col("frame") * 10.0)
+    zones = views.table(spark, sf, "supplier").select((F.col("s_suppkey") % 16).alias("camera_id"), geom.polygon_from_box(geom.Box(*(F.lit(v) for v in scenes.ZONE))).alias("polygon"))
+    boxes, judged, found = incidents.incidents(det, ticks, zones, tiers.ladder(scenes.FAST), views.FRAME_W, views.FRAME_H, quiet=20.0, longest=1e9)
+    clip = ["video_id", "session"]
+    timed = incidents.session_ticks(ticks, 20.0, 1e9)
+    ends = timed.groupBy(*clip).agg(F.max("tick").alias("last_tick"), F.count(F.lit(1)).alias("n"))
+    per = ends.groupBy("video_id").agg(F.sum("n").alias("ticks"), F.count(F.lit(1)).alias("sessions"))
+    known = identity.stable_uids(boxes, clip)
+    # A returning raw person id may meet the id that took its uid over; an object's uid is taken once a tick.
+    twice = known.where(~F.col("is_person")).groupBy(*clip, "frame", "uid").agg(F.count(F.lit(1)).alias("n")).groupBy("video_id").agg(F.count_if(F.col("n") > 1).alias("repeated_uids"), F.lit(True).alias("has_boxes"))
+    at = [F.col(f"{m}_frame") for m in pairfsm.MOMENTS]
+    disordered = F.exists(F.array(*(F.coalesce(a > b, F.lit(False)) for i, a in enumerate(at) for b in at[i + 1:])), lambda x: x)
+    wrong = judged.join(ends, clip).groupBy("video_id").agg(
+        F.count_if(disordered).alias("disordered"), F.count_if(F.coalesce(F.greatest(*at) > F.col("last_tick"), F.lit(False))).alias("crossing"))
+    kept = judged.where("outcome = 'accepted'").withColumn("t", tiers.event_time())
+    w = Window.partitionBy(*clip, "person_uid").orderBy("t")
+    close = kept.where("t is not null").withColumn("gap", F.col("t") - F.lag("t").over(w)).groupBy("video_id").agg(F.count_if(F.col("gap") <= tiers.DUPLICATE_SEC).alias("crowded"))
+    clips = kept.where("t is not null").select("video_id", F.concat_ws("/", *clip).alias("clip")).distinct()
+    lost = clips.join(found.select("clip").distinct(), "clip", "left_anti").groupBy("video_id").agg(F.count(F.lit(1)).alias("lost"))
+    out = per
+    for part in (twice, wrong, close, lost):
+        out = out.join(part, "video_id", "left")
+    return out.na.fill(0).na.fill(False)
+
+
 @query("x03_explain_states", oracle=scene_sql(7) + """SELECT video_id, scene, CASE scene WHEN 2 THEN 'BAG_CARRIED' WHEN 3 THEN NULL WHEN 4 THEN 'PERSON_DEPARTED' WHEN 6 THEN 'BAG_ON_GROUND' ELSE 'VIOLATION_CONFIRMED' END AS furthest FROM scn""")
 def x03(spark, sf):
     """Per-tick explain rows, reduced to the furthest state each video reached."""
