@@ -1,6 +1,6 @@
 """Headline queries on one machine; prints one JSON line.
 
-BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8), BENCH_RUNS (default 1).
+BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8), BENCH_RUNS (default 3).
 Each query runs once cold, then BENCH_RUNS times; the median of the warm runs counts.
 """
 
@@ -23,7 +23,7 @@ HEADLINE = [
 
 def main() -> None:
     sf_dir, cpus = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1"), os.environ.get("BENCH_CPUS", "8")
-    runs = max(1, int(os.environ.get("BENCH_RUNS", "1")))
+    runs = max(1, int(os.environ.get("BENCH_RUNS", "3")))
     spark = local_session(cpus, int(cpus))
     plans.load()
 
