@@ -18,7 +18,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from trackspark.config import Thresholds
 from trackspark.operators.identity import _People, _Things
-from trackspark.operators.pairfeatures import FIELDS, PRESENCE
+from trackspark.operators.pairfeatures import FIELDS, MARKS, PRESENCE
 from trackspark.operators.pairfsm import EVENT_SCHEMA, Machine
 from trackspark.session import scratch_path
 
@@ -80,9 +80,9 @@ def throttle(ticks: DataFrame, interval: float) -> DataFrame:
 def uid_stream(boxes: DataFrame) -> DataFrame:
     """T1/T2 on a stream: stable uids per video; a frame must not be split over micro-batches.
 
-    `boxes`: video_id, frame, det_id, is_person, track_id, cx, cy, h, area, family.
+    `boxes`: video_id, frame, det_id, is_person, track_id, cx, cy, h, area, family, and the landmark columns of the
+    batch operator (NULL or NaN where missing), which decide between persons as they do there.
     """
-    nan = float("nan")
 
     def step(key, batches, state):
         people, things = _People(), _Things()
@@ -95,7 +95,7 @@ def uid_stream(boxes: DataFrame) -> DataFrame:
         out = []
         for frame, rows in ordered(batches, ["frame", "det_id"]).groupby("frame", sort=True):
             p, t = rows[rows["is_person"]], rows[~rows["is_person"]]
-            shapes = [(r.track_id, (r.cx, r.cy, r.h, *(nan,) * 6)) for r in p.itertuples()]
+            shapes = [(track, tuple(shape)) for track, *shape in p[["track_id", "cx", "cy", "h", *MARKS]].astype({m: float for m in MARKS}).itertuples(index=False, name=None)]
             out += list(zip(p["det_id"], [frame] * len(p), people.tick(frame, shapes)))
             out += list(zip(t["det_id"], [frame] * len(t), things.tick([(r.cx, r.cy, r.area, r.family) for r in t.itertuples()])))
         state.update((json.dumps({
@@ -147,17 +147,14 @@ def latest_per_camera(ticks: DataFrame) -> DataFrame:
     return ticks.groupBy("video_id").agg(F.max_by("value", at).alias("value"), F.max_by("status", F.when(F.col("status").isNotNull(), at)).alias("status"), F.max("ts").alias("ts"))
 
 
-def recent(ticks: DataFrame, seconds: int) -> DataFrame:
-    """T15 on a stream: counts and extent of each camera's ticks in sliding windows of the last seconds."""
-    w = F.window("ts", f"{seconds} seconds", f"{max(1, seconds // 4)} seconds")
-    return ticks.withWatermark("ts", f"{seconds} seconds").groupBy("video_id", w).agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("newest"))
-
-
 def upsert(path: str, keys: list[str], version: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch writer: every batch appends its newest row per key; readers take the last version."""
+    """foreachBatch writer: every batch's newest row per key is the partition of its epoch; readers take the last version.
+
+    A replayed epoch overwrites its own partition, so it counts once.
+    """
 
     def write(batch: DataFrame, epoch: int) -> None:
         newest = batch.groupBy(*keys).agg(F.max_by(F.struct(*batch.columns), version).alias("m")).select("m.*")
-        newest.withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(path)
+        newest.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
     return write
