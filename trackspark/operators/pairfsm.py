@@ -11,6 +11,7 @@ import math
 import pickle
 from collections import deque
 from collections.abc import Mapping
+from dataclasses import dataclass, field, fields
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,37 +36,96 @@ EXPLAIN_SCHEMA = ("video_id bigint, session bigint, config_id string, frame bigi
 
 
 class Seen:
-    """One pair observation of a tick, unpacked from a fold row."""
+    """One pair observation of a tick, unpacked from a fold row in the order of FIELDS."""
 
     __slots__ = (*FIELDS, "ambiguous", "closer_other")
 
-    def __init__(self, values: tuple) -> None:
-        for name, value in zip(FIELDS, values):
-            setattr(self, name, value)
+    def __init__(self, values: list) -> None:
+        (self.p_track, self.p_uid, self.o_track, self.o_uid, self.o_class, self.distance, self.norm, self.contained, self.score, self.ph, self.pcx, self.pcy,
+         self.ocx, self.ocy, self.o_conf, wrist_d, self.near, self.carried, self.still, self.walking, self.together, self.wrist_near, self.wrist_seen,
+         self.below_feet, self.on_ground, self.in_zone, self.fallback) = values
+        self.wrist_d = None if wrist_d < 0 else wrist_d
         self.ambiguous = self.closer_other = False
-        if self.wrist_d < 0:
-            self.wrist_d = None
 
 
+@dataclass(slots=True)
 class Pair:
     """What is remembered about one person and one object."""
 
-    def __init__(self, seen: Seen, object_uid: int, n: int) -> None:
-        self.person, self.object, self.cls, self.state = seen.p_uid, object_uid, seen.o_class, "NO_BAG"
-        self.p_track, self.o_track, self.frozen = seen.p_track, seen.o_track, None
-        self.frame, self.ts, self.at = 0, 0.0, {}
-        for counter in ("missing", "person_ticks", "object_ticks", "carried", "still", "departed", "abandoned", "fallback", "fallback_gap", "closer", "ambiguous",
-                        "ground", "live_ground", "zone", "apart", "still_miss", "feet_run", "desync_run", "held_run", "settle", "lift", "gap"):
-            setattr(self, counter, 0)
-        for latch in ("emitted", "reclaimed", "invalid", "live_ok", "reconfirmed", "wrist_ever", "attached", "pose_ever", "separated", "contained_ever",
-                      "together_ever", "off_ground_ever", "walked_ever", "walkaway", "synthetic"):
-            setattr(self, latch, False)
-        self.conf_sum, self.conf_n, self.far, self.since_grip, self.carry_far, self.threshold = 0.0, 0, 0.0, 0.0, 0.0, 0.0
-        self.away, self.base, self.displacement = 0.0, 0.0, 0.0
-        self.first_at = (seen.ocx, seen.ocy)
-        self.last_at, self.last_height, self.release_pose, self.ground_y = None, 0.0, None, None
-        self.votes = {k: deque(maxlen=n) for k in ("near", "carried", "still", "departed", "regrab")}
-        self.distances, self.scores = deque(maxlen=n), deque(maxlen=n)
+    person: int
+    object: int
+    cls: str
+    p_track: int
+    o_track: int
+    first_at: tuple
+    # The last n votes and samples; n is the smoothing window.
+    votes: dict
+    distances: deque
+    scores: deque
+    state: str = "NO_BAG"
+    frozen: tuple | None = None
+    frame: int = 0
+    ts: float = 0.0
+    at: dict = field(default_factory=dict)
+    # Counters of ticks.
+    missing: int = 0
+    person_ticks: int = 0
+    object_ticks: int = 0
+    carried: int = 0
+    still: int = 0
+    departed: int = 0
+    abandoned: int = 0
+    fallback: int = 0
+    fallback_gap: int = 0
+    closer: int = 0
+    ambiguous: int = 0
+    ground: int = 0
+    live_ground: int = 0
+    zone: int = 0
+    apart: int = 0
+    still_miss: int = 0
+    feet_run: int = 0
+    desync_run: int = 0
+    held_run: int = 0
+    settle: int = 0
+    lift: int = 0
+    gap: int = 0
+    # Latches.
+    emitted: bool = False
+    reclaimed: bool = False
+    invalid: bool = False
+    live_ok: bool = False
+    reconfirmed: bool = False
+    wrist_ever: bool = False
+    attached: bool = False
+    pose_ever: bool = False
+    separated: bool = False
+    contained_ever: bool = False
+    together_ever: bool = False
+    off_ground_ever: bool = False
+    walked_ever: bool = False
+    walkaway: bool = False
+    synthetic: bool = False
+    # Sums and extremes.
+    conf_sum: float = 0.0
+    conf_n: int = 0
+    far: float = 0.0
+    since_grip: float = 0.0
+    carry_far: float = 0.0
+    threshold: float = 0.0
+    away: float = 0.0
+    base: float = 0.0
+    displacement: float = 0.0
+    # Where things were last, and at the release.
+    last_at: tuple | None = None
+    last_height: float = 0.0
+    release_pose: tuple | None = None
+    ground_y: float | None = None
+
+    @classmethod
+    def begin(cls, seen: Seen, object_uid: int, n: int) -> "Pair":
+        votes = {k: deque(maxlen=n) for k in ("near", "carried", "still", "departed", "regrab")}
+        return cls(seen.p_uid, object_uid, seen.o_class, seen.p_track, seen.o_track, (seen.ocx, seen.ocy), votes, deque(maxlen=n), deque(maxlen=n))
 
     def mark(self, moment: str, keep: bool = False) -> None:
         if not (keep and moment in self.at):
@@ -99,13 +159,11 @@ class Machine:
 
     def saved(self) -> bytes:
         """Plain data of the machine, for a streaming state store."""
-        return pickle.dumps((self.frame, self.ts, self.dep_motion, self.spare_uid, [(k, p.__dict__) for k, p in self.pairs.items()]))
+        return pickle.dumps((self.frame, self.ts, self.dep_motion, self.spare_uid, [(k, {f.name: getattr(p, f.name) for f in fields(p)}) for k, p in self.pairs.items()]))
 
     def restored(self, data: bytes) -> "Machine":
         self.frame, self.ts, self.dep_motion, self.spare_uid, pairs = pickle.loads(data)
-        for key, values in pairs:
-            self.pairs[key] = Pair.__new__(Pair)
-            self.pairs[key].__dict__.update(values)
+        self.pairs.update((key, Pair(**values)) for key, values in pairs)
         return self
 
     # -- one tick -------------------------------------------------------------------------------
@@ -186,7 +244,7 @@ class Machine:
             clutter = s.o_conf < self.cfg.min_carry_origin_confidence and not (s.carried or s.near) and (s.below_feet or s.on_ground)
             if clutter:
                 return key, None
-            p = self.pairs[key] = Pair(s, key[1], self.cfg.smoothing_window)
+            p = self.pairs[key] = Pair.begin(s, key[1], self.cfg.smoothing_window)
         return key, p
 
     def plausible(self, p: Pair, s: Seen) -> bool:
