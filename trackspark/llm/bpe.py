@@ -17,10 +17,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-#: Words kept per Python worker; the whole memory is cleared beyond it.
-REMEMBERED = 400_000
+from .common import short_batches
+
+#: Words and fragments kept per Python worker; the whole memory is cleared beyond it.
+REMEMBERED, REMEMBERED_FRAGMENTS = 100_000, 30_000
 #: Texts are handled in slices of so many characters, so a batch of long texts stays small.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 2_000_000
 
 
 def byte_symbols() -> list[str]:
@@ -91,7 +93,7 @@ class WordBpe:
                     if bare is not part:
                         symbols[-1] += self.end
                     known = self.merged(symbols)
-                    if len(self.by_fragment) >= REMEMBERED:
+                    if len(self.by_fragment) >= REMEMBERED_FRAGMENTS:
                         self.by_fragment.clear()
                     self.by_fragment[part] = known
                 ids.extend(known)
@@ -157,6 +159,7 @@ def encode_notes(verdicts: DataFrame, path: str) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists, pa.array(decoded, pa.string())], names=["event_id", "ids", "decoded"])
 
+    short_batches(verdicts.sparkSession)
     rows = verdicts.selectExpr("event_id", "CAST(notes AS STRING) AS notes")
     kind = rows.schema["event_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"event_id {kind}, ids array<int>, decoded string")

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash60
+from .common import hash60, short_batches
 
 #: n-grams are hashed to so many bits of a feature.
 FEATURE_BITS = 16
@@ -169,6 +169,7 @@ def train(verdicts: DataFrame, sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
     by the hash of the row, as many of each language as there are, up to an even share. A fifth of the sample, not fitted
     on, sets the temperature. No labelled row gives a model without languages, which predicts `und`.
     """
+    short_batches(verdicts.sparkSession)
     rows = verdicts.select("event_id", F.col("notes").cast("string").alias("notes"), F.col("lang").cast("string").alias("lang")).filter("lang IS NOT NULL AND notes IS NOT NULL")
     counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     sizes = {r["lang"]: r["n"] for r in counts.collect()}

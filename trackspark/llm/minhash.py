@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, written
+from .common import LOWER_BYTES, short_batches, written
 from .components import connected_components
 
 #: Words of a shingle.
@@ -28,7 +28,7 @@ AGREE = 40
 #: Rows, and shingles, of a block when members of one bucket are compared.
 BLOCK, BLOCK_SHINGLES = 1024, 1_000_000
 #: Remembered word hashes of a Python worker.
-REMEMBERED = 500_000
+REMEMBERED = 100_000
 
 _U = np.uint64
 
@@ -278,6 +278,7 @@ def near_duplicates(verdicts: DataFrame, percent: int = PERCENT) -> DataFrame:
     """
     if percent < PERCENT:
         raise ValueError(f"bands and signatures are laid out for {PERCENT} percent or more")
+    short_batches(verdicts.sparkSession)
     rows = written(signatures(verdicts), "signatures")
     nodes = rows.filter("n_shingles > 0").groupBy("node").agg(F.min("event_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     nodes = written(nodes, "nodes")

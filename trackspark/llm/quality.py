@@ -14,16 +14,16 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash60, pieces, written
+from .common import hash60, pieces, short_batches, written
 
 #: Characters of an n-gram; four packed code points are a long.
 ORDER = 4
 BITS = 16
 BEGIN, STOP = 0xFFFF, 0xFFFE
 #: Characters of a block of notes that is scored with one slice of the model.
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 8_000_000
 #: Characters handled at once.
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 1_000_000
 #: Ids of trusted notes up to this number are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 #: Quantiles of trusted perplexity that bound what is kept, and by how many parts of a hundred the bounds give way.
@@ -204,6 +204,7 @@ def rated_notes(verdicts: DataFrame, trusted: DataFrame, quantiles=QUANTILES, ma
     repeated text below. Kept are the notes within the bounds. Null and empty notes have a null perplexity and are not kept. Without
     trusted notes there are no bounds, and all that have a perplexity are kept. Repeated rows are rated alike.
     """
+    short_batches(verdicts.sparkSession)
     ids = trusted.select("event_id").filter("event_id IS NOT NULL").distinct()
     counted = ids.filter(~_held_out(F.col("event_id")))
     if counted.count() <= BROADCAST_IDS:
