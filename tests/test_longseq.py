@@ -2,10 +2,14 @@
 
 import random
 
+import pytest
+from helpers import SF
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from trackspark import plans
 from trackspark.operators import folds, longseq, quantiles
+from trackspark.plans import registry
 
 rng = random.Random(7)
 # One key holds most rows, as a hot camera would.
@@ -62,3 +66,18 @@ def test_order_statistics(spark):
         n = len(xs)
         assert (got[k].n, got[k].up, got[k].q9) == (n, xs[n // 2], xs[int(n * 0.9)])
         assert mid[k].p50 == (xs[(n - 1) // 2] + xs[n // 2]) / 2
+
+
+@pytest.mark.parametrize("name", ["t14_sessions", "j11_closest_record", "w04_longest_runs", "w05_ever_and_running_max", "w08_release_threshold"])
+def test_chained_stages_read_few_tables(spark, name):
+    plans.load()
+    plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") <= 3
+
+
+def test_next_is_last_of_the_reversed_sequence(spark):
+    rows = [(k, n, n * 10 if (n * 7 + k) % 5 == 0 else None) for k in (1, 2) for n in range(1, 40)]
+    df = spark.createDataFrame(rows, "k int, n bigint, v bigint")
+    got = {(r["k"], r["n"]): r["after"] for r in longseq.running(df, ["k"], "n", {"after": ("next", F.col("v"))}, size=4).collect()}
+    for k, n, _ in rows:
+        assert got[k, n] == next((v for kk, nn, v in rows if kk == k and nn >= n and v is not None), None)

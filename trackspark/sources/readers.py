@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackspark.config import KNOBS
+from trackspark.config import KNOBS, Thresholds, unknown_knobs
 
 POINT = "array<double>"
 PERSON = (f"track_id bigint, class_name string, bbox array<double>, confidence double, keypoints map<string,{POINT}>, head_visible boolean, head_bbox array<double>, "
@@ -94,6 +95,70 @@ def evaluation_reports(raw: DataFrame, doc: str = "doc") -> DataFrame:
     return raw.select("report_id", metric("f1", "f1_score").alias("f1"), metric("fpr", "false_positive_rate").alias("fpr"), metric("precision").alias("precision"), metric("recall").alias("recall"))
 
 
+def documents(spark: SparkSession, path: str, glob: str | None = None, whole: bool = True) -> DataFrame:
+    """(file, doc): one row per file below a folder, or per line of its files. A folder that is not there has none."""
+    reader = spark.read.option("recursiveFileLookup", "true")
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    try:
+        return reader.text(path, wholetext=whole).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("doc"))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "file string, doc string")
+
+
+def report_files(spark: SparkSession, path: str, whole: bool = True) -> DataFrame:
+    """SRC6 from files: the report id is a field of the document, else the file."""
+    docs = documents(spark, path, whole=whole)
+    named = docs.withColumn("report_id", F.coalesce(F.get_json_object("doc", "$.report_id"), F.element_at(F.split("file", "/"), -1)))
+    return evaluation_reports(named)
+
+
+def verdict_tree(spark: SparkSession, path: str) -> DataFrame:
+    """SRC7 from files: every `verdict.json` below a folder with what lies beside it."""
+    folder = lambda c: F.regexp_replace(c, "/[^/]*$", "")
+    verdicts = spark.read.schema(VERDICT_SCHEMA).option("multiLine", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "verdict.json").json(path)
+    verdicts = verdicts.where("event_id is not null").withColumn("folder", folder(F.col("_metadata.file_path")))
+    # Names only: the files' content is pruned from the scan.
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
+    return verdict_samples(verdicts, files.select(folder(F.col("path")).alias("folder"), F.element_at(F.split("path", "/"), -1).alias("name")))
+
+
+def label_folder(spark: SparkSession, path: str) -> DataFrame:
+    """SRC8 from files: the lines of all label files below a folder, with the image they are named after."""
+    lines = documents(spark, path, "*.txt", whole=False)
+    return label_lines(lines.withColumn("image", F.regexp_extract("file", r"([^/]*)\.txt$", 1)), "doc").drop("doc", "file")
+
+
+def thresholds(spark: SparkSession, path: str) -> tuple[Thresholds, list[str]]:
+    """SRC11 from a file: the thresholds of a run and the keys that name none; a missing file gives the defaults.
+
+    The file is one run's settings, a line for each, so its lines are values of the driver like the thresholds.
+    """
+    found = {r["key"]: r["value"] for r in threshold_lines(documents(spark, path, whole=False), "doc").collect()}
+
+    def typed(key: str, text: str | None):
+        plain = (text or "").strip("\"'")
+        if plain.lower() in ("", "null", "none", "~"):
+            return None
+        if plain.lower() in ("true", "false"):
+            return plain.lower() == "true"
+        number = float(plain)
+        return int(number) if isinstance(KNOBS[key], int) and number.is_integer() else number
+
+    known = {k: typed(k, v) for k, v in found.items() if k in KNOBS}
+    return Thresholds().with_overrides(**known), unknown_knobs(found)
+
+
+def learning_files(spark: SparkSession, path: str) -> DataFrame:
+    """SRC12 from files: one state per store file; no file gives one empty state."""
+    docs = documents(spark, path).select(F.element_at(F.split("file", "/"), -1).alias("store"), "doc")
+    if docs.isEmpty():
+        docs = spark.createDataFrame([(None, None)], "store string, doc string")
+    return learning_snapshot(docs)
+
+
 def verdict_samples(verdicts: DataFrame, listing: DataFrame) -> DataFrame:
     """SRC7: verdicts with their training image (named, else by preference) and labels; incomplete ones drop out.
 

@@ -69,6 +69,12 @@ def label_files(images: DataFrame, labels: DataFrame, keys: list[str]) -> DataFr
     return images.join(text, keys, "left").withColumn("text", F.coalesce("text", F.lit("")))
 
 
+def write_label_files(images: DataFrame, labels: DataFrame, split: str, image: str, path: str) -> None:
+    """SNK7: one text file per split and image, below `split=.../image=...`; an image without labels has an empty file."""
+    files = label_files(images, labels, [split, image])
+    files.repartition(split, image).write.mode("overwrite").partitionBy(split, image).option("lineSep", "\n").text(path)
+
+
 def pinned_snapshot(learned: DataFrame, promoted_at: Column) -> DataFrame:
     """SNK8: the pin is a snapshot of the learned knobs with the time of promotion."""
     return learned.withColumn("pin_schema", F.lit(1)).withColumn("promoted_at", promoted_at)
