@@ -173,6 +173,20 @@ def test_few_vectors_and_recall(spark):
     assert np.mean([len(got[q] & set(best[q])) / 20 for q in got]) >= 0.9
 
 
+@pytest.mark.parametrize("long_one", [1.0, 10.0])
+def test_unequal_norms_lose_nothing_by_default(spark, long_one):
+    rng = np.random.default_rng(5)
+    rows = rng.normal(size=(1500, 16)) * rng.lognormal(0, 0.7, size=(1500, 1))
+    rows[7] *= long_one * np.linalg.norm(rows, axis=1).max() / np.linalg.norm(rows[7])
+    vectors = [(i, x.tolist()) for i, x in enumerate(rows)]
+    table = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.nearest_neighbours(table, table.filter("vec_id % 20 = 0")).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    best = _best(vectors, 20)
+    assert got == {i: best[i] for i in range(0, 1500, 20)}
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(1, 60)] + [(1000, i) for i in range(1001, 1080)] + [(5, 5), (70, 71), (71, 70)]
     found = {r["node"]: r["label"] for r in components.connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
