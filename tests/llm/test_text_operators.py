@@ -1,5 +1,6 @@
 """BPE, near-duplicates, the quality model and language identification against plain versions."""
 
+import hashlib
 import math
 import random
 from collections import Counter, defaultdict
@@ -176,6 +177,35 @@ def test_quality_keeps_prose_and_rejects_junk(spark):
     assert not any(kept[i] for i in range(600, 604))
 
 
+def test_quality_bounds_hold_against_odd_rows_small_languages_and_repetition(spark):
+    rng = random.Random(8)
+    noise = lambda: "".join(rng.choice("#$%&@!;?0123456789QXZJWVK") for _ in range(150))
+    held = lambda i: int(hashlib.md5(str(i).encode()).hexdigest()[:15], 16) % 4 == 0
+    names = ["".join(rng.choice("aeioubcdfglmnprst") for _ in range(rng.randint(3, 7))) for _ in range(400)]
+    odd = next(i for i in range(800, 900) if held(i))
+    rows = [(i, t, "xa") for i, t in enumerate(_prose(9, 800))] + [(odd, noise(), "xa")] + [(1000 + i, t, "xb") for i, t in enumerate(_prose(10, 80, names))]
+    trusted = [i for i, *_ in rows]
+    assert 10 <= sum(held(i) for i in trusted[801:]) < 100 <= sum(held(i) for i in trusted[:801])
+    rows += [(2000 + i, noise(), "xa") for i in range(10)] + [(2100 + i, noise(), "xb") for i in range(10)]
+    rows += [(3000 + i, f"{w} " * 200, "xa") for i, w in enumerate(WORDS)]
+    rows += [(4000 + i, t, "xa") for i, t in enumerate(_prose(11, 100))] + [(5000 + i, t, "xb") for i, t in enumerate(_prose(12, 100, names)) if len(t) > 60]
+    table = spark.createDataFrame(rows, "event_id long, notes string, lang string")
+    kept = {r["event_id"]: r["kept"] for r in quality.rated_notes(table, spark.createDataFrame([(i,) for i in trusted], "event_id long")).collect()}
+    assert not any(v for i, v in kept.items() if 2000 <= i < 4000)
+    assert sum(v for i, v in kept.items() if i < 800) >= 784 and sum(v for i, v in kept.items() if 4000 <= i < 5000) >= 97
+    late = [v for i, v in kept.items() if i >= 5000]
+    assert sum(late) >= 0.9 * len(late)
+
+
+def test_variety_is_that_of_the_most_monotonous_window():
+    rng = random.Random(13)
+    text = "".join(chr(rng.randint(200, 9000)) for _ in range(2000))
+    of = lambda t: quality.variety(quality.packed_grams(t))
+    assert of("x") == of(text) == 1.0
+    assert of("ab " * 300) < 0.02
+    assert of(text + "ab " * 200) < 0.02 and of("ab " * 400 + text) < 0.02
+
+
 def test_languages_are_learned_and_held_out(spark):
     rng = random.Random(6)
     kinds = {"xa": "der die das und ist nicht auch".split(), "xb": "the of and that with from this".split(), "xc": "les des une dans pour avec vous".split()}

@@ -26,11 +26,14 @@ BLOCK_CHARS = 8_000_000
 SLICE_CHARS = 1_000_000
 #: Ids of trusted notes up to this number are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
-#: Quantiles of trusted perplexity that bound what is kept, and by how many parts of a hundred the bounds give way.
-QUANTILES = (0.001, 0.999)
+#: Quantiles of trusted perplexity (and the lower one of variety) that bound what is kept, and the part by which bounds give way.
+#: Farther out, a quantile of a few hundred notes is their extreme, which one odd note sets.
+QUANTILES = (0.01, 0.99)
 MARGIN = 0.1
-#: Held-out notes from which on a language has quantiles of its own.
-LEAST_HELD = 100
+#: Held-out notes from which on a language has quantiles of its own, and from which on it has a median.
+LEAST_HELD, LEAST_MEDIAN = 100, 10
+#: N-grams of a window whose distinct ones are counted.
+WINDOW = 512
 
 
 def codes(text: str) -> np.ndarray:
@@ -48,6 +51,17 @@ def packed_grams(text: str) -> np.ndarray:
     return out.view(np.int64)
 
 
+def variety(grams: np.ndarray) -> float:
+    """The part of n-grams that are distinct, in the window of WINDOW of them (the last one ends the text) where it is least."""
+    size = min(WINDOW, len(grams))
+    whole = len(grams) // size * size
+    windows = grams[:whole].reshape(-1, size)
+    if whole < len(grams):
+        windows = np.concatenate([windows, grams[None, -size:]])
+    windows = np.sort(windows, axis=1)
+    return float((1 + (windows[:, 1:] != windows[:, :-1]).sum(axis=1)).min() / size)
+
+
 def _slices(texts) -> Iterator[list[str]]:
     held, size = [], 0
     for text in texts:
@@ -134,7 +148,7 @@ class KneserNey:
 
 
 def perplexities(verdicts: DataFrame, model: KneserNey) -> DataFrame:
-    """event_id, lang, n_chars, perplexity (per character; null where notes are null or empty) of every row.
+    """event_id, lang, n_chars, perplexity (per character) and variety (both null where notes are null or empty) of every row.
 
     Rows are dealt into blocks of bounded size by the hash of their id. Each block asks for the n-grams it holds, once;
     these, without repeats, meet the count tables by shuffle joins; and each block gets its slice of the answers. So
@@ -167,16 +181,20 @@ def perplexities(verdicts: DataFrame, model: KneserNey) -> DataFrame:
     def score(pdf: pd.DataFrame, slice_: pd.DataFrame) -> pd.DataFrame:
         order = slice_["gram"].to_numpy().argsort()
         gram, bits = slice_["gram"].to_numpy()[order], slice_["bits"].to_numpy(np.float64)[order]
-        press, sizes, found = zstandard.ZstdDecompressor(), [], []
+        press, sizes, found, varied = zstandard.ZstdDecompressor(), [], [], []
         for packed in pdf["notes"]:
             text = "" if packed is None else press.decompress(packed).decode()
             sizes.append(len(text))
-            found.append(2.0 ** bits[np.searchsorted(gram, packed_grams(text))].mean() if text else None)
-        return pd.DataFrame({"event_id": pdf["event_id"], "lang": pdf["lang"], "n_chars": sizes, "perplexity": pd.Series(found, index=pdf.index, dtype=float)})
+            own = packed_grams(text)
+            found.append(2.0 ** bits[np.searchsorted(gram, own)].mean() if text else None)
+            varied.append(variety(own) if text else None)
+        numbers = {"perplexity": pd.Series(found, index=pdf.index, dtype=float), "variety": pd.Series(varied, index=pdf.index, dtype=float)}
+        return pd.DataFrame({"event_id": pdf["event_id"], "lang": pdf["lang"], "n_chars": sizes, **numbers})
 
     slices = asked.join(answers, "gram")
-    out = dealt.groupBy("block").cogroup(slices.groupBy("block")).applyInPandas(score, "event_id string, lang string, n_chars long, perplexity double")
-    return out.withColumn("event_id", F.col("event_id").cast(verdicts.schema["event_id"].dataType)).withColumn("perplexity", F.nanvl("perplexity", F.lit(None).cast("double")))
+    out = dealt.groupBy("block").cogroup(slices.groupBy("block")).applyInPandas(score, "event_id string, lang string, n_chars long, perplexity double, variety double")
+    out = out.withColumn("event_id", F.col("event_id").cast(verdicts.schema["event_id"].dataType))
+    return out.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in ("perplexity", "variety")})
 
 
 def _held_out(event_id: Column) -> Column:
@@ -185,23 +203,32 @@ def _held_out(event_id: Column) -> Column:
 
 
 def thresholds(scored: DataFrame, quantiles=QUANTILES, margin: float = MARGIN) -> DataFrame:
-    """lang, lowest, highest from the scores of held-out trusted notes; the row with a null lang is that of all languages."""
-    bounds = F.percentile_approx("perplexity", list(quantiles), 10000)
-    rows = scored.filter("perplexity IS NOT NULL")
-    each = rows.filter("lang IS NOT NULL").groupBy("lang").agg(bounds.alias("q"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST_HELD)
-    every = rows.agg(bounds.alias("q"), F.count(F.lit(1)).alias("n")).select(F.lit(None).cast("string").alias("lang"), "q", "n")
-    return each.select("lang", "q", "n").unionByName(every).select("lang", (F.col("q")[0] * (1 - margin)).alias("lowest"), (F.col("q")[1] * (1 + margin)).alias("highest"))
+    """lang, lowest, highest, least_variety from held-out trusted notes; the row with a null lang is for languages without one.
+
+    A language with LEAST_HELD notes has quantiles of its own. One with fewer, down to LEAST_MEDIAN, has its own median times
+    the quantiles, over all notes of such languages and larger ones, of a note's value divided by its language's median.
+    """
+    at = lambda c: F.percentile_approx(c, [quantiles[0], 0.5, quantiles[1]], 10000)
+    rows = scored.filter("perplexity IS NOT NULL").select("lang", "perplexity", "variety")
+    own = rows.filter("lang IS NOT NULL").groupBy("lang").agg(at("perplexity").alias("p"), at("variety").alias("v"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST_MEDIAN)
+    every = rows.agg(at("perplexity").alias("p"), at("variety").alias("v")).select(F.lit(None).cast("string").alias("lang"), "p", "v")
+    medians = own.select("lang", F.col("p")[1].alias("_p"), F.col("v")[1].alias("_v"))
+    parts = rows.join(F.broadcast(medians), "lang").agg(at(F.col("perplexity") / F.col("_p")).alias("part_p"), at(F.col("variety") / F.col("_v")).alias("part_v"))
+    scaled = lambda c: F.transform(f"part_{c}", lambda x: x * F.col(c)[1])
+    each = own.crossJoin(F.broadcast(parts)).select("lang", *[F.when(F.col("n") >= LEAST_HELD, F.col(c)).otherwise(scaled(c)).alias(c) for c in "pv"])
+    low = lambda c: F.col(c)[0] * (1 - margin)
+    return each.unionByName(every).select("lang", low("p").alias("lowest"), (F.col("p")[2] * (1 + margin)).alias("highest"), low("v").alias("least_variety"))
 
 
 def rated_notes(verdicts: DataFrame, trusted: DataFrame, quantiles=QUANTILES, margin: float = MARGIN) -> DataFrame:
     """Perplexity of every verdict's notes under a model of the trusted ones, and whether they are kept.
 
     Input: verdicts with event_id (any type), notes and lang (text); trusted with the event_id of each verdict whose notes are to
-    be trusted. Result, one row per verdict: event_id, lang, n_chars, perplexity, lowest, highest, kept.
+    be trusted. Result, one row per verdict: event_id, lang, n_chars, perplexity, variety, lowest, highest, least_variety, kept.
 
-    Three quarters of the trusted notes train a character model, the rest gives each language (with LEAST_HELD rows or
-    more; else all languages together) the quantiles that bound it. Both bounds matter: garbled text is above, endlessly
-    repeated text below. Kept are the notes within the bounds. Null and empty notes have a null perplexity and are not kept. Without
+    Three quarters of the trusted notes train a character model, the rest gives each language its bounds (see `thresholds`).
+    Garbled text is above the upper one. Repeated text may have any perplexity, by what it repeats: its variety, the part
+    of distinct n-grams in the most monotonous window, is below that of trusted notes. Kept are the notes within all bounds. Null and empty notes have a null perplexity and are not kept. Without
     trusted notes there are no bounds, and all that have a perplexity are kept. Repeated rows are rated alike.
     """
     short_batches(verdicts.sparkSession)
@@ -212,11 +239,12 @@ def rated_notes(verdicts: DataFrame, trusted: DataFrame, quantiles=QUANTILES, ma
     model = KneserNey(verdicts.select("event_id", F.col("notes").cast("string").alias("notes")).join(counted, "event_id", "left_semi"))
     scored = written(perplexities(verdicts, model), "perplexities")
     bounds = thresholds(scored.join(ids.filter(_held_out(F.col("event_id"))), "event_id", "left_semi"), quantiles, margin)
-    own = {r["lang"]: (r["lowest"], r["highest"]) for r in bounds.collect()}
-    lowest, highest = own.pop(None)
-    low, high = F.lit(lowest).cast("double"), F.lit(highest).cast("double")
-    for lang, (a, b) in sorted(own.items()):
-        low, high = F.when(F.col("lang") == lang, a).otherwise(low), F.when(F.col("lang") == lang, b).otherwise(high)
-    rows = scored.withColumn("lowest", low).withColumn("highest", high)
+    names = ["lowest", "highest", "least_variety"]
+    own = {r["lang"]: [r[x] for x in names] for r in bounds.collect()}
+    chosen = [F.lit(x).cast("double") for x in own.pop(None)]
+    for lang, values in sorted(own.items()):
+        chosen = [F.when(F.col("lang") == lang, x).otherwise(c) for x, c in zip(values, chosen)]
+    rows = scored.withColumns(dict(zip(names, chosen)))
     within = F.col("perplexity").between(F.coalesce("lowest", F.lit(0.0)), F.coalesce("highest", F.lit(float("inf"))))
+    within = within & (F.col("variety") >= F.coalesce("least_variety", F.lit(0.0)))
     return rows.withColumn("kept", F.coalesce(within, F.lit(False)))
