@@ -7,6 +7,7 @@ import json
 import numpy as np
 import pytest
 from llm_helpers import ODD_TEXTS
+from pyspark.sql import functions as F
 
 from trackspark.llm import chat, components, licenses, mixing, neighbours, warc
 
@@ -173,6 +174,24 @@ def test_few_vectors_and_recall(spark):
     assert np.mean([len(got[q] & set(best[q])) / 20 for q in got]) >= 0.9
 
 
+def test_targets_of_many_sources_are_cut_into_ranges(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RANGE_SOURCES", 20)
+    rng = np.random.default_rng(14)
+    sizes = {f"s{i:03}": int(rng.integers(1, 3000)) for i in range(150)} | {None: 77}
+    weights = [mixing.integral(k) for k in mixing.SCHEDULES]
+    weight = {s: weights[i % 3] for i, s in enumerate(sorted(sizes, key=lambda s: (s is None, s)))}
+    free, budget, target = set(sizes), 1.5 * sum(sizes.values()), {}
+    while over := [s for s in free if budget * weight[s] / sum(weight[x] for x in free) > 2 * sizes[s]]:
+        for s in over:
+            target[s] = 2 * sizes[s]
+        free, budget = free - set(over), budget - sum(target[s] for s in over)
+    target |= {s: budget * weight[s] / sum(weight[x] for x in free) for s in free}
+    rows = spark.createDataFrame(list(sizes.items()), "source string, size long")
+    found = mixing.source_targets(rows)
+    assert {r["source"]: r["target"] for r in found.collect()} == pytest.approx(target)
+    assert found.select("source", F.spark_partition_id().alias("p")).select("p").distinct().count() > 1
+
+
 @pytest.mark.parametrize("long_one", [1.0, 10.0])
 def test_unequal_norms_lose_nothing_by_default(spark, long_one):
     rng = np.random.default_rng(5)

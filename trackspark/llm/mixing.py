@@ -13,13 +13,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import hash60, written
+from trackspark.operators.longseq import with_ordinal
+
+from .common import hash60, pieces, written
 
 #: Weights at equally spaced times, linear in between, for the 1st, 2nd, 3rd, 4th (as the 1st) ... source by
 #: code point. Their integrals are 5, 2 and 1: the first kind fades out, the third fades in.
 SCHEDULES = ((7.0, 5.0, 3.0), (2.0, 2.0, 2.0), (0.5, 1.0, 1.5))
 #: Bits of the sample hash that name a bucket: a source's order is cut into 4,096 buckets.
 BUCKET_BITS = 12
+#: Sources of a range, which one task orders.
+RANGE_SOURCES = 10_000
 
 
 def integral(knots: Sequence[float]) -> float:
@@ -35,20 +39,30 @@ def source_targets(sizes: DataFrame, schedules=SCHEDULES, budget: float = 1.5, m
 
     `budget` times the size of all samples is shared by weight; no target exceeds `most` times its source's
     size, and what is cut off is shared again by weight. With sources ordered by cap per weight, the final
-    level is the largest level of "all before me are capped, the rest share what is left". The windows have
-    one row per source, never one per sample.
+    level is the largest level of "all before me are capped, the rest share what is left". Sources are ordered in
+    ranges of about RANGE_SOURCES; windows over all of them have one row per range.
     """
     weights = [integral(k) for k in schedules]
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    rows = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    rows = rows.withColumn("kind", (F.row_number().over(by_name) - 1) % len(weights)).withColumn("weight", _by_kind(F.col("kind"), weights))
+    by_name = F.col("source").asc_nulls_last()
+    rows = written(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
+    number, total = rows.agg(F.count(F.lit(1)), F.sum("source_size")).first()
+    ranges = pieces(number, RANGE_SOURCES)
+    # Written, since a range partitioning draws its borders anew each time it runs.
+    cut = lambda df, name, *order: written(df.repartitionByRange(ranges, *order).withColumn("range", F.spark_partition_id()), name)
+    rows = with_ordinal(cut(rows, "sources-by-name", by_name), [], [by_name], F.col("range")).drop("range")
+    rows = rows.withColumn("kind", ((F.col("ordinal") - 1) % len(weights)).cast("int")).withColumn("weight", _by_kind(F.col("kind"), weights)).drop("ordinal")
     rows = rows.withColumn("cap", F.lit(most) * F.col("source_size")).withColumn("ratio", F.col("cap") / F.col("weight"))
-    ordered = Window.orderBy("ratio", F.col("source").asc_nulls_last())
-    capped = F.coalesce(F.sum("cap").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    left = F.sum("weight").over(ordered.rowsBetween(0, Window.unboundedFollowing))
-    total = F.sum("source_size").over(Window.partitionBy())
-    rows = rows.withColumn("step", (F.lit(budget) * total - capped) / left).withColumn("level", F.max("step").over(Window.partitionBy()))
-    return rows.select("source", "kind", "weight", "source_size", F.least("cap", F.col("weight") * F.col("level")).alias("target"))
+    rows = cut(rows, "sources-by-ratio", F.col("ratio"), by_name)
+    sums = rows.groupBy("range").agg(F.sum("cap").alias("caps"), F.sum("weight").alias("weights"))
+    over = Window.orderBy("range")
+    sums = sums.select("range", F.sum("caps").over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("caps"), F.sum("weights").over(over.rowsBetween(1, Window.unboundedFollowing)).alias("weights"))
+    inside = Window.partitionBy("range").orderBy("ratio", by_name)
+    none = F.lit(0.0)
+    capped = F.coalesce("caps", none) + F.coalesce(F.sum("cap").over(inside.rowsBetween(Window.unboundedPreceding, -1)), none)
+    left = F.coalesce("weights", none) + F.sum("weight").over(inside.rowsBetween(0, Window.unboundedFollowing))
+    steps = rows.join(sums, "range").select(((F.lit(budget) * F.lit(total) - capped) / left).alias("step"))
+    level = F.lit(steps.agg(F.max("step")).first()[0]).cast("double")
+    return rows.select("source", "kind", "weight", "source_size", F.least("cap", F.col("weight") * level).alias("target"))
 
 
 def _offsets(sizes: DataFrame) -> DataFrame:
