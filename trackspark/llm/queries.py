@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from trackspark.session import scratch_path
 
-from . import bpe, chat, langid, licenses, minhash, mixing, neighbours, quality, search, warc
+from . import bpe, chat, langid, licenses, minhash, mixing, neighbours, quality, search, tokenfiles, warc
 from .common import WORD
 from .oracles import ORACLES  # noqa: F401
 
@@ -108,3 +108,13 @@ def op6_block_max_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every fiftieth document against all."""
     verdicts = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("event_id"), F.col("text").alias("notes"))
     return search.search(verdicts, verdicts.filter("event_id % 50 = 0")).withColumnRenamed("event_id", "doc_id")
+
+
+@query
+def op13_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a verdict's notes, written to token files and read back."""
+    verdicts = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("event_id"), F.col("text").alias("notes"))
+    folder = scratch_path(spark, "tokens")
+    tokenfiles.write_token_files(verdicts, public_tokenizers.path("byte_bpe_50k.json"), folder)
+    rows = tokenfiles.read_token_files(spark, folder).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return tokenfiles.with_starts(rows).select(F.col("event_id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
