@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from trackspark.session import scratch_path
 
-from . import bpe, chat, langid, licenses, minhash, mixing, neighbours, quality, search, tokenfiles, warc
+from . import bpe, chat, langid, licenses, minhash, mixing, negatives, neighbours, quality, search, tokenfiles, warc
 from .common import WORD
 from .oracles import ORACLES  # noqa: F401
 
@@ -118,3 +118,11 @@ def op13_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenfiles.write_token_files(verdicts, public_tokenizers.path("byte_bpe_50k.json"), folder)
     rows = tokenfiles.read_token_files(spark, folder).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
     return tokenfiles.with_starts(rows).select(F.col("event_id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
+@query
+def op11_slot_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hundredth vector against all; every seventh row has the next label."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label"))
+    return negatives.hard_negatives(vectors, vectors.filter("vec_id % 100 = 0"), positives=5, negatives=10, low=30, high=90)
