@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from trackspark.session import scratch_path
 
-from . import bpe, chat, langid, licenses, minhash, mixing, negatives, neighbours, quality, search, tokenfiles, warc
+from . import bpe, chat, langid, licenses, minhash, mixing, negatives, neighbours, quality, ranked, search, tokenfiles, warc
 from .common import WORD
 from .oracles import ORACLES  # noqa: F401
 
@@ -126,3 +126,11 @@ def op11_slot_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label"))
     return negatives.hard_negatives(vectors, vectors.filter("vec_id % 100 = 0"), positives=5, negatives=10, low=30, high=90)
+
+
+@query
+def op12_geometric_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a verdict's notes, every benchmark item as a clip's."""
+    verdicts = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("event_id"), F.col("text").alias("notes"))
+    clips = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("clip_id"), F.col("text").alias("notes"))
+    return ranked.ranked_notes(verdicts, clips).withColumnsRenamed({"clip_id": "item_id", "event_id": "doc_id"})
