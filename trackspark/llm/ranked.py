@@ -67,9 +67,13 @@ def coded_notes(rows: DataFrame, key: str) -> DataFrame:
     return rows.mapInArrow(run, f"{key} long, row long, n long, terms array<binary>, counts array<long>")
 
 
-def gains(tf: np.ndarray, n: np.ndarray, notes: int, total: int) -> np.ndarray:
+def length_terms(n: np.ndarray, notes: int, total: int) -> np.ndarray:
+    """m of notes with n terms each; whole numbers of any size on the way."""
+    return (25 + 75 * n.astype(object) * notes // max(total, 1)).astype(np.int64)
+
+
+def gains(tf: np.ndarray, m: np.ndarray) -> np.ndarray:
     """What a term adds to a note's score per unit of weight: below a million, and less in longer notes."""
-    m = (25 + 75 * n.astype(object) * notes // max(total, 1)).astype(np.int64)
     return 1_000_000_000 * tf // (1000 * tf + 8 * m)
 
 
@@ -88,7 +92,8 @@ class Shard:
         coded = terms.flatten().dictionary_encode()
         self.terms, self.codes = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
         tf = counts.flatten().to_numpy(zero_copy_only=False)
-        self.values = gains(tf, np.repeat(n.to_numpy(zero_copy_only=False), sizes), notes, total).astype(np.int32)
+        m = length_terms(n.to_numpy(zero_copy_only=False), notes, total)
+        self.values = gains(tf, np.repeat(m, sizes)).astype(np.int32)
 
 
 class GeometricIndex:
