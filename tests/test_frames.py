@@ -49,8 +49,8 @@ def test_id_spaces(spark):
 
 
 def test_canonical_names_follow_lookup_order(spark):
-    df = spark.createDataFrame([("Drink can",), ("garbage bag",), ("nothing at all",), ("tissue paper",)], "n string")
-    assert [r[0] for r in df.select(labels.canonical_id(F.col("n"))).collect()] == [2, 4, -1, 6]
+    df = spark.createDataFrame([("Drink can",), ("garbage bag",), ("nothing at all",), ("tissue paper",), ("Drink can",), (None,)], "n string")
+    assert [tuple(r) for r in labels.canonical_ids(df, "n").orderBy("class_id", "n").collect()] == [(None, -1), ("nothing at all", -1), ("Drink can", 2), ("Drink can", 2), ("garbage bag", 4), ("tissue paper", 6)]
 
 
 def test_zones_of_camera_and_of_all(spark):

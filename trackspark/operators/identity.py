@@ -134,6 +134,24 @@ def stable_uids(boxes: DataFrame, keys: Sequence[str]) -> DataFrame:
     return out.drop(*helpers)
 
 
+def linked_regions(tracks: dict[int, tuple], rows: list[tuple], frame: int, reach: float, age: int, following: int) -> tuple[list[int], int]:
+    """The track of each region of a frame (0: none), and the next free number.
+
+    `tracks`: number -> (frame last seen, x, y), in order of birth; `rows`: x, y, whether it may start a track.
+    """
+    free, out = list(range(len(rows))), [0] * len(rows)
+    for t, (at, x, y) in tracks.items():
+        near = [(math.hypot(rows[i][0] - x, rows[i][1] - y), i) for i in free] if frame - at <= age + 1 else []
+        if near and min(near)[0] < reach:
+            i = min(near)[1]
+            free.remove(i)
+            out[i] = t
+    for i in free:
+        if rows[i][2]:
+            out[i], following = following, following + 1
+    return out, following
+
+
 def link_regions(regions: DataFrame, keys: Sequence[str], reach: float, age: int) -> DataFrame:
     """Link regions frame by frame; adds `track` and `hits`.
 
@@ -148,20 +166,13 @@ def link_regions(regions: DataFrame, keys: Sequence[str], reach: float, age: int
         return {"tracks": {}, "next": 1}
 
     def tick(state: dict, frame: int, rows: list[tuple]) -> list[int]:
-        tracks, free, out = state["tracks"], list(range(len(rows))), [0] * len(rows)
+        tracks = state["tracks"]
+        out, state["next"] = linked_regions(tracks, rows, frame, reach, age, state["next"])
+        for i, t in enumerate(out):
+            if t:
+                tracks[t] = (frame, *rows[i][:2])
         for t in [t for t, (at, _, _) in tracks.items() if frame - at > age + 1]:
             del tracks[t]
-        for t, (_, x, y) in list(tracks.items()):
-            near = [(math.hypot(rows[i][0] - x, rows[i][1] - y), i) for i in free]
-            if not near or min(near)[0] >= reach:
-                continue
-            i = min(near)[1]
-            free.remove(i)
-            tracks[t], out[i] = (frame, *rows[i][:2]), t
-        for i in free:
-            if rows[i][2]:
-                t, state["next"] = state["next"], state["next"] + 1
-                tracks[t], out[i] = (frame, *rows[i][:2]), t
         return out
 
     rows = regions.withColumns({"_cx": c.x, "_cy": c.y})

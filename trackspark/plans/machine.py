@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trackspark.config import STATES
+from trackspark.config import STATES, Thresholds
 from trackspark.functions import geom, labels
 from trackspark.operators import detect, identity, incidents, pairfeatures, pairfsm, tiers
 from trackspark.plans import scenes, views
@@ -117,17 +117,49 @@ def regions(spark, sf, source: str):
     return started.join(gate, ["video_id", "frame", "det_id"], "left").withColumn("close", F.coalesce("close", F.lit(False))), last
 
 
-@query("t03_colour_tracks")
+def linked_sql(source: str, may_start: str, reach: float, age: int) -> list[str]:
+    """T3/T4 in SQL: the frames of a video one after the other, and inside a frame its tracks in order of birth, each taking the nearest free region."""
+    centre = "(d.x1 + d.x2) / 2.0 AS cx, (d.y1 + d.y2) / 2.0 AS cy"
+    far = "sqrt(((d.x1 + d.x2) / 2.0 - (k.x1 + k.x2) / 2.0) * ((d.x1 + d.x2) / 2.0 - (k.x1 + k.x2) / 2.0) + ((d.y1 + d.y2) / 2.0 - (k.y1 + k.y2) / 2.0) * ((d.y1 + d.y2) / 2.0 - (k.y1 + k.y2) / 2.0))"
+    within = "(d.x1 + d.x2) / 2.0 BETWEEN k.x1 AND k.x2 AND (d.y1 + d.y2) / 2.0 BETWEEN k.y1 AND k.y2"
+    pad = "0.75 * greatest(1.0, k.y2 - k.y1)"
+    close = f"(d.x1 + d.x2) / 2.0 BETWEEN k.x1 - {pad} AND k.x2 + {pad} AND (d.y1 + d.y2) / 2.0 BETWEEN k.y1 - {pad} AND k.y2 + {pad}"
+    track, region = "STRUCT(id BIGINT, seen BIGINT, x DOUBLE, y DOUBLE, d BIGINT)", "STRUCT(d BIGINT, x DOUBLE, y DOUBLE, m BOOLEAN)"
+    best = f"list_sort(list_filter(list_transform(a.free, lambda r: {{'k': sqrt((r.x - e.t.x) * (r.x - e.t.x) + (r.y - e.t.y) * (r.y - e.t.y)), 'd': r.d, 'x': r.x, 'y': r.y}}), lambda r: r.k < {reach}))"
+    taken = "{'free': list_filter(a.free, lambda r: r.d <> b[1].d), 'out': list_append(a.out, {'id': e.t.id, 'seen': e.f, 'x': b[1].x, 'y': b[1].y, 'd': b[1].d}), 't': e.t, 'f': e.f}"
+    kept = "{'free': a.free, 'out': list_append(a.out, {'id': e.t.id, 'seen': e.t.seen, 'x': e.t.x, 'y': e.t.y, 'd': CAST(NULL AS BIGINT)}), 't': e.t, 'f': e.f}"
+    return [
+        f"""reg AS MATERIALIZED (SELECT d.video_id, d.frame, d.det_id, {centre}, d.x1, d.y1, d.x2, d.y2, d.confidence, coalesce(bool_or({within}), false) AS inside, coalesce(bool_or({close}), false) AS close,
+        CASE WHEN NOT coalesce(bool_or({within}), false) THEN arg_min(k.det_id, ({far}, k.det_id)) FILTER (WHERE {far} < 150) END AS person_id
+        FROM det d LEFT JOIN det k ON k.video_id = d.video_id AND k.frame = d.frame AND k.is_person WHERE NOT d.is_person AND d.source = '{source}' GROUP BY ALL)""",
+        f"""fr AS MATERIALIZED (SELECT video_id, frame, list(CAST({{'d': det_id, 'x': cx, 'y': cy, 'm': {may_start}}} AS {region}) ORDER BY det_id) AS regions, row_number() OVER (PARTITION BY video_id ORDER BY frame) AS rn FROM reg GROUP BY video_id, frame)""",
+        f"""lk AS (SELECT DISTINCT video_id, CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS frame, CAST([] AS {track}[]) AS tracks, CAST(1 AS BIGINT) AS nxt FROM fr
+        UNION ALL SELECT video_id, rn, frame, list_concat(out, list_transform(born, lambda r, i: CAST({{'id': nxt + i - 1, 'seen': frame, 'x': r.x, 'y': r.y, 'd': r.d}} AS {track}))), nxt + len(born) FROM (
+          SELECT video_id, rn, frame, nxt, res.out AS out, list_filter(res.free, lambda r: r.m) AS born FROM (
+            SELECT f.video_id, f.rn, f.frame, lk.nxt, list_reduce(list_prepend({{'free': f.regions, 'out': CAST([] AS {track}[]), 't': CAST(NULL AS {track}), 'f': f.frame}},
+                list_transform(list_filter(lk.tracks, lambda t: f.frame - t.seen <= {age + 1}), lambda t: {{'free': CAST([] AS {region}[]), 'out': CAST([] AS {track}[]), 't': t, 'f': f.frame}})),
+              lambda a, e: list_transform([{best}], lambda b: CASE WHEN len(b) > 0 THEN {taken} ELSE {kept} END)[1]) AS res
+            FROM lk JOIN fr f ON f.video_id = lk.video_id AND f.rn = lk.rn + 1) q) q2)""",
+        """link AS (SELECT l.video_id, l.frame, l.t.id AS track, reg.*  EXCLUDE (video_id, frame) FROM (SELECT video_id, frame, unnest(tracks) AS t FROM lk) l JOIN reg ON reg.video_id = l.video_id AND reg.frame = l.frame AND reg.det_id = l.t.d AND l.t.seen = l.frame)""",
+        """sight AS (SELECT *, row_number() OVER t AS hits, lead(frame) OVER t AS following, avg(x1) OVER (t ROWS 7 PRECEDING) AS sx1, avg(confidence) OVER (t ROWS 4 PRECEDING) AS mean_conf, first_value(person_id IGNORE NULLS) OVER (t ROWS UNBOUNDED PRECEDING) AS first_person
+        FROM link WINDOW t AS (PARTITION BY video_id, track ORDER BY frame))""",
+        f"""coast AS (SELECT *, unnest(range(frame, greatest(frame, until) + 1)) AS moment FROM (SELECT s.*, least(coalesce(s.following - 1, e.last_frame), s.frame + {age}) AS until FROM sight s JOIN (SELECT video_id, max(frame) AS last_frame FROM det GROUP BY 1) e USING (video_id)))"""]
+
+
+COLOUR_SQL = views.with_views(views.DET_SQL, *linked_sql("color", "close", identity.COLOUR_REACH, identity.COLOUR_AGE), recursive=True) + """SELECT video_id, moment AS frame, track, hits, moment - frame AS gap, round(sx1, 6) AS sx1, round(sconf, 6) AS sconf
+  FROM (SELECT *, mean_conf * CASE WHEN moment > frame THEN greatest(0.35, 1.0 - 0.08 * (moment - frame)) ELSE 1.0 END AS sconf FROM coast) WHERE hits >= 2 AND sconf >= 0.2"""
+CHANGE_SQL = views.with_views(views.DET_SQL, *linked_sql("novelty", "NOT inside", identity.REGION_REACH, identity.REGION_AGE), recursive=True) + "SELECT video_id, moment AS frame, track, hits, moment - frame AS gap, first_person AS person_id FROM coast WHERE hits >= " + str(identity.REGION_HITS)
+
+
+@query("t03_colour_tracks", oracle=COLOUR_SQL)
 def t03(spark, sf):
-    """Checked against brute force in the tests."""
     rows, last = regions(spark, sf, "color")
     out = identity.colour_tracks(rows.withColumn("may_start", F.col("close")), ["video_id"], last)
     return out.select("video_id", "frame", "track", "hits", "gap", F.round("sx1", 6).alias("sx1"), F.round("sconf", 6).alias("sconf"))
 
 
-@query("t04_change_tracks")
+@query("t04_change_tracks", oracle=CHANGE_SQL)
 def t04(spark, sf):
-    """Checked against brute force in the tests."""
     rows, last = regions(spark, sf, "novelty")
     return identity.change_tracks(rows.withColumn("may_start", ~F.col("inside")), ["video_id"], last).select("video_id", "frame", "track", "hits", "gap", "person_id")
 
@@ -145,6 +177,34 @@ def t12(spark, sf):
     return cast.select("video_id", "scene").join(kept, "video_id", "left").na.fill(0, ["accepted"])
 
 
+def ladder_events(spark, sf):
+    """(scenes, events of all tiers, the last tick of every session) of the ladder's scenes, under production thresholds."""
+    boxes, ticks, cast = scenes.play(spark, sf, scenes.LADDER)
+    configs = tiers.ladder(Thresholds())
+    events = pairfsm.pair_events(scenes.machine_rows(boxes, ticks, cast, configs, every=True), configs)
+    keyed = events.withColumn("event", F.concat_ws("/", "config_id", "object_uid"))
+    return cast, keyed, ticks.groupBy("video_id", "session").agg(F.max("ts").alias("end_ts"))
+
+
+def ladder_outcomes(cast, judged):
+    """Per video: the tier whose confirmation stands, and how many were duplicates or vetoed."""
+    is_ = lambda o: F.col("outcome") == o
+    per = judged.groupBy("video_id").agg(F.max(F.when(is_("accepted"), F.regexp_extract("event", r"^tier(\d+)", 1).cast("int"))).alias("tier"),
+                                         *(F.count_if(is_(o)).alias(o) for o in ("accepted", "duplicate", "vetoed")))
+    return cast.select("video_id", "scene").join(per, "video_id", "left").na.fill(0, ["accepted", "duplicate", "vetoed"])
+
+
+LADDER_SQL = scene_sql(5) + """SELECT video_id, scene, CAST(CASE scene WHEN 0 THEN 1 WHEN 1 THEN 0 WHEN 4 THEN 2 END AS INTEGER) AS tier, CAST(CASE WHEN scene IN (0, 1, 4) THEN 1 ELSE 0 END AS BIGINT) AS accepted,
+  CAST(CASE scene WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 4 THEN 1 ELSE 0 END AS BIGINT) AS duplicate, CAST(CASE scene WHEN 3 THEN 2 ELSE 0 END AS BIGINT) AS vetoed FROM scn"""
+
+
+@query("t12_ladder_scenes", oracle=LADDER_SQL)
+def t12_scenes(spark, sf):
+    """A relaxed tier rescues, the strict one overtakes what is held, or vetoes it if it is still held."""
+    cast, events, ends = ladder_events(spark, sf)
+    return ladder_outcomes(cast, tiers.arbitrate(tiers.candidates(events, ends), ["video_id", "session", "person_uid"], "event"))
+
+
 @query("j18_config_sweep", oracle=scene_sql(7) + """SELECT scene, config_id, count(*) AS videos, CAST(sum(CASE WHEN config_id = 'base' AND scene IN (0, 1, 5) THEN 1 ELSE 0 END) AS BIGINT) AS confirmed
   FROM scn, (VALUES ('base'), ('confident'), ('long_carry')) c(config_id) GROUP BY 1, 2""")
 def j18(spark, sf):
@@ -215,7 +275,8 @@ def t06_detections(spark, sf):
     known = identity.stable_uids(boxes, clip)
     # A returning raw person id may meet the id that took its uid over; an object's uid is taken once a tick.
     twice = known.where(~F.col("is_person")).groupBy(*clip, "frame", "uid").agg(F.count(F.lit(1)).alias("n")).groupBy("video_id").agg(F.count_if(F.col("n") > 1).alias("repeated_uids"), F.lit(True).alias("has_boxes"))
-    at = [F.col(f"{m}_frame") for m in pairfsm.MOMENTS]
+    # A pair confirmed without an observation is stamped with its last one, before the milestones that confirmed it.
+    at = [F.col(f"{m}_frame") for m in pairfsm.MOMENTS if m != "confirmed"]
     disordered = F.exists(F.array(*(F.coalesce(a > b, F.lit(False)) for i, a in enumerate(at) for b in at[i + 1:])), lambda x: x)
     wrong = judged.join(ends, clip).groupBy("video_id").agg(
         F.count_if(disordered).alias("disordered"), F.count_if(F.coalesce(F.greatest(*at) > F.col("last_tick"), F.lit(False))).alias("crossing"))
@@ -252,12 +313,15 @@ ARB_SQL = """e0 AS (SELECT camera_id AS video_id, actor_uid, id, id % 3 AS tier,
 
 @query("j21_tier_arbitration", oracle=views.with_views(views.EVT_SQL, ARB_SQL, recursive=True) + "SELECT video_id, actor_uid, id, outcome FROM f WHERE rn > 0")
 def j21(spark, sf):
+    return tiers.arbitrate(arbitration_rows(spark, sf), ["video_id", "actor_uid"], "id", near=21600.0)
+
+
+def arbitration_rows(spark, sf):
     """Events as tiers of three, with windows in hours instead of seconds."""
     e = views.evt(spark, sf).withColumn("tier", (F.col("id") % 3).cast("int")).withColumn("ts", views.micros("event_ts") / 1e6)
-    rows = e.where((F.col("status") == "confirmed") | ((F.col("status") == "rejected") & (F.col("tier") == 0))).select(
+    return e.where((F.col("status") == "confirmed") | ((F.col("status") == "rejected") & (F.col("tier") == 0))).select(
         F.col("camera_id").alias("video_id"), "actor_uid", "id", "tier", "ts", (F.col("status") == "confirmed").alias("confirmed"), F.lit("BIN_DISPOSAL").alias("reason"),
         (F.col("confidence") > 0.02).alias("separated"), F.when(F.col("tier") > 0, F.col("ts") + 10800).otherwise(F.col("ts")).alias("at"))
-    return tiers.arbitrate(rows, ["video_id", "actor_uid"], "id", near=21600.0)
 
 
 @query("t15_recent_ticks", oracle=views.ON_TICK + "SELECT video_id, event_id FROM (SELECT *, max(ts) OVER (PARTITION BY video_id) AS newest FROM tick) t WHERE epoch_us(newest) - epoch_us(ts) <= 172800000000")

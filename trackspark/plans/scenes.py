@@ -104,6 +104,19 @@ ENDINGS = [
     ("fast", [[person(1, 140), item(10001, 140, 220)]] * 6 + [[person(1, x), item(10001, x, 220)] for x in (300, 460, 620, 780, 940)])]
 
 
+def _taken_up(after: int) -> list[list[tuple]]:
+    low = [220] * 12 + [240, 260, 280] + [300] * 6
+    return [[person(1, 140), item(10001, 140, y)] for y in low] + [
+        [person(1, 140, wrists=((140, y), (150, y - 10))), item(10001, 140, y)] for y in [240, 200, 160, 150, 150] + [160] * after]
+
+
+# The ladder, under production thresholds: a carry too brief for the strict tier, one that it confirms after the relaxed tiers,
+# no release at all, and an object taken up again while relaxed confirmations are held, or only after they were let go.
+LADDER = [("ladder", [[person(1, 140), item(10001, 140, y)] for y in [220] * 4 + [280, 340, 400] + [420] * 14]),
+          ("ladder", [[person(1, 140), item(10001, 140, y)] for y in [220] * 12 + [280, 340, 400] + [420] * 40] + [[person(1, x), item(10001, 140, 420)] for x in range(200, 1200, 40)]),
+          ("ladder", [[person(1, 140), item(10001, 140, 220)]] * 20), ("ladder", _taken_up(12)), ("ladder", _taken_up(30))]
+
+
 def _two(first: Sequence[tuple]) -> list[list[tuple]]:
     return [list(t) for t in first]
 

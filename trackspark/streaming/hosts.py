@@ -23,13 +23,32 @@ from trackspark.operators.pairfsm import EVENT_SCHEMA, Machine
 from trackspark.session import scratch_path
 
 
-def drain(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
-    """Run a stream over everything available into Parquet and return it; the batch form of a stream."""
+#: Keyed state with timers needs this store.
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def drained(stream: DataFrame, label: str, mode: str = "append", checkpoint: str | None = None) -> tuple[DataFrame, int]:
+    """Run a stream over everything available into Parquet; its rows, and how many came too late for the watermark.
+
+    With the `checkpoint` of an earlier run it goes on from there, and the rows of all runs are returned.
+    """
     spark: SparkSession = stream.sparkSession
-    out = scratch_path(spark, label)
-    stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", scratch_path(spark, f"{label}-checkpoint")).trigger(
-        availableNow=True).start(out).awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    out = f"{checkpoint}-rows" if checkpoint else scratch_path(spark, label)
+    before = spark.conf.get(STORE)
+    spark.conf.set(STORE, ROCKS)
+    try:
+        query = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", checkpoint or scratch_path(spark, f"{label}-checkpoint")).trigger(availableNow=True).start(out)
+        query.awaitTermination()
+    finally:
+        spark.conf.set(STORE, before)
+    late = sum(int(op.numRowsDroppedByWatermark) for p in query.recentProgress for op in p.stateOperators)
+    return spark.read.schema(stream.schema).parquet(out), late
+
+
+def drain(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
+    """`drained` without the count; the batch form of a stream."""
+    return drained(stream, label, mode)[0]
 
 
 def ordered(batches: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
