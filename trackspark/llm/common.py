@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,11 +18,35 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LOWER_BYTES = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
+#: Rows and bytes of whole texts that go to Python at once.
+BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
+
+
 def short_batches(spark: SparkSession) -> None:
-    """Rows of whole texts go to Python in batches of at most 2,000, where the session has the default of 10,000 or more."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= 2000:
-        spark.conf.set(key, "2000")
+    """Rows of whole texts go to Python in batches of at most 2,000 rows and 8 MB, where the session allows more."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        if not 0 < int(str(spark.conf.get(key)).rstrip("b")) <= most:
+            spark.conf.set(key, str(most))
+
+
+def give_back() -> None:
+    """Return freed memory to the machine: Python workers outlive a stage and would keep it beside the next one's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+def sparing(task: Callable) -> Callable:
+    """A task over batches that gives its memory back when it is through."""
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from task(batches)
+        finally:
+            give_back()
+
+    return run
 
 
 def lower_ascii(text: Column) -> Column:

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash60, short_batches
+from .common import hash60, short_batches, sparing
 
 #: n-grams are hashed to so many bits of a feature.
 FEATURE_BITS = 16
@@ -154,7 +154,7 @@ def document_frequencies(verdicts: DataFrame) -> tuple[np.ndarray, int]:
         index = np.flatnonzero(seen)
         yield pd.DataFrame({"feature": np.append(index, -1), "n": np.append(seen[index], rows)})
 
-    found = verdicts.select("notes").mapInPandas(run, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).toPandas()
+    found = verdicts.select("notes").mapInPandas(sparing(run), "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(FEATURES, np.int64)
     real = found[found["feature"] >= 0]
     out[real["feature"]] = real["n"]
@@ -202,7 +202,7 @@ def train(verdicts: DataFrame, sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
         first = pd.DataFrame({"label": [-1], "feature": [0], "weight": [temperature]})
         return pd.concat([first, pd.DataFrame({"label": np.arange(len(languages)), "feature": FEATURES, "weight": biases}), pd.DataFrame({"label": at[0], "feature": at[1], "weight": weights[at]})])
 
-    model = sample.mapInPandas(features, "h long, label long, index array<long>, weight array<double>").groupBy().applyInPandas(fit, "label long, feature long, weight double").toPandas()
+    model = sample.mapInPandas(sparing(features), "h long, label long, index array<long>, weight array<double>").groupBy().applyInPandas(fit, "label long, feature long, weight double").toPandas()
     weights = np.zeros((len(languages), FEATURES + 1))
     real = model[model["label"] >= 0]
     weights[real["label"], real["feature"]] = real["weight"]

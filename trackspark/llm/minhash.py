@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, short_batches, written
+from .common import LOWER_BYTES, short_batches, sparing, written
 from .components import connected_components
 
 #: Words of a shingle.
@@ -123,7 +123,7 @@ def signatures(verdicts: DataFrame) -> DataFrame:
             yield pd.DataFrame({"event_id": batch["event_id"].to_numpy(), "n_shingles": sizes, "node": pd.array(nodes, dtype="Int64"), "bands": list(bands), "sig": list(sigs)})
 
     rows = verdicts.select(F.col("event_id").cast("string").alias("event_id"), F.col("notes").cast("string").alias("notes"))
-    out = rows.mapInPandas(run, "event_id string, n_shingles long, node long, bands array<long>, sig binary")
+    out = rows.mapInPandas(sparing(run), "event_id string, n_shingles long, node long, bands array<long>, sig binary")
     return out.withColumn("event_id", F.col("event_id").cast(verdicts.schema["event_id"].dataType))
 
 
@@ -160,7 +160,7 @@ def _full_sets(verdicts: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataF
             yield pd.DataFrame(out, columns=["node", "shingles"])
 
     # Rows that repeat an id may have other texts; a node's set is the same whichever row it comes from.
-    sets = texts.select("notes").mapInPandas(run, "node long, shingles array<long>")
+    sets = texts.select("notes").mapInPandas(sparing(run), "node long, shingles array<long>")
     return written(sets.join(wanted.hint("shuffle_hash"), "node", "left_semi").dropDuplicates(["node"]), "sets")
 
 
@@ -227,7 +227,7 @@ def _promising(members: DataFrame, percent: int) -> DataFrame:
                 good[i] |= len(j) > 0
             yield group.loc[good, ["key", "node"]]
 
-    return _in_blocks(members, "sig").mapInPandas(run, "key long, node long").distinct()
+    return _in_blocks(members, "sig").mapInPandas(sparing(run), "key long, node long").distinct()
 
 
 def _joined_across(members: DataFrame, percent: int) -> DataFrame:
@@ -260,7 +260,7 @@ def _joined_across(members: DataFrame, percent: int) -> DataFrame:
                         out.append((node[i], node[other]))
             yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return _in_blocks(members, "bands", "shingles").mapInPandas(run, "a long, b long").distinct()
+    return _in_blocks(members, "bands", "shingles").mapInPandas(sparing(run), "a long, b long").distinct()
 
 
 def near_duplicates(verdicts: DataFrame, percent: int = PERCENT) -> DataFrame:

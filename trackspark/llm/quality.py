@@ -14,7 +14,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash60, pieces, short_batches, written
+from .common import give_back, hash60, pieces, short_batches, sparing, written
 
 #: Characters of an n-gram; four packed code points are a long.
 ORDER = 4
@@ -82,7 +82,7 @@ def gram_counts(notes: DataFrame) -> DataFrame:
                 gram, n = np.unique(np.concatenate([packed_grams(t) for t in texts]), return_counts=True)
                 yield pd.DataFrame({"gram": gram, "n": n})
 
-    return notes.select("notes").mapInPandas(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return notes.select("notes").mapInPandas(sparing(run), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def _suffix(gram: Column, order: int) -> Column:
@@ -169,10 +169,11 @@ def perplexities(verdicts: DataFrame, model: KneserNey) -> DataFrame:
         press = zstandard.ZstdDecompressor()
         return (press.decompress(p).decode() for p in column if p is not None)
 
-    dealt = rows.mapInPandas(pack, "event_id string, lang string, notes binary, block int").repartition(blocks, "block")
+    dealt = rows.mapInPandas(sparing(pack), "event_id string, lang string, notes binary, block int").repartition(blocks, "block")
 
     def ask(pdf: pd.DataFrame) -> pd.DataFrame:
         gram = np.unique(np.concatenate([np.zeros(0, np.int64), *(np.unique(np.concatenate([packed_grams(t) for t in texts])) for texts in _slices(unpacked(pdf["notes"])))]))
+        give_back()
         return pd.DataFrame({"block": pdf["block"].iloc[0], "gram": gram})
 
     asked = written(dealt.groupBy("block").applyInPandas(ask, "block int, gram long"), "asked")
@@ -188,6 +189,7 @@ def perplexities(verdicts: DataFrame, model: KneserNey) -> DataFrame:
             own = packed_grams(text)
             found.append(2.0 ** bits[np.searchsorted(gram, own)].mean() if text else None)
             varied.append(variety(own) if text else None)
+        give_back()
         numbers = {"perplexity": pd.Series(found, index=pdf.index, dtype=float), "variety": pd.Series(varied, index=pdf.index, dtype=float)}
         return pd.DataFrame({"event_id": pdf["event_id"], "lang": pdf["lang"], "n_chars": sizes, **numbers})
 
