@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackspark.operators import folds, longseq
+from trackspark.operators.components import components
+from trackspark.session import written
 
 
 def review_rows(events: DataFrame, evidence: DataFrame, jobs: DataFrame) -> DataFrame:
@@ -110,9 +112,33 @@ def identity_checks(events: DataFrame, detector: DataFrame, metadata: DataFrame,
     return joined.select("event_id", F.explode(F.array_compact(F.array(*checks))).alias("failed_check"))
 
 
-def clusters(events: DataFrame, key: str, object_window: float = 30.0, actor_window: float = 15.0) -> DataFrame:
+def cluster_groups(events: DataFrame, key: str, object_window: float, actor_window: float) -> DataFrame:
+    """`events` with `group`: events of different groups can never share a cluster of T13.
+
+    Clusters join events of one actor and object, of one object within a time, or of one actor within a time. So a pair of ids is
+    a node, and so is each run of an object's or an actor's events without a gap as long as its window; an event ties its
+    nodes together, and a group is a connected component. A missing id ties nothing.
+    """
+    runs = events
+    for name, who, window in (("_o", "object_uid", object_window), ("_a", "actor_uid", actor_window)):
+        w = Window.partitionBy(key, who).orderBy("sec", "event_id")
+        begins = F.coalesce(F.col("sec") - F.lag("sec").over(w) >= window, F.lit(True))
+        runs = runs.withColumn(f"{name}b", begins).withColumn(name, F.count_if(f"{name}b").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop(f"{name}b")
+    node = lambda kind, *of: F.xxhash64(F.lit(kind), F.col(key), *(F.col(c) for c in of))
+    known_o, known_a = F.col("object_uid").isNotNull(), F.col("actor_uid").isNotNull()
+    runs = runs.withColumns({"_o": F.when(known_o, node("object", "object_uid", "_o")), "_a": F.when(known_a, node("actor", "actor_uid", "_a")),
+                             "_p": F.when(known_o & known_a, node("pair", "actor_uid", "object_uid"))})
+    runs = written(runs.withColumn("_any", F.coalesce("_o", "_a", node("event", "event_id"))), "cluster-runs")
+    links = runs.select(F.col("_any").alias("a"), F.explode(F.array_compact(F.array("_any", "_a", "_p"))).alias("b")).distinct()
+    found = components(links).select(F.col("node").alias("_any"), F.col("label").alias("group"))
+    return runs.join(found, "_any").drop("_o", "_a", "_p", "_any")
+
+
+def clusters(events: DataFrame, key: str, object_window: float = 30.0, actor_window: float = 15.0, split: bool = False) -> DataFrame:
     """One result per incident: the first cluster an event fits, best confidence kept.
 
+    With `split` a key is dealt over its `cluster_groups`, for keys of unbounded size; the results are the same.
+
     An event fits a cluster with the same actor and object, or the same object within
     `object_window` of the cluster's first time, or the same actor within `actor_window`. In time
     order, old clusters are reachable by (actor, object) alone, so the fold keeps one index entry
@@ -147,9 +173,12 @@ def clusters(events: DataFrame, key: str, object_window: float = 30.0, actor_win
         return [(t, event, conf) for t, event, conf in state["all"]]
 
     rows = events.select(key, "sec", "event_id", "actor_uid", "object_uid", "confidence")
-    kind = dict(events.dtypes)
-    return folds.fold_sorted(rows, [key], ["sec", "event_id"], start, step, finish,
-                             f"{key} {kind[key]}, anchor_sec double, event_id {kind['event_id']}, confidence double")
+    kind, keys = dict(events.dtypes), [key]
+    out = f"anchor_sec double, event_id {kind['event_id']}, confidence double"
+    if split:
+        rows, keys = cluster_groups(rows, key, object_window, actor_window), [key, "group"]
+    names = ", ".join(f"{k} {dict(rows.dtypes)[k]}" for k in keys)
+    return folds.fold_sorted(rows, keys, ["sec", "event_id"], start, step, finish, f"{names}, {out}").drop("group")
 
 
 def page(rows: DataFrame, order: Column, limit: int, offset: int) -> DataFrame:

@@ -358,6 +358,13 @@ def t13(spark, sf):
     return relations.clusters(e, "job_id", 86400.0, 43200.0)
 
 
+@query("t13_split_clusters", oracle=views.with_views(views.EVT_SQL, CLUSTER_SQL, recursive=True) + "SELECT job_id, c.t AS anchor_sec, c.id AS event_id, c.c AS confidence FROM z")
+def t13_split(spark, sf):
+    """The same, with every job dealt over the groups of events that could share a cluster."""
+    e = views.evt(spark, sf).select(F.col("analysis_job_id").alias("job_id"), F.col("id").alias("event_id"), (views.micros("event_ts") / 1e6).alias("sec"), "actor_uid", "object_uid", "confidence")
+    return relations.clusters(e, "job_id", 86400.0, 43200.0, split=True)
+
+
 REASONS = list(LEARNING_STEPS)
 
 
