@@ -189,6 +189,26 @@ def snk02(spark, sf):
     return sinks.latest_metadata(o)
 
 
+@query("snk02_metadata_files", oracle="SELECT o_custkey AS event_id, max(o_orderkey) AS version, max(o_orderkey) % 2 = 0 AS finalized, arg_max(o_totalprice, o_orderkey) AS duration_seconds FROM orders GROUP BY 1")
+def snk02_files(spark, sf):
+    """Drafts are written first, final versions after them, one of the writes twice; the last version is read back."""
+    o = views.table(spark, sf, "orders").select(F.col("o_custkey").alias("event_id"), F.col("o_orderkey").alias("version"), (F.col("o_orderkey") % 2 == 0).alias("finalized"), F.col("o_totalprice").alias("duration_seconds"))
+    path = scratch_path(spark, "metadata")
+    for epoch, rows in ((0, o.where(~F.col("finalized"))), (1, o.where("finalized")), (1, o.where("finalized"))):
+        sinks.write_metadata(rows, path, epoch)
+    return sinks.latest_metadata(spark.read.schema(o.schema).json(path).drop("epoch"))
+
+
+@query("snk04_appended_crops", oracle=views.ON_DET + "SELECT video_id, frame, det_id FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY frame % 7, frame, det_id) AS r FROM det WHERE NOT is_person) t WHERE r <= 40")
+def snk04_append(spark, sf):
+    """Crops come in seven rounds, the first of them twice; a video's folder fills up to forty and then takes no more."""
+    det = views.det(spark, sf).where(~F.col("is_person")).select(*KEYS)
+    path = scratch_path(spark, "crops")
+    for r in (0, 0, 1, 2, 3, 4, 5, 6):
+        sinks.append_crops(det.where(F.col("frame") % 7 == r), path, "video_id", ["frame", "det_id"], 40)
+    return spark.read.schema(det.schema).parquet(f"{path}/crops")
+
+
 @query("snk04_training_crops", oracle=views.ON_DET + "SELECT video_id, frame, det_id FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY frame, det_id) AS r FROM det WHERE NOT is_person) t WHERE r <= 40")
 def snk04(spark, sf):
     return sinks.capped_crops(views.det(spark, sf).where(~F.col("is_person")).select(*KEYS), "video_id", ["frame", "det_id"], 40)
@@ -213,6 +233,28 @@ def snk06(spark, sf):
     return spark.read.schema("video_id bigint, source string, n bigint").option("header", "true").csv(f"{path}/csv")
 
 
+@query("snk06_audit_markdown", oracle=views.ON_DET + "SELECT video_id, source, count(*) AS n, max(class_name || '|' || source) AS last FROM det GROUP BY 1, 2")
+def snk06_markdown(spark, sf):
+    """One Markdown table per video, written and read back; cells with a bar survive."""
+    table = views.det(spark, sf).groupBy("video_id", "source").agg(F.count(F.lit(1)).alias("n"), F.max(F.concat_ws("|", "class_name", "source")).alias("last"))
+    path = scratch_path(spark, "markdown")
+    sinks.write_markdown(table, "video_id", ["source"], path)
+    cells = F.split(F.col("value"), r" \| |^\| | \|$")
+    rows = spark.read.schema("value string, video_id bigint").text(path).where("value NOT LIKE '| source |%' AND value NOT LIKE '| --- |%'")
+    return rows.select("video_id", cells[1].alias("source"), cells[2].cast("bigint").alias("n"), F.regexp_replace(cells[3], r"\\([\\|])", "$1").alias("last"))
+
+
+@query("snk08_pin_overwrite", oracle="SELECT s_suppkey AS store, CAST(s_suppkey % 9 AS DOUBLE) + 2 AS value, CAST(3 AS BIGINT) AS promotions, CAST(s_suppkey % 9 AS DOUBLE) AS first_value FROM supplier")
+def snk08_pin(spark, sf):
+    """Three promotions: the pin is the last one, the log has them all."""
+    s = views.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("store"), (F.col("s_suppkey") % 9).cast("double").alias("value"))
+    path = scratch_path(spark, "pins")
+    for i in range(3):
+        sinks.promote(s.withColumn("value", F.col("value") + i), F.timestamp_seconds(F.lit(i)), path)
+    log = readers.relation(spark, f"{path}/log").groupBy("store").agg(F.count(F.lit(1)).alias("promotions"), F.min_by("value", "promoted_at").alias("first_value"))
+    return readers.relation(spark, f"{path}/pin").join(log, "store").select("store", "value", "promotions", "first_value")
+
+
 @query("snk07_label_files", oracle=views.ON_DET + """, im AS (SELECT DISTINCT video_id, frame FROM det), l AS (SELECT video_id, frame, (det_id % 8) || ' ' || printf('%.6f', round_even((x1 + x2) / 2.0 / 640, 6)) || ' ' || printf('%.6f', round_even((y1 + y2) / 2.0 / 480, 6)) || ' ' || printf('%.6f', round_even((x2 - x1) / 640, 6)) || ' ' || printf('%.6f', round_even((y2 - y1) / 480, 6)) AS line
   FROM det WHERE NOT is_person) SELECT video_id, frame, coalesce((SELECT string_agg(line, chr(10) ORDER BY line) FROM l WHERE l.video_id = im.video_id AND l.frame = im.frame), '') AS text FROM im""")
 def snk07(spark, sf):

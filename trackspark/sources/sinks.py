@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackspark.session import written
+
 
 def accept_events(incoming: DataFrame, cameras: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
     """SNK1: (accepted with a defaulted time, rejected because the camera is unknown)."""
@@ -23,6 +25,11 @@ def latest_metadata(rows: DataFrame) -> DataFrame:
     return rows.groupBy("event_id").agg(F.max_by(F.struct(*(c for c in rows.columns if c != "event_id")), "version").alias("m")).select("event_id", "m.*")
 
 
+def write_metadata(rows: DataFrame, path: str, epoch: int) -> None:
+    """SNK2: metadata versions as JSON lines; one write is one epoch, and a repeated write replaces its own."""
+    rows.write.mode("overwrite").json(f"{path}/epoch={epoch}")
+
+
 def frames_json(boxes: DataFrame) -> DataFrame:
     """SNK3: one nested record per frame, in the frame-analysis layout."""
 
@@ -44,6 +51,19 @@ def capped_crops(crops: DataFrame, tag: str, order: list[str], cap: int = 40) ->
     return crops.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= cap).drop("_rn")
 
 
+def append_crops(crops: DataFrame, path: str, tag: str, order: list[str], cap: int = 40) -> None:
+    """SNK4: add crops below the tag's folder until it holds `cap`; what is there stays, and a crop that is there is not added again."""
+    spark = crops.sparkSession
+    spark.createDataFrame([], crops.schema).write.mode("append").parquet(f"{path}/none")
+    held = spark.read.schema(crops.schema).option("recursiveFileLookup", "true").parquet(path)
+    new = crops.join(held, crops.columns, "left_anti").dropDuplicates(crops.columns)
+    room = held.groupBy(tag).agg(F.count(F.lit(1)).alias("_held"))
+    fits = capped_crops(new, tag, order, cap).withColumn("_rn", F.row_number().over(Window.partitionBy(tag).orderBy(*order)))
+    fits = fits.join(room, tag, "left").where(F.col("_rn") + F.coalesce("_held", F.lit(0)) <= cap).drop("_rn", "_held")
+    # What is read is written to: the rows are settled first.
+    written(fits, "crops").write.mode("append").parquet(f"{path}/crops")
+
+
 def report_document(metrics: DataFrame) -> DataFrame:
     """SNK5: one JSON document per report: the overall row and the per-scenario rows (a few each)."""
     row = F.struct("n", "tp", "fp", "fn", "tn", "precision", "recall", "f1", "fpr")
@@ -58,6 +78,19 @@ def write_audit(table: DataFrame, path: str) -> None:
     table.write.mode("overwrite").option("header", "true").csv(f"{path}/csv")
 
 
+def write_markdown(table: DataFrame, section: str, order: list[str], path: str) -> None:
+    """SNK6: the audit table as Markdown, one table with its own head for every section, below the section's folder."""
+    shown = [c for c in table.columns if c != section]
+    text = lambda c: F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), r"([\\|])", r"\\$1")
+    line = lambda cells: F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+    body = table.select(section, F.lit(2).alias("_part"), *order, line([text(c) for c in shown]).alias("value"))
+    heads = table.select(section).distinct()
+    for part, cells in ((0, shown), (1, ["---"] * len(shown))):
+        body = body.unionByName(heads.select(section, F.lit(part).alias("_part"), line([F.lit(c) for c in cells]).alias("value")), allowMissingColumns=True)
+    ordered = body.repartition(section).sortWithinPartitions(section, "_part", *order)
+    ordered.select(section, "value").write.mode("overwrite").partitionBy(section).text(path)
+
+
 def label_files(images: DataFrame, labels: DataFrame, keys: list[str]) -> DataFrame:
     """SNK7: the text of one label file per image; images without labels get an empty file."""
     def fixed(c: str) -> Column:
@@ -80,6 +113,13 @@ def pinned_snapshot(learned: DataFrame, promoted_at: Column) -> DataFrame:
     return learned.withColumn("pin_schema", F.lit(1)).withColumn("promoted_at", promoted_at)
 
 
+def promote(learned: DataFrame, promoted_at: Column, path: str) -> None:
+    """SNK8: the pin is replaced by this promotion, and the log of promotions has one more."""
+    pin = written(pinned_snapshot(learned, promoted_at), "pin")
+    append(pin, f"{path}/log")
+    pin.write.mode("overwrite").parquet(f"{path}/pin")
+
+
 def job_manifest(jobs: DataFrame, events: DataFrame, artifacts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """SNK9: per job the count and final result, and per event a line with its artifacts, joined by event id."""
     lines = events.join(artifacts, "event_id", "left").select("job_id", "event_id", "confidence", "snapshot", "clip")
