@@ -6,42 +6,68 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from trackspark.operators import longseq
 
 
+def _column(values: pa.Array) -> pd.Series:
+    """A column as pandas has it, but whole numbers and flags with a NULL among them stay what they are, beside None.
+
+    Plain pandas makes doubles of them, which changes whole numbers above 2^53 and lets a NULL equal nothing.
+    """
+    if values.null_count and (pa.types.is_integer(values.type) or pa.types.is_boolean(values.type)):
+        return pd.Series(values.to_pylist(), dtype=object)
+    return values.to_pandas()
+
+
+def _frame(batch: pa.RecordBatch) -> pd.DataFrame:
+    return pd.DataFrame({name: _column(batch.column(i)) for i, name in enumerate(batch.schema.names)})
+
+
+def _batch(columns: Iterable, schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, type=t, from_pandas=True, safe=False) for c, t in zip(columns, schema.types)], schema=schema)
+
+
+def _arrow(schema: str) -> pa.Schema:
+    return to_arrow_schema(StructType.fromDDL(schema))
+
+
 def fold_sorted(df: DataFrame, keys: Sequence[str], order: Sequence[str], start: Callable[[], object],
                 step: Callable[[object, tuple], Iterable[tuple]], finish: Callable[[object], Iterable[tuple]], schema: str) -> DataFrame:
     """Stream each key's rows, in order, through `step`; memory holds the state of one key, not its rows.
 
     Spark shuffles by key and sorts (spilling as needed); rows arrive as Arrow batches. `step` gets
-    the row as a tuple in column order and returns output tuples without the key columns.
+    the row as a tuple in column order and returns output tuples without the key columns. A missing
+    number that is not whole is NaN, any other missing value None; rows with the same missing key are one key.
     """
     columns, n_keys = df.columns, len(keys)
     ordered = [*keys, *(c for c in columns if c not in keys)]
-    names = [part.strip().split()[0] for part in schema.split(",")]
+    result = _arrow(schema)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, state = None, None
-        for pdf in batches:
+        for batch in batches:
             out: list[tuple] = []
-            for row in zip(*(pdf[c].tolist() for c in ordered)):
+            for row in zip(*(_column(batch.column(i)).tolist() for i in range(len(ordered)))):
                 if row[:n_keys] != key:
                     if key is not None:
                         out.extend(key + r for r in finish(state))
                     key, state = row[:n_keys], start()
                 out.extend(key + r for r in step(state, row[n_keys:]))
             if out:
-                yield pd.DataFrame(out, columns=names, dtype=object)
+                yield _batch(zip(*out), result)
         if key is not None:
             last = [key + r for r in finish(state)]
             if last:
-                yield pd.DataFrame(last, columns=names, dtype=object)
+                yield _batch(zip(*last), result)
 
     prepared = df.select(*ordered).repartition(*(F.col(k) for k in keys)).sortWithinPartitions(*keys, *order)
-    return prepared.mapInPandas(run, schema)
+    return prepared.mapInArrow(run, schema)
 
 
 def fold_frames(df: DataFrame, keys: Sequence[str], frame: str, order: Sequence[str], start: Callable[[], object],
@@ -77,27 +103,35 @@ def map_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], make: Cal
     may then keep state between them.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    result = _arrow(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work, held = make(), []
-        for pdf in batches:
-            if not len(pdf):
+
+        def done(pdf: pd.DataFrame) -> pa.RecordBatch:
+            out = work(pdf.reset_index(drop=True))
+            return _batch((out[n] for n in result.names), result)
+
+        for batch in batches:
+            if not batch.num_rows:
                 continue
+            pdf = _frame(batch)
             last = tuple(pdf[k].iloc[-1] for k in keys)
             tail = np.ones(len(pdf), dtype=bool)
             for k, value in zip(keys, last):
-                tail &= (pdf[k] == value).to_numpy()
+                tail &= pdf[k].isna().to_numpy() if value is None else (pdf[k] == value).to_numpy()
             begin = 0 if tail.all() else len(pdf) - int(tail[::-1].argmin())
             if begin or (held and tuple(held[-1][k].iloc[-1] for k in keys) != last):
                 whole = pd.concat([*held, pdf.iloc[:begin]]) if held else pdf.iloc[:begin]
                 held = []
                 if len(whole):
-                    yield work(whole.reset_index(drop=True))
+                    yield done(whole)
             held.append(pdf.iloc[begin:])
         if held:
-            yield work(pd.concat(held).reset_index(drop=True))
+            yield done(pd.concat(held))
 
     prepared = df.repartition(*(F.col(k) for k in (shuffle_by or keys))).sortWithinPartitions(*keys, *order)
-    return prepared.mapInPandas(run, schema)
+    return prepared.mapInArrow(run, schema)
 
 
 def ddl(df: DataFrame, columns: Sequence[str] | None = None) -> str:

@@ -142,7 +142,7 @@ def clusters(events: DataFrame, key: str, object_window: float = 30.0, actor_win
     An event fits a cluster with the same actor and object, or the same object within
     `object_window` of the cluster's first time, or the same actor within `actor_window`. In time
     order, old clusters are reachable by (actor, object) alone, so the fold keeps one index entry
-    per id pair and short recent lists.
+    per id pair and short recent lists. A missing actor or object is like no other one.
     """
 
     def start() -> dict:
@@ -150,10 +150,10 @@ def clusters(events: DataFrame, key: str, object_window: float = 30.0, actor_win
 
     def step(state: dict, row: tuple):
         t, event, actor, item, conf = row
-        options = []
-        if (actor, item) in state["pair"]:
+        options, known = [], [(index, who, reach) for index, who, reach in (("object", item, object_window), ("actor", actor, actor_window)) if who is not None]
+        if len(known) == 2 and (actor, item) in state["pair"]:
             options.append(state["pair"][(actor, item)])
-        for index, who, reach in (("object", item, object_window), ("actor", actor, actor_window)):
+        for index, who, reach in known:
             recent = [c for c in state[index].get(who, []) if t - state["all"][c][0] < reach]
             state[index][who] = recent
             options.extend(recent)
@@ -164,9 +164,10 @@ def clusters(events: DataFrame, key: str, object_window: float = 30.0, actor_win
             return ()
         state["all"].append([t, event, conf])
         c = len(state["all"]) - 1
-        state["pair"][(actor, item)] = c
-        state["object"].setdefault(item, []).append(c)
-        state["actor"].setdefault(actor, []).append(c)
+        if len(known) == 2:
+            state["pair"][(actor, item)] = c
+        for index, who, _ in known:
+            state[index].setdefault(who, []).append(c)
         return ()
 
     def finish(state: dict):
