@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackspark.operators import folds, longseq, quantiles
+from trackspark.operators.components import components
+from trackspark.session import written
 
 
 def track_table(det: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -19,20 +21,66 @@ def track_table(det: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.min_by("source", F.struct("frame", "det_id")).alias("source"))
 
 
-def physical_objects(tracks: DataFrame, max_gap: int, max_distance: float) -> DataFrame:
+#: Half of the cells around a cell: every pair of neighbouring cells is seen from one of its two sides.
+SIDES = ((0, 1), (1, -1), (1, 0), (1, 1))
+
+
+def object_groups(tracks: DataFrame, max_gap: int, max_distance: float) -> DataFrame:
+    """`tracks` with `group`: tracks of different groups can never be one physical object of T5.
+
+    An object lies where one of its tracks lies, so a track can only join within `max_distance` of an earlier track that ended
+    at most `max_gap` frames before it starts. The plane is cut into cells that wide, and a cell's tracks into runs
+    without a longer gap. Such a run is a node. Of the runs of two neighbouring cells, in order of their start, each is tied to the
+    one before it that ends last, if no longer gap lies between; runs of one cell never meet, so this ties all that
+    do. A group is a connected component. No pairs of tracks are formed, and no cell or video has to fit a task.
+    """
+    cell = ["video_id", "_cx", "_cy"]
+    # A little wider than the distance, so that no rounding puts two tracks within it two cells apart.
+    width = max_distance * (1 + 1e-9) or 1.0
+    placed = tracks.withColumns({"_cx": F.floor(F.col("cx") / width), "_cy": F.floor(F.col("cy") / width)})
+
+    def reached(rows: DataFrame, keys: list[str], order: list[str], carried: Column) -> DataFrame:
+        """The rows with `_prior`: what the row that ends last of those before it in its sequence carries."""
+        numbered = longseq.with_ordinal(rows, keys, order, F.floor(F.col("first_frame") / 1024), "_n")
+        reach = longseq.running(numbered, keys, "_n", {"_reach": ("max", carried)})
+        return longseq.bounded(reach, keys, "_n", lambda w: {"_prior": F.lag("_reach").over(w)}, before=1).drop("_reach")
+
+    prior = reached(placed, cell, ["first_frame", "track_id"], F.col("last_frame"))
+    runs = folds.islands(prior, cell, "_n", F.col("_prior").isNull() | (F.col("first_frame") - F.col("_prior") > max_gap), "_run")
+    runs = written(runs.withColumn("_node", F.xxhash64(*cell, "_run")).drop("_n", "_prior", "_run"), "object-runs")
+    nodes = runs.groupBy(*cell, "_node").agg(F.min("first_frame").alias("first_frame"), F.max("last_frame").alias("last_frame"))
+    sides = [F.struct((F.col("_cx") - dx * own).alias("_ex"), (F.col("_cy") - dy * own).alias("_ey"), F.lit(i).alias("_side")) for i, (dx, dy) in enumerate(SIDES) for own in (0, 1)]
+    seen = nodes.select("video_id", "_node", "first_frame", "last_frame", F.inline(F.array(*sides)))
+    met = reached(seen, ["video_id", "_ex", "_ey", "_side"], ["first_frame", "_node"], F.struct("last_frame", "_node"))
+    links = met.where(F.col("first_frame") - F.col("_prior.last_frame") <= max_gap).select(F.col("_node").alias("a"), F.col("_prior._node").alias("b"))
+    found = components(links.unionByName(nodes.select(F.col("_node").alias("a"), F.col("_node").alias("b"))))
+    return runs.join(found.select(F.col("node").alias("_node"), F.col("label").alias("group")), "_node").drop("_node", "_cx", "_cy")
+
+
+def physical_objects(tracks: DataFrame, max_gap: int, max_distance: float, split: bool = False) -> DataFrame:
     """T5: join finished tracks of a video into physical objects, named by their first track.
 
     In start order, a track joins the closest object that ended at most `max_gap` frames before it
     starts (overlap allowed) within `max_distance`; on ties the younger object. Objects that ended
     longer ago can never match again, so the fold forgets them, and a video is cut wherever
-    every earlier track ended longer ago.
+    every earlier track ended longer ago. With `split` it is dealt over its `object_groups` instead, for videos that are
+    never quiet; the results are the same, and only tracks near a track are live with it.
     """
     order = ["first_frame", "track_id"]
+    if split:
+        grouped = object_groups(tracks.select("video_id", *order, "last_frame", "cx", "cy"), max_gap, max_distance)
+        return _joined(grouped, ["video_id", "group"], max_gap, max_distance).drop("group")
     numbered = longseq.with_ordinal(tracks, ["video_id"], order, F.floor(F.col("first_frame") / 1024), "_n")
     reach = longseq.running(numbered, ["video_id"], "_n", {"_reach": ("max", F.col("last_frame"))})
     prior = longseq.bounded(reach, ["video_id"], "_n", lambda w: {"_prior": F.lag("_reach").over(w)}, before=1)
     cut = folds.islands(prior, ["video_id"], "_n", F.col("_prior").isNull() | (F.col("first_frame") - F.col("_prior") > max_gap))
-    rows = cut.select("video_id", "island", *order, "last_frame", "cx", "cy")
+    return _joined(cut, ["video_id", "island"], max_gap, max_distance).drop("island")
+
+
+def _joined(tracks: DataFrame, keys: list[str], max_gap: int, max_distance: float) -> DataFrame:
+    """The fold of T5 over tracks dealt by `keys`."""
+    order = ["first_frame", "track_id"]
+    rows = tracks.select(*keys, *order, "last_frame", "cx", "cy")
 
     def start() -> dict:
         return {"last": np.empty(0), "x": np.empty(0), "y": np.empty(0), "name": []}
@@ -57,9 +105,7 @@ def physical_objects(tracks: DataFrame, max_gap: int, max_distance: float) -> Da
             state["last"][i], state["x"][i], state["y"][i] = last, x, y
         return ((track, state["name"][i]),)
 
-    schema = "video_id bigint, island bigint, track_id bigint, object_id bigint"
-    named = folds.fold_sorted(rows, ["video_id", "island"], order, start, step, lambda s: (), schema).drop("island")
-    return named
+    return folds.fold_sorted(rows, keys, order, start, step, lambda s: (), f"{folds.ddl(rows, keys)}, track_id bigint, object_id bigint")
 
 
 def track_quality(grouped: DataFrame, keys: Sequence[str], fps: float) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 
 from trackspark.operators import folds, longseq
 
@@ -40,6 +42,70 @@ def clip_metrics(clips: DataFrame) -> DataFrame:
     return sets.select("scope", "n", "tp", "fp", "fn", "tn", *(c.alias(k) for k, c in scored.items()), "mean_latency", "mean_fps")
 
 
+def _stretches(events: DataFrame, clip: str, sec: str, delta: float, bucket: float) -> DataFrame:
+    """The events with `island`: a clip's timeline cut at gaps longer than `delta`."""
+    keyed = longseq.with_ordinal(events, [clip], [sec, "kind", "event_id"], F.floor(F.col(sec) / bucket), "_n")
+    gapped = longseq.bounded(keyed, [clip], "_n", lambda w: {"_gap": F.col(sec) - F.lag(sec).over(w)}, before=1)
+    return folds.islands(gapped, [clip], "_n", F.col("_gap").isNull() | (F.col("_gap") > delta))
+
+
+def match_arrays(events: DataFrame, clip: str = "clip_id", sec: str = "sec", delta: float = DELTA_T, bucket: float = 3600.0) -> DataFrame:
+    """The arrays that `temporal_match` takes: clip, island, gt and pred, each a list of (sec, event_id) in order of time.
+
+    A row is a stretch of a clip without a gap longer than `delta`, since nothing is matched across one.
+    """
+    of = lambda kind: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct(F.col(sec).cast("double").alias("sec"), F.col("event_id").cast("bigint").alias("event_id")))))
+    return _stretches(events, clip, sec, delta, bucket).groupBy(clip, "island").agg(of("gt").alias("gt"), of("pred").alias("pred"))
+
+
+@udtf(returnType="pred_id bigint, gt_id bigint, distance double, verdict string")
+class TemporalMatch:
+    """X2 for users of SQL: one row per prediction of two lists of (sec, event_id), with its truth, their distance and the verdict.
+
+    Predictions come in order of time, ties by id; each takes the nearest free truth, ties the earlier one, then the smaller id,
+    and is a false positive where that is beyond `delta` (its `gt_id` is NULL then, the distance is told). A list that is NULL
+    is empty; elements that are NULL or have no time take no part.
+    """
+
+    def eval(self, gt, pred, delta: float):
+        times = sorted((g["sec"], g["event_id"]) for g in gt or () if g is not None and g["sec"] is not None)
+        # Where to look next for a free truth, per place and direction; one past either end is nowhere.
+        up, down = list(range(len(times) + 1)), list(range(-1, len(times)))
+
+        def later(i: int) -> int:
+            while up[i] != i:
+                up[i] = up[up[i]]
+                i = up[i]
+            return i
+
+        def earlier(i: int) -> int:
+            while down[i + 1] != i:
+                down[i + 1] = down[down[i + 1] + 1]
+                i = down[i + 1]
+            return i
+
+        for t, event in sorted((p["sec"], p["event_id"]) for p in pred or () if p is not None and p["sec"] is not None):
+            at = bisect_left(times, (t,))
+            low, high = earlier(at - 1), later(at)
+            # Of truths at the same time before the prediction, the one with the smallest id.
+            low = later(bisect_left(times, (times[low][0],))) if low >= 0 else low
+            near = [(abs(t - times[i][0]), *times[i], i) for i in (low, high) if 0 <= i < len(times)]
+            if not near:
+                yield event, None, None, "FP"
+                continue
+            d, _, truth, i = min(near)
+            if d > delta:
+                yield event, None, d, "FP"
+                continue
+            up[i], down[i + 1] = i + 1, i - 1
+            yield event, truth, d, "TP"
+
+
+def register(spark: SparkSession) -> None:
+    """Make `temporal_match(gt, pred, delta)` known to SQL, for use in a lateral join."""
+    spark.udtf.register("temporal_match", TemporalMatch)
+
+
 def match_predictions(events: DataFrame, clip: str = "clip_id", sec: str = "sec", delta: float = DELTA_T,
                       bucket: float = 3600.0) -> DataFrame:
     """One row per prediction: matched truth id or NULL (a false positive).
@@ -49,9 +115,7 @@ def match_predictions(events: DataFrame, clip: str = "clip_id", sec: str = "sec"
     (found with chunked windows), and each island is folded in time order. A truth enters the fold
     `delta` before its time and leaves `delta` after, so the fold holds only truths near "now".
     """
-    keyed = longseq.with_ordinal(events, [clip], [sec, "kind", "event_id"], F.floor(F.col(sec) / bucket), "_n")
-    gapped = longseq.bounded(keyed, [clip], "_n", lambda w: {"_gap": F.col(sec) - F.lag(sec).over(w)}, before=1)
-    cut = folds.islands(gapped, [clip], "_n", F.col("_gap").isNull() | (F.col("_gap") > delta))
+    cut = _stretches(events, clip, sec, delta, bucket)
     arrival = F.when(F.col("kind") == "gt", F.col(sec) - delta).otherwise(F.col(sec))
     rows = cut.select(clip, "island", arrival.alias("arrival"), "kind", F.col(sec).alias("sec"), "event_id")
 

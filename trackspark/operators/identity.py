@@ -35,7 +35,7 @@ def _likeness(a: tuple, b: tuple) -> float:
 
 
 class _People:
-    """A known raw id keeps its uid; a new one may take over a recently lost uid."""
+    """A known raw id keeps its uid; a new one may take over a recently lost uid. A missing raw id is new each time."""
 
     def __init__(self) -> None:
         self.known: dict[int, int] = {}
@@ -48,14 +48,16 @@ class _People:
         claimed: set[int] = set()
         out = []
         for raw, shape in rows:
-            uid = self.known.get(raw)
+            given = raw is not None and raw == raw
+            uid = self.known.get(raw) if given else None
             if uid is None:
                 uid = self.recovered(frame, shape, claimed)
                 if uid is None:
                     uid, self.next = self.next, self.next + 1
                 else:
                     claimed.add(uid)
-                self.known[raw] = uid
+                if given:
+                    self.known[raw] = uid
             self.seen[uid] = (frame, shape)
             out.append(uid)
         return out

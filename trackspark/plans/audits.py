@@ -40,6 +40,12 @@ def t05(spark, sf):
     return audit.physical_objects(t05_base(spark, sf), 8, 30.0)
 
 
+@query("t05_split_objects", oracle=views.with_views(views.TRK_SQL, T5_SQL, recursive=True) + "SELECT video_id, track_id, object_id FROM f")
+def t05_split(spark, sf):
+    """Physical objects with every video dealt over the groups of tracks that could meet."""
+    return audit.physical_objects(t05_base(spark, sf), 8, 30.0, split=True)
+
+
 @query("a08_track_quality", oracle=views.with_views(views.TRK_SQL, T5_SQL, recursive=True) + """, g AS (SELECT t.video_id, f.object_id, (max(t.last_frame) - min(t.first_frame) + 1) / 30.0 AS sec, count(*) AS raw FROM trk t JOIN f ON f.video_id = t.video_id AND f.track_id = t.track_id GROUP BY 1, 2)
 SELECT video_id, count(*) AS n_tracks, round(avg(sec), 6) AS avg_s, max(sec) AS max_s, min(sec) AS min_s, CAST(sum(raw - 1) AS BIGINT) AS id_switches, count(*) FILTER (WHERE raw > 1) AS reassociated,
   count(*) FILTER (WHERE sec < 1.0) AS short_lt_1s, list_sort(list(sec))[count(*) // 2 + 1] AS median_s FROM g GROUP BY video_id""")

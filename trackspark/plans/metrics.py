@@ -85,6 +85,14 @@ def x02(spark, sf):
     return m.select("clip_id", "pred_id", "gt_id", F.when(F.col("gt_id").isNull(), "FP").otherwise("TP").alias("verdict"))
 
 
+@query("x02_lateral_match", oracle=ON_MATCH + "SELECT clip_id, pred_id, gt_id, CASE WHEN gt_id IS NULL THEN 'FP' ELSE 'TP' END AS verdict FROM verdict")
+def x02_lateral(spark, sf):
+    """The verdicts by the table function, called in SQL through a lateral join."""
+    evaluate.register(spark)
+    arrays = evaluate.match_arrays(views.gt_pred(spark, sf), delta=HOURS3)
+    return spark.sql("SELECT s.clip_id, m.pred_id, m.gt_id, m.verdict FROM {arrays} s, LATERAL temporal_match(s.gt, s.pred, {delta}) m", arrays=arrays, delta=HOURS3)
+
+
 @query("t20_promotion_gate", oracle=views.with_views(views.CLIP_SQL, METRIC_SQL) + """SELECT n.scope, n.f1 > c.f1 AND CASE WHEN c.fpr <= 0 THEN n.fpr <= 0 ELSE n.fpr <= c.fpr * 1.1 + 1e-12 END AS promote,
   CASE WHEN n.f1 > c.f1 AND CASE WHEN c.fpr <= 0 THEN n.fpr <= 0 ELSE n.fpr <= c.fpr * 1.1 + 1e-12 END THEN 'F1 improved and FPR within slack'
     ELSE concat_ws('; ', CASE WHEN NOT n.f1 > c.f1 THEN 'F1 not improved' END, CASE WHEN NOT CASE WHEN c.fpr <= 0 THEN n.fpr <= 0 ELSE n.fpr <= c.fpr * 1.1 + 1e-12 END THEN 'FPR regresses beyond slack' END) END AS reason
