@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trackspark.config import STATES, Thresholds
 from trackspark.functions import geom, labels
-from trackspark.operators import detect, identity, incidents, pairfeatures, pairfsm, tiers
+from trackspark.operators import detect, identity, incidents, pairfeatures, pairfsm, status, tiers
 from trackspark.plans import scenes, views
 from trackspark.plans.registry import query
 
@@ -347,3 +347,31 @@ def t17(spark, sf):
     updates = e.select(F.col("user_id").alias("video_id"), "ts", at.alias("at"), F.when(F.col("event_type") == "view", F.col("value")).alias("fps"),
                        F.when(F.col("event_type") != "view", F.col("event_type")).alias("camera_status"))
     return updates.groupBy("video_id").agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), F.col("at"))).alias(c) for c in ("fps", "camera_status")), F.max("ts").alias("updated_at"))
+
+
+MERGE_SQL = """WITH e AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) AS n FROM events),
+ent AS (SELECT user_id AS video_id, n, unnest(CASE WHEN event_id % 4 = 0 THEN [{'p': 'camera', 'v': NULL}, {'p': 'camera.status', 'v': '"' || event_type || '"'}, {'p': 'camera.index', 'v': event_id::VARCHAR}]
+  WHEN event_id % 4 = 1 THEN [{'p': 'processing', 'v': NULL}, {'p': 'processing.lag', 'v': NULL}, {'p': 'processing.lag.ms', 'v': event_id::VARCHAR}]
+  WHEN event_id % 8 = 2 THEN [{'p': 'camera', 'v': '"offline"'}] WHEN event_id % 8 = 6 THEN [{'p': 'camera', 'v': NULL}, {'p': 'camera.fps', 'v': (event_id % 30)::VARCHAR}]
+  WHEN event_id % 8 = 3 THEN [{'p': 'processing', 'v': NULL}, {'p': 'processing.lag', 'v': event_id::VARCHAR}] ELSE [{'p': 'processing', 'v': NULL}] END) AS x FROM e),
+s AS (SELECT video_id, x.p AS path, arg_max(x.v, n) FILTER (WHERE x.v IS NOT NULL) AS v, coalesce(max(n) FILTER (WHERE x.v IS NOT NULL), 0) AS l, coalesce(max(n) FILTER (WHERE x.v IS NULL), 0) AS o FROM ent GROUP BY 1, 2),
+a AS (SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM s p WHERE p.video_id = s.video_id AND starts_with(s.path, p.path || '.') AND p.l > greatest(s.l, s.o)))
+SELECT video_id, path, CASE WHEN l > o THEN v ELSE '{}' END AS value FROM a WHERE l > o OR NOT EXISTS (SELECT 1 FROM a c WHERE c.video_id = a.video_id AND starts_with(c.path, a.path || '.'))"""
+
+
+def status_updates(spark, sf):
+    """Every event as a partial status update of its camera, in the layouts that the live page is sent."""
+    e = views.table(spark, sf, "events")
+    i = F.col("event_id")
+    nested = lambda **parts: F.to_json(F.struct(*(c.alias(k) for k, c in parts.items())))
+    inner = lambda **parts: F.struct(*(c.alias(k) for k, c in parts.items()))
+    doc = F.when(i % 4 == 0, nested(camera=inner(status=F.col("event_type"), index=i))).when(i % 4 == 1, nested(processing=inner(lag=inner(ms=i)))).when(
+        i % 8 == 2, nested(camera=F.lit("offline"))).when(i % 8 == 6, nested(camera=inner(fps=i % 30))).when(i % 8 == 3, nested(processing=inner(lag=i))).otherwise(F.lit('{"processing": {}}'))
+    return e.select(F.col("user_id").alias("video_id"), F.struct("ts", "event_id").alias("at"), "event_id", doc.alias("doc"))
+
+
+@query("t17_deep_merge", oracle=MERGE_SQL)
+def t17_merge(spark, sf):
+    """Nested updates merged in order of time: values replace objects and the other way round."""
+    state = status.latest(status.entries(status_updates(spark, sf), ["video_id"], "at", "doc"), ["video_id"], "at")
+    return status.merged(state, ["video_id"]).select("video_id", F.array_join("path", ".").alias("path"), "value")

@@ -10,6 +10,8 @@ from trackspark.operators import relations
 from trackspark.plans import views
 from trackspark.plans.registry import query
 from trackspark.plans.scalars import r9
+from trackspark.session import scratch_path
+from trackspark.sources import sinks
 
 EVIDENCE_SQL = """evidence AS (SELECT o_orderkey AS evidence_id, o_custkey AS event_id, CASE WHEN o_orderkey % 5 <> 0 THEN 'img/' || o_orderkey END AS image_path,
   CASE WHEN o_orderkey % 4 <> 0 THEN 'vid/' || o_orderkey END AS video_path, o_orderkey % 7 AS image_bytes FROM orders)"""
@@ -265,9 +267,12 @@ def j22(spark, sf):
     return relations.apply_verdicts(views.evt(spark, sf), verdicts).select("id", "final_status", "hard_negative")
 
 
-@query("j23_cascade_delete", oracle=ON_REVIEW + """, gone AS (SELECT job_id FROM jobs WHERE job_id % 2 = 1 AND status <> 'processing')
+DELETED_SQL = ON_REVIEW + """, gone AS (SELECT job_id FROM jobs WHERE job_id % 2 = 1 AND status <> 'processing')
 SELECT (SELECT count(*) FROM evt WHERE analysis_job_id NOT IN (SELECT job_id FROM gone)) AS events_left, (SELECT count(*) FROM evidence WHERE event_id NOT IN (SELECT id FROM evt WHERE analysis_job_id IN (SELECT job_id FROM gone))) AS evidence_left,
-  (SELECT count(*) FROM jobs WHERE job_id NOT IN (SELECT job_id FROM gone)) AS jobs_left""")
+  (SELECT count(*) FROM jobs WHERE job_id NOT IN (SELECT job_id FROM gone)) AS jobs_left"""
+
+
+@query("j23_cascade_delete", oracle=DELETED_SQL)
 def j23(spark, sf):
     j = jobs(spark, sf)
     left = relations.delete_jobs(views.evt(spark, sf), evidence(spark, sf), j, j.where(F.col("job_id") % 2 == 1).select("job_id"))
@@ -275,6 +280,17 @@ def j23(spark, sf):
     return counts[0].join(counts[1], "k").join(counts[2], "k").drop("k")
 
 
+@query("j23_stored_delete", oracle=DELETED_SQL)
+def j23_stored(spark, sf):
+    """The same over stored tables: written, deleted from, deleted from again, and read back."""
+    path, j = scratch_path(spark, "stored-jobs"), jobs(spark, sf)
+    sinks.store_jobs(views.evt(spark, sf), evidence(spark, sf), j, path)
+    for _ in range(2):
+        sinks.delete_stored_jobs(j.where(F.col("job_id") % 2 == 1), path)
+    counts = [spark.read.parquet(f"{path}/{t}").agg(F.count(F.lit(1)).alias(f"{t}_left")).withColumn("k", F.lit(1)) for t in ("events", "evidence", "jobs")]
+    return counts[0].join(counts[1], "k").join(counts[2], "k").drop("k")
+
+
 @query("j24_identity_checks", oracle=views.with_views(views.EVT_SQL) + """, c AS (SELECT id AS event_id, actor_uid, object_uid, CASE WHEN id % 13 = 0 THEN NULL WHEN id % 9 = 0 THEN actor_uid + 1 ELSE actor_uid END AS da, CASE WHEN id % 8 = 0 THEN object_uid + 1 ELSE object_uid END AS dobj,
     CASE WHEN id % 6 = 0 THEN actor_uid + 2 WHEN id % 6 = 1 THEN NULL ELSE actor_uid END AS ma, id % 5 AS snapshot, CASE WHEN id % 4 <> 0 THEN id % 3 END AS clip FROM evt)
 SELECT event_id, 'actor_uid != detector' AS failed_check FROM c WHERE da <> actor_uid UNION ALL SELECT event_id, 'object_uid != detector' FROM c WHERE dobj <> object_uid UNION ALL SELECT event_id, 'actor_uid != metadata' FROM c WHERE ma <> actor_uid

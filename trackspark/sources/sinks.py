@@ -120,6 +120,46 @@ def promote(learned: DataFrame, promoted_at: Column, path: str) -> None:
     pin.write.mode("overwrite").parquet(f"{path}/pin")
 
 
+#: Folders of a stored table of jobs, events or evidence; a job is in one of them.
+JOB_FOLDERS = 64
+
+
+def store_jobs(events: DataFrame, evidence: DataFrame, jobs: DataFrame, path: str, folders: int = JOB_FOLDERS) -> None:
+    """Jobs, events and evidence below `path`, each dealt by job over the same folders.
+
+    `jobs`: job_id; `events`: id, analysis_job_id; `evidence`: event_id. Evidence gets its event's job; that without an
+    event, and events without a job, are in the folder of no job. A large job is several files.
+    """
+    owned = evidence.join(events.select(F.col("id").alias("event_id"), F.col("analysis_job_id").alias("job_id")), "event_id", "left")
+    for name, rows in (("jobs", jobs), ("events", events.withColumn("job_id", F.col("analysis_job_id"))), ("evidence", owned)):
+        folder = F.coalesce(F.pmod(F.xxhash64("job_id"), F.lit(folders)), F.lit(-1)).cast("int")
+        rows.withColumn("folder", folder).hint("rebalance", "folder").write.mode("overwrite").partitionBy("folder").parquet(f"{path}/{name}")
+
+
+def delete_stored_jobs(doomed: DataFrame, path: str) -> None:
+    """Delete the `doomed` jobs (job_id) that are not running, with their events and evidence, below a `store_jobs` path.
+
+    Only folders that hold such rows are written again, with what is left of them; all other files stay. Evidence goes
+    first and the jobs' own rows last, so a run that was cut short is completed by the same call, and one that is
+    repeated writes nothing. An unknown job deletes nothing. One call at a time may change a path.
+    """
+    spark = doomed.sparkSession
+    stored = spark.read.parquet(f"{path}/jobs")
+    gone = written(stored.where("status IS DISTINCT FROM 'processing'").join(doomed.select("job_id").distinct(), "job_id", "left_semi").select("job_id"), "gone-jobs")
+    for name in ("evidence", "events", "jobs"):
+        table = spark.read.parquet(f"{path}/{name}")
+        hit = [r.folder for r in table.join(gone, "job_id", "left_semi").select("folder").distinct().collect()]
+        if not hit:
+            continue
+        # What is read is written to: the rows are settled first.
+        left = written(table.where(F.col("folder").isin(hit)).join(gone, "job_id", "left_anti"), f"kept-{name}")
+        kept = {r.folder for r in left.select("folder").distinct().collect()}
+        left.hint("rebalance", "folder").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("folder").parquet(f"{path}/{name}")
+        # A folder that loses all its rows is in no row that could overwrite it.
+        for folder in sorted(set(hit) - kept):
+            left.limit(0).drop("folder").write.mode("overwrite").parquet(f"{path}/{name}/folder={folder}")
+
+
 def job_manifest(jobs: DataFrame, events: DataFrame, artifacts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """SNK9: per job the count and final result, and per event a line with its artifacts, joined by event id."""
     lines = events.join(artifacts, "event_id", "left").select("job_id", "event_id", "confidence", "snapshot", "clip")

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from trackspark.config import Thresholds
+from trackspark.operators import status
 from trackspark.operators.identity import _People, _Things
 from trackspark.operators.pairfeatures import FIELDS, MARKS, PRESENCE
 from trackspark.operators.pairfsm import EVENT_SCHEMA, Machine
@@ -177,3 +178,19 @@ def upsert(path: str, keys: list[str], version: str) -> Callable[[DataFrame, int
         newest.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
     return write
+
+
+def merged_status(updates: DataFrame, keys: list[str], at: str, doc: str, label: str) -> DataFrame:
+    """T17 on a stream: partial nested updates in any order; the status after everything available, as `status.merged` has it.
+
+    State is a row per key and path. Every micro-batch writes the paths it changed as one epoch, a replayed epoch replaces itself,
+    and the last version of a path counts.
+    """
+    spark = updates.sparkSession
+    state = status.latest(status.entries(updates, keys, at, doc), keys, at).withColumn("_version", F.greatest("value_at", "object_at"))
+    path = scratch_path(spark, label)
+    writer = state.writeStream.outputMode("update").foreachBatch(upsert(path, [*keys, "path"], "_version"))
+    writer.option("checkpointLocation", scratch_path(spark, f"{label}-checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    columns = [c for c in state.columns if c not in (*keys, "path", "_version")]
+    newest = spark.read.parquet(path).groupBy(*keys, "path").agg(F.max_by(F.struct(*columns), "epoch").alias("m")).select(*keys, "path", "m.*")
+    return status.merged(newest, keys)
