@@ -115,12 +115,12 @@ class Search:
 def usable(vectors: DataFrame) -> DataFrame:
     """vec_id, embedding (doubles), norm2 of the rows that take part.
 
-    Left out are null ids, null or empty vectors, those with a null or non-finite component, zero vectors, and vectors of
-    another length than most (ties: the longer).
+    Left out are null ids, null or empty vectors, those with a null or non-finite component, vectors of zeros only (not those
+    whose squares are too small for a double), and vectors of another length than most (ties: the longer).
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).filter("vec_id IS NOT NULL AND size(embedding) > 0")
     rows = rows.filter(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
-    rows = rows.withColumn("norm2", F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)).filter("norm2 > 0")
+    rows = rows.withColumn("norm2", F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)).filter(F.exists("embedding", lambda x: x != 0))
     common = rows.groupBy(F.size("embedding").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
     return rows.filter(F.size("embedding") == (common["d"] if common else 0))
 
@@ -253,9 +253,9 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, fact
     Both inputs: vec_id (a long), embedding (array of numbers); other columns are ignored. Result: query_id, rank (from 1), vec_id,
     score (the inner product of the original vectors in double precision); ties go to the smaller vec_id. A query is not
     its own neighbour; with fewer than k others it gets all of them. Rows that `usable` leaves out take no part, on either
-    side, and repeated queries count once. Empty tables give no rows. factor 1, the default, is exact; above it, parts of
+    side. Of queries with one id the least vector counts, component by component. Empty tables give no rows. factor 1, the default, is exact; above it, parts of
     trees are left out sooner, with no bound on what is lost.
     """
     index = VantageIndex(vectors)
-    asked = usable(queries).withColumnRenamed("vec_id", "query_id").dropDuplicates(["query_id"])
+    asked = usable(queries).groupBy(F.col("vec_id").alias("query_id")).agg(F.min(F.struct("embedding", "norm2")).alias("v")).select("query_id", "v.*")
     return index.nearest(asked, k, factor)
